@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.llm import licenses
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +34,19 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt outside the held-out fold."""
+    from tidewatch.llm.language import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of the labelled rows outside the held-out fold."""
     from tidewatch.llm.toxicity import classify, train
@@ -40,10 +55,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups that their links make."""
+    from tidewatch.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
+    "op6_language_id": op6_language_id,
     "op9_toxicity": op9_toxicity,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 #: The Poisson terms up to 60 suffice for the mean rates that power 0.5 gives over tens of sources.
@@ -67,4 +92,4 @@ SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
 FROM dealt, range(1, n + 1) AS r(copy)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIXING_SQL, "op5_license_scan": licenses.oracle_sql()}

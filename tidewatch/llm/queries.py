@@ -20,6 +20,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as images in archives, and what reading these back gives."""
+    from tidewatch.llm.media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents repeated so that sources weigh the square roots of their sizes."""
     from tidewatch.llm.mixing import mix
@@ -63,6 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
     "op3_mixing": op3_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scan": op5_license_scan,

@@ -14,10 +14,14 @@ THRESHOLD = 0.98
 SAMPLE = 20_000
 BLOCK_ROWS = 1_024
 OVERLAP = 2
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
+#: A vector is also put in the shards of all centroids that are farther by this at most than its nearest.
+SLACK = 0.08
+DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 32
+#: Edges of each vector to others drawn at random, which lead into and out of dense groups.
+LONG = 6
 #: Queries of the audit at most, and the recall under which the search is made again, wider.
 AUDITED = 256
-MIN_RECALL = 0.97
+MIN_RECALL = 0.98
 
 
 def unit_vectors(vectors: DataFrame, *, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -58,7 +62,7 @@ def robust_prune(u: np.ndarray) -> tuple[np.ndarray, int]:
     """Neighbours of each vector of a block, padded with -1, and the medoid.
 
     Of the nearest candidates the nearest is kept and those that lie ALPHA times nearer to it
-    than to the vector go, again and again. Edges lead back as well.
+    than to the vector go, again and again. Some long edges are drawn. Edges lead back as well.
     """
     n = len(u)
     d = np.maximum(2 - 2 * (u @ u.T), 0)
@@ -81,7 +85,9 @@ def robust_prune(u: np.ndarray) -> tuple[np.ndarray, int]:
         edges[rows[some], best[some]] = True
         alive &= ALPHA * d[best[:, None], near] > to
         alive[rows, pick] = False
+    edges[np.repeat(rows, LONG), np.random.default_rng(n).integers(0, n, n * LONG)] = True
     edges |= edges.T
+    np.fill_diagonal(edges, False)
     width = int(edges.sum(axis=1).max())
     out = np.full((n, width), -1)
     i, j = np.nonzero(edges)
@@ -90,19 +96,22 @@ def robust_prune(u: np.ndarray) -> tuple[np.ndarray, int]:
     return out, medoid
 
 
-def range_search(u: np.ndarray, near: np.ndarray, entries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) within the threshold, every vector of the graph being a query.
+def range_search(
+    queries: np.ndarray, u: np.ndarray, near: np.ndarray, entries: np.ndarray, own: np.ndarray | None, threshold: float, beam: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector of the graph) within the threshold.
 
-    Each query walks greedily from the medoids and from its own place, expanding the nearest
-    vector seen so far ``beam`` times; then all vectors in range are expanded until no new ones
-    turn up. Similarities are exact, in double precision.
+    Each query walks greedily from the entries, and from its own place if it is in the graph,
+    expanding the nearest vector seen so far ``beam`` times; then all vectors in range are
+    expanded until no new ones turn up. Similarities are exact, in double precision.
     """
     n = len(u)
-    score = np.full((n, n), -np.inf)
-    done = np.zeros((n, n), bool)
-    rows = np.arange(n)
-    score[:, entries] = u @ u[entries].T
-    score[rows, rows] = np.einsum("ij,ij->i", u, u)
+    score = np.full((len(queries), n), -np.inf)
+    done = np.zeros(score.shape, bool)
+    rows = np.arange(len(queries))
+    score[:, entries] = queries @ u[entries].T
+    if own is not None:
+        score[rows, own] = np.einsum("ij,ij->i", queries, u[own])
     for _ in range(min(beam, n)):
         open_ = np.where(done, -np.inf, score)
         best = open_.argmax(axis=1)
@@ -113,7 +122,7 @@ def range_search(u: np.ndarray, near: np.ndarray, entries: np.ndarray, threshold
         done[live, best] = True
         q = np.repeat(live, near.shape[1])
         w = near[best].ravel()
-        _look(u, score, q[w >= 0], w[w >= 0])
+        _look(queries, u, score, q[w >= 0], w[w >= 0])
     while True:
         q, v = np.nonzero((score >= threshold) & ~done)
         if not q.size:
@@ -123,18 +132,18 @@ def range_search(u: np.ndarray, near: np.ndarray, entries: np.ndarray, threshold
         for at in range(0, q.size, step):
             w = near[v[at : at + step]]
             qq = np.repeat(q[at : at + step], near.shape[1])[w.ravel() >= 0]
-            _look(u, score, qq, w.ravel()[w.ravel() >= 0])
+            _look(queries, u, score, qq, w.ravel()[w.ravel() >= 0])
     return np.nonzero(score >= threshold)
 
 
-def _look(u: np.ndarray, score: np.ndarray, q: np.ndarray, w: np.ndarray) -> None:
+def _look(queries: np.ndarray, u: np.ndarray, score: np.ndarray, q: np.ndarray, w: np.ndarray) -> None:
     new = score[q, w] == -np.inf
     if not new.any():
         return
     both = np.unique(q[new].astype(np.int64) * len(u) + w[new])
     for at in range(0, both.size, 1 << 15):
         a, b = np.divmod(both[at : at + (1 << 15)], len(u))
-        score[a, b] = np.einsum("ij,ij->i", u[a], u[b])
+        score[a, b] = np.einsum("ij,ij->i", queries[a], u[b])
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -144,8 +153,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _place(nodes: DataFrame, overlap: int) -> DataFrame:
-    """Put each node in the shards of its nearest centroids, and in one block of each of them."""
+def _place(nodes: DataFrame, overlap: int, slack: float) -> DataFrame:
+    """Put each node in the shards of its nearest centroids, and in one block of each of them.
+
+    Two near vectors differ little in their distance to any centroid, so that of a pair that
+    a boundary parts both lie near to it, and the slack puts both on either side.
+    """
     spark = nodes.sparkSession
     rows = nodes.count()
     drawn = hash_sample(nodes, SAMPLE, "node").select("label", "unit").collect()
@@ -166,7 +179,12 @@ def _place(nodes: DataFrame, overlap: int) -> DataFrame:
             shards = []
             for label, unit in zip(b.column("label").to_pylist(), b.column("unit").to_pylist()):
                 c = shared.value.get(label)
-                shards.append([0] if c is None else sorted(np.argsort(-(c @ np.array(unit)), kind="stable")[:overlap].tolist()))
+                if c is None:
+                    shards.append([0])
+                    continue
+                d = np.linalg.norm(c - np.array(unit), axis=1)
+                some = set(np.argsort(d, kind="stable")[:overlap].tolist())
+                shards.append(sorted(some.union(np.flatnonzero(d <= d.min() + slack).tolist())))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shards, pa.list_(pa.int32()))], [*b.schema.names, "shards"])
 
     put = nodes.mapInArrow(assign, "label string, node long, copies long, unit array<double>, shards array<int>")
@@ -176,9 +194,9 @@ def _place(nodes: DataFrame, overlap: int) -> DataFrame:
     return put.join(sizes, ["label", "shard"]).withColumn("own", own)
 
 
-def _links(nodes: DataFrame, threshold: float, overlap: int, beam: int) -> DataFrame:
+def _links(nodes: DataFrame, threshold: float, overlap: int, slack: float, beam: int) -> DataFrame:
     """(node, links, root) of nodes with links: so many vectors, and a node that they lead to."""
-    placed = _place(nodes, overlap)
+    placed = _place(nodes, overlap, slack)
     names = ["label", "shard", "k", "own", "node", "copies", "unit", "shards"]
 
     def build(t: pa.Table) -> pa.Table:
@@ -202,17 +220,24 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, beam: int) -> DataF
         u = _matrix(t.column("unit"))
         shards, shard = t.column("shards").to_pylist(), t.column("shard")[0].as_py()
         cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        medoid = t.column("medoid").to_numpy(zero_copy_only=False)
         lists = t.column("near").to_pylist()
-        near = np.full((len(node), max(1, max(map(len, lists)))), -1)
-        for r, ids in zip(near, lists):
-            at = np.searchsorted(node, ids)
-            at = at[at < len(node)] if not len(ids) else at[(at < len(node)) & (node[np.minimum(at, len(node) - 1)] == ids)]
-            r[: at.size] = at
-        q, v = range_search(u, near, np.flatnonzero(t.column("medoid").to_numpy(zero_copy_only=False)), threshold, beam)
-        keep = q != v
-        if cross:
-            keep &= own[q] != own[v]
-        q, v = q[keep], v[keep]
+        found = []
+        # within a block each vector looks for others; of two blocks each asks the other's graph
+        for block in np.unique(own):
+            inside = np.flatnonzero(own == block)
+            asking = np.flatnonzero(own != block) if cross else inside
+            ids = node[inside]
+            near = np.full((inside.size, max(1, max(len(lists[k]) for k in inside))), -1)
+            for row, k in zip(near, inside):
+                at = np.minimum(np.searchsorted(ids, lists[k]), ids.size - 1)
+                at = at[ids[at] == lists[k]]
+                row[: at.size] = at
+            entries = np.flatnonzero(medoid[inside])
+            q, v = range_search(u[asking], u[inside], near, entries, None if cross else np.arange(inside.size), threshold, beam)
+            found.append((asking[q], inside[v]))
+        q, v = (np.concatenate(x) for x in zip(*found))
+        q, v = q[q != v], v[q != v]
         # found from either end; a pair that meets in several shards counts in the first of them
         pairs = np.unique(np.concatenate([np.minimum(q, v) * len(node) + np.maximum(q, v)]))
         a, b = np.divmod(pairs, len(node))
@@ -278,6 +303,7 @@ def near_duplicates(
     label_col: str = "label",
     threshold: float = THRESHOLD,
     overlap: int = OVERLAP,
+    slack: float = SLACK,
     beam: int = BEAM,
     min_recall: float = MIN_RECALL,
 ) -> DataFrame:
@@ -303,7 +329,7 @@ def near_duplicates(
     bare = nodes.select("label", "node", "copies", "unit")
     audit = written(_audit(bare, threshold), "audit")
     for attempt in range(3):
-        links = written(_links(bare, threshold, overlap + 2 * attempt, beam * 2**attempt), "links")
+        links = written(_links(bare, threshold, overlap + 2 * attempt, slack * 2**attempt, beam * 2**attempt), "links")
         counts = links.groupBy("node").agg(F.sum("links").alias("links"))
         told = audit.join(counts, "node", "left").agg(F.sum("audited"), F.sum(F.coalesce("links", F.lit(0)))).first()
         recall = 1.0 if not told[0] else (told[1] or 0) / told[0]

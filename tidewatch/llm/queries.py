@@ -27,6 +27,13 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings of one label at a cosine of 0.98."""
+    from tidewatch.llm.embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents repeated so that sources weigh the square roots of their sizes."""
     from tidewatch.llm.mixing import mix
@@ -54,6 +61,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op7_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended as small shards, compacted, and read back through the manifest."""
+    from tidewatch.llm.shards import sharded
+
+    return sharded(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated 50-byte strings leaves of all documents."""
+    from tidewatch.llm.suffixes import repeats
+
+    return repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of the labelled rows outside the held-out fold."""
     from tidewatch.llm.toxicity import classify, train
@@ -71,10 +92,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
+    "op7_size_tiered_sharding": op7_size_tiered_sharding,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
@@ -100,4 +124,4 @@ SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
 FROM dealt, range(1, n + 1) AS r(copy)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIXING_SQL, "op5_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIXING_SQL, "op5_license_scan": licenses.oracle_sql(), "op7_size_tiered_sharding": "SELECT * FROM documents"}

@@ -59,7 +59,7 @@ RULES: dict[str, str] = {
     "labels_log": f"""
         SELECT {_POST_ID} AS post_id, labeler, 'v' || CAST(w AS VARCHAR(20)) AS version, @ts(first_us + 86400000000 * w + x * 1000000) AS labeled_at,
           CASE WHEN x = 2 THEN 'target' ELSE NULL END AS target,
-          CASE (user_id * 3 + w * 2 + x + (CASE WHEN labeler = 'second' AND user_id % 4 = 0 THEN 1 ELSE 0 END)) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS polarity
+          CASE (user_id * 5 + floor(user_id / 7.0) + w * 2 + x + (CASE WHEN labeler = 'second' AND user_id % 4 = 0 THEN 1 ELSE 0 END)) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS polarity
         FROM (SELECT event_type, user_id, MIN(@us(ts)) AS first_us FROM {{events}} GROUP BY event_type, user_id) AS e
         CROSS JOIN (SELECT 1 AS w UNION ALL SELECT 2) AS t CROSS JOIN (SELECT 'first' AS labeler UNION ALL SELECT 'second') AS s
         CROSS JOIN (SELECT 0 AS x UNION ALL SELECT 1 UNION ALL SELECT 2) AS y

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import chat, compare, panels  # noqa: F401
+from tidewatch.plans import chat, compare, panels, rules, streams  # noqa: F401
 from tidewatch.plans.common import ORACLE_SQL, QUERIES  # noqa: F401

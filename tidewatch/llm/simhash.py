@@ -14,6 +14,9 @@ from tidewatch.llm.common import components, hash_sample, small_batches, written
 
 WORDS = 4
 RADIUS = 4
+#: Parts of a fingerprint with a tree each. Of two fingerprints within the radius some part
+#: differs in a PARTS-th of it at most, so that boundaries overlap far less than in one tree.
+PARTS = 3
 SEED = 42
 #: Fingerprints that the tree is fitted on at most, and rows of a leaf that a task compares at once.
 TREE_SAMPLE = 65_536
@@ -61,15 +64,21 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 @dataclass
 class Tree:
-    """Inner nodes by number: vantage point, distance that parts its two sides, children; leaves are ~number."""
+    """A vantage-point tree over the bits of ``mask``.
 
+    Inner nodes by number have a vantage point, the distance that parts their two sides, and
+    their children; leaves are ~number.
+    """
+
+    mask: int
+    radius: int
     point: list[int] = field(default_factory=list)
     part: list[int] = field(default_factory=list)
     inner: list[int] = field(default_factory=list)
     outer: list[int] = field(default_factory=list)
     leaves: int = 0
 
-    def route(self, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    def route(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and leaves. Rows nearer than the part go inside, others outside.
 
         Two rows within the radius differ by it at most in their distance to a vantage point, so
@@ -86,30 +95,32 @@ class Tree:
                 out_rows.append(rows)
                 out_leaves.append(np.full(rows.size, ~node))
                 continue
-            d = np.bitwise_count(fp[rows] ^ np.uint64(self.point[node]))
+            d = np.bitwise_count((fp[rows] ^ np.uint64(self.point[node])) & np.uint64(self.mask))
             todo.append((self.inner[node], rows[d < self.part[node]]))
-            todo.append((self.outer[node], rows[d >= self.part[node] - radius]))
+            todo.append((self.outer[node], rows[d >= self.part[node] - self.radius]))
         if not out_rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(out_rows), np.concatenate(out_leaves)
 
 
-def fit_tree(sample: np.ndarray, leaf: int, radius: int) -> Tree:
+def fit_tree(sample: np.ndarray, leaf: int, mask: int, radius: int) -> Tree:
     """A vantage-point tree whose leaves get ``leaf`` rows of the sample at most, boundary rows included.
 
+    Of some vantage points and parting distances the one with the smallest larger side is taken.
     A node stays a leaf if its rows can't be parted into two smaller sets.
     """
-    rng, tree = np.random.default_rng(5), Tree()
+    rng, tree, bits = np.random.default_rng(5), Tree(mask, radius), np.uint64(mask)
 
     def grow(rows: np.ndarray) -> int:
         best = None
         if rows.size > leaf:
             for p in rng.choice(rows, min(8, rows.size), replace=False):
-                d = np.bitwise_count(rows ^ p)
-                part = int(np.median(d))
-                outer = int((d >= part - radius).sum())
-                if best is None or outer < best[0]:
-                    best = outer, int(p), part, d
+                d = np.bitwise_count((rows ^ p) & bits).astype(int)
+                middle = int(np.median(d))
+                for part in range(middle, middle + radius + 2):
+                    size = max(int((d < part).sum()), int((d >= part - radius).sum()))
+                    if best is None or size < best[0]:
+                        best = size, int(p), part, d
         if best is None or best[0] > 0.9 * rows.size:
             tree.leaves += 1
             return ~(tree.leaves - 1)
@@ -125,6 +136,12 @@ def fit_tree(sample: np.ndarray, leaf: int, radius: int) -> Tree:
     return tree
 
 
+def part_masks(parts: int) -> list[int]:
+    """The bits of 64 dealt into so many parts."""
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    return [(1 << z) - (1 << a) for a, z in zip(cuts, cuts[1:])]
+
+
 def linked(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius. Distances to a pivot bound which stretch of b a row of a can link with."""
     pivot = b[0]
@@ -157,7 +174,7 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
 def near_pairs(prints: DataFrame, *, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, tree_sample: int = TREE_SAMPLE) -> DataFrame:
     """Links (a, b) that span the same groups as all pairs of ``prints(fp)`` within the radius.
 
-    The tree is fitted on a bounded sample and broadcast; every fingerprint is routed. A leaf
+    The trees are fitted on a bounded sample and broadcast; every fingerprint is routed. A leaf
     with more rows than a task compares at once is dealt into blocks, and a task gets two blocks
     of it, so that no group of near copies, however large, meets in one task. Each task emits
     the links of a spanning forest of what it found, at most one per row.
@@ -166,17 +183,21 @@ def near_pairs(prints: DataFrame, *, radius: int = RADIUS, leaf_rows: int = LEAF
     rows = prints.count()
     sample = np.array([r.fp for r in hash_sample(prints, tree_sample, "fp").collect()], np.int64).view(np.uint64)
     scale = sample.size / max(rows, 1)
-    tree = fit_tree(sample, max(16, int(leaf_rows * scale)), radius)
-    shared = spark.sparkContext.broadcast(tree)
+    parts = min(PARTS, radius + 1)
+    trees = [fit_tree(sample, max(16, int(leaf_rows * scale)), m, radius // parts) for m in part_masks(parts)]
+    shared = spark.sparkContext.broadcast(trees)
 
     def route(it):
         for b in it:
             fp = b.column("fp").to_numpy(zero_copy_only=False)
-            i, leaf = shared.value.route(fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(leaf.astype(np.int32))], ["fp", "leaf"])
+            at = 0
+            for tree in shared.value:
+                i, leaf = tree.route(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array((leaf + at).astype(np.int32))], ["fp", "leaf"])
+                at += tree.leaves
 
     routed = written(prints.select("fp").mapInArrow(route, "fp long, leaf int"), "leaves")
-    # the tree's leaves are bounded by the sample, and so is this table
+    # the trees' leaves are bounded by the sample, and so is this table
     blocks = routed.groupBy("leaf").agg(F.ceil(F.count("*") / leaf_rows).cast("int").alias("k"))
     dealt = routed.join(F.broadcast(blocks), "leaf").withColumn("own", F.pmod(F.xxhash64(F.lit(23), "fp"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

@@ -88,8 +88,8 @@ def next_crawl(created: Column, now: Column) -> Column:
     """When a post is due again by its age; null once it is a day old."""
     age = F.unix_micros(now) - F.unix_micros(created)
     minute = 60_000_000
-    wait = F.when(age < 60 * minute, 5).when(age < 360 * minute, 10).when(age < 1440 * minute, 60)
-    return F.timestamp_micros(F.unix_micros(now) + wait * minute)
+    wait = F.when(age < 60 * minute, 5 * minute).when(age < 360 * minute, 10 * minute).when(age < 1440 * minute, 60 * minute)
+    return F.timestamp_micros(F.unix_micros(now) + wait)
 
 
 def uuid5(namespace_hex: str, name: Column) -> Column:

@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     group = components(near_pairs(nodes.select("fp"), radius=radius))
     # the smallest id of each component goes back to its fingerprints, then to their documents
     placed = nodes.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    # written, so that Spark sees a plain exchange on both sides of the join and can split a large component
+    names = written(placed.groupBy("component").agg(F.min("first").alias("component_id")), "names")
     named = written(placed.join(names, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

@@ -23,6 +23,8 @@ BUCKET_BYTES = 4 << 20
 #: Windows of a run at most, and bytes that the shallow sort looks at.
 RUN = 64
 SHALLOW = 24
+#: Parts into which the rows of one text's digest are dealt.
+SALTS = 8
 _SLICE = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -216,7 +218,9 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
     groups, buckets = max(1, -(-total // group_bytes)), max(1, -(-total // bucket_bytes))
     of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(groups)).cast("int")
     firsts = told.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first")
-    copies = told.join(firsts.select("sha", "first"), "sha").where((F.col("id") > F.col("first")) & (F.col("n") >= WINDOW))
+    # very many documents may be copies of one text
+    firsts = firsts.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = told.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["sha", "salt"]).where((F.col("id") > F.col("first")) & (F.col("n") >= WINDOW))
     note = "b int, blob binary"
     little = F.unhex(F.concat(*[F.substring(F.lpad(F.hex("id"), 16, "0"), i, 2) for i in range(15, 0, -2)]))
     copies = written(copies.select("id").distinct().select(of("id").alias("__g"), F.lit(-1).alias("b"), little.alias("blob")), "copies")

@@ -202,3 +202,45 @@ def test_dead_letters(spark):
     rows = spark.createDataFrame([("a.M.1.A.0F0", 1, "push", T0, "c"), ("a.M.1.A.0F0", 0, "push", T0, "c"), ("x", 1, "push", T0, "c")], "post_id string, floor int, type string, commented_at timestamp, op string")
     fine, dead = jobs.split_dead_letters(rows, jobs.broken_rule())
     assert fine.count() == 1 and sorted(r.rule for r in dead.collect()) == ["floor", "post_id"]
+
+
+def test_watchdogs(spark):
+    from tidewatch.operators import watch
+
+    seen = [("c", float(t), f == "r", f == "f") for t, f in enumerate("rffffffffxrrf")]
+    got = [(r.at, r.restart, r.change, r.restarts) for r in watch.restarts(spark.createDataFrame(seen, "name string, at double, running boolean, failed boolean"), 1, 4).orderBy("at").collect()]
+    assert got == [(1.0, True, "failed", 1), (2.0, True, None, 2), (4.0, True, None, 3), (8.0, True, None, 4), (10.0, False, "recovered", 4), (12.0, True, "failed", 1)]
+    found = [("m", float(t), f == "1") for t, f in enumerate("1000011001")]
+    alerts = watch.missing_alerts(spark.createDataFrame(found, "name string, at double, found boolean"), 2).orderBy("at").collect()
+    assert [(r.at, r.change) for r in alerts] == [(1.0, "missing"), (4.0, "alert"), (5.0, "recovered"), (7.0, "missing")]
+    slots = [("s", 0.0, True, 5), ("s", 1.0, False, 50), ("s", 2.0, False, 5), ("s", 4.0, False, 5), ("s", 5.0, None, None), ("s", 6.0, True, 5)]
+    changes = watch.slot_alerts(spark.createDataFrame(slots, "slot string, at double, active boolean, lag int"), 2, 10).collect()
+    assert sorted((r.at, r.alert, r.raised) for r in changes) == [(1.0, "lagging", True), (2.0, "lagging", False), (4.0, "inactive", True), (5.0, "inactive", False), (5.0, "missing", True), (6.0, "missing", False)]
+
+
+def test_files(spark, tmp_path):
+    from tidewatch.sources import files
+
+    examples = spark.createDataFrame([("p", "line\n=1", None), ("q", "", "positive")], files.EXAMPLE)
+    files.write_examples(examples, str(tmp_path / "e"))
+    assert sorted(map(tuple, files.read_examples(spark, str(tmp_path / "e")).collect())) == sorted(map(tuple, examples.collect()))
+    messages = spark.createDataFrame([("t", 0, 1, T0, None, bytearray(b"\x00\xff")), ("t", 0, 2, T0, bytearray(b"k"), None)], "topic string, partition int, offset long, timestamp timestamp, key binary, value binary")
+    files.write_recording(messages, str(tmp_path / "r"))
+    good, bad = files.read_recording(spark, str(tmp_path / "r"))
+    assert sorted(map(repr, good.collect())) == sorted(map(repr, messages.collect())) and bad.count() == 0
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.json").write_text('nothing\n{"topic": "t"}\n{"topic": "t", "partition": 0, "offset": 1, "timestamp_ms": 5, "value_b64": "%%"}\n')
+    assert sorted(r.fault for r in files.read_recording(spark, str(tmp_path / "b"))[1].collect()) == ["field", "json", "value"]
+    files.write_review(examples, str(tmp_path / "c"))
+    assert "'=1" not in (tmp_path / "e").name
+    text = files.markdown("Title", spark.createDataFrame([("a|b", 0.5)], "x string, y double"), ["x", "y"])
+    assert text.splitlines()[-1] == r"| a\|b | 0.500 |"
+
+
+def test_text_model(spark):
+    from tidewatch.operators import textmodel
+
+    made = [(i, "good fine nice" if i % 3 else "bad sad mad", "positive" if i % 3 else "negative") for i in range(60)]
+    df = spark.createDataFrame(made, "id long, text string, polarity string")
+    got = textmodel.fit_predict(df, df).collect()
+    assert all(r.predicted == r.polarity and abs(sum(r.scores.values()) - 1) < 1e-6 for r in got)

@@ -104,6 +104,70 @@ def read_post(html: str | None) -> dict:
     return {"author": meta.get("作者", "").split(" (")[0] or None, "title": meta.get("標題"), "time": meta.get("時間"), "body": body, "comments": comments}
 
 
+class _List(HTMLParser):
+    """A list page: entries above the line that parts the pinned ones, and the link to the page before."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str]] = []
+        self.found = self.closed = False
+        self.entries: list[dict[str, str | None]] = []
+        self.before: str | None = None
+        self.link: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        given = dict(attrs)
+        kinds = (given.get("class") or "").split()
+        if tag in _VOID:
+            return
+        self.open.append((tag, kinds[0] if kinds else ""))
+        self.found |= "r-list-container" in kinds
+        self.closed |= "r-list-sep" in kinds
+        if "r-ent" in kinds and not self.closed:
+            self.entries.append({"url": None, "title": "", "author": "", "push": ""})
+        if tag == "a":
+            self.link = given.get("href")
+            if self.entries and not self.closed and any(k == "title" for _, k in self.open):
+                self.entries[-1]["url"] = self.link
+
+    def handle_endtag(self, tag: str) -> None:
+        while any(t == tag for t, _ in self.open):
+            if self.open.pop()[0] == tag:
+                break
+
+    def handle_data(self, data: str) -> None:
+        kinds = [k for _, k in self.open]
+        if self.entries and not self.closed:
+            for kind, part in (("nrec", "push"), ("title", "title"), ("author", "author")):
+                if kind in kinds:
+                    self.entries[-1][part] += data
+        if "btn-group" in kinds and "上頁" in data:
+            self.before = self.link
+
+
+def read_list(html: str | None) -> dict | None:
+    """Entries (url, title, author, push text) and the previous page's link; null if it isn't a list page."""
+    page = _List()
+    page.feed(html or "")
+    if not page.found:
+        return None
+    rows = [(e["url"], e["title"].strip(), None if e["author"].strip() in ("", "-") else e["author"].strip(), e["push"].strip(), e["url"] is None) for e in page.entries]
+    return {"entries": rows, "before": page.before}
+
+
+def parse_lists(pages: DataFrame) -> DataFrame:
+    """List entries from ``pages(page_id, html)``; a page that isn't a list gives one row with a null list."""
+
+    def run(it):
+        for pdf in it:
+            rows = [{"page_id": k, **(read_list(h) or {"entries": None, "before": None})} for k, h in zip(pdf["page_id"], pdf["html"])]
+            yield pd.DataFrame(rows, columns=["page_id", "entries", "before"])
+
+    return pages.select("page_id", "html").mapInPandas(
+        run, "page_id long, entries array<struct<url: string, title: string, author: string, push: string, is_deleted: boolean>>, before string"
+    )
+
+
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Title, first heading, number of links and text of each page; null pages give empty values."""
 

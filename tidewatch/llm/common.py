@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of applications whose deletion is registered.
+_USED: set[str] = set()
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as the cluster names it.
@@ -26,8 +31,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of the application that goes when the driver exits."""
+    app = f"{scratch_root(spark)}/tidewatch-{spark.sparkContext.applicationId}"
+    if app not in _USED:
+        _USED.add(app)
+        atexit.register(forget, spark, app)
+    return f"{app}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,9 +47,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared folder through Hadoop's file system API."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete a folder below the shared folder through Hadoop's file system API, if the driver's JVM still runs."""
+    with contextlib.suppress(Exception):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -259,6 +259,9 @@ def test_sharding(spark, docs, odd, tmp_path):
     with pytest.raises(shards.ManifestConflict):
         store._commit(stale, [], None)
     assert store.vacuum() > 0 and store.read().count() == before
+    store._write(docs.limit(3))  # a writer that fails before its commit
+    assert store.read().count() == before and len(store.orphans(-60)) == 1 and not store.orphans(3600)
+    assert store.vacuum(orphans_s=-60) == 1 and store.read().count() == before
     for df in (odd, odd.limit(0)):
         assert rows(shards.sharded(df)) == rows(df)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -109,6 +110,7 @@ class ShardStore:
             with self._splits(merged):
                 made = self._write(self._read([s["path"] for s in merged], now["schema"]))
             if len(made) >= len(merged):
+                self._delete(made)
                 return now["version"]
             gone = {s["path"] for s in merged}
             self._commit(now, [s for s in now["shards"] if s["path"] not in gone] + made, now["schema"])
@@ -132,15 +134,28 @@ class ShardStore:
             for k, v in had.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete the data files that none of the newest ``keep`` versions names, and older manifests."""
+    def _delete(self, shards: list[dict]) -> int:
+        return sum(bool(self._fs.delete(self._path(f"{self.root}/{s['path']}"), False)) for s in shards)
+
+    def orphans(self, older_than_s: float) -> list[dict]:
+        """Data files that no manifest names, from writers that failed at least so long ago."""
+        named = {s["path"] for v in self.versions() for s in self.manifest(v)["shards"]}
+        before, found = (time.time() - older_than_s) * 1000, []
+        data = self._path(f"{self.root}/data")
+        for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            for s in self._fs.listStatus(folder.getPath()):
+                path = f"data/{folder.getPath().getName()}/{s.getPath().getName()}"
+                if path.endswith(".parquet") and path not in named and s.getModificationTime() < before:
+                    found.append({"path": path, "bytes": s.getLen()})
+        return found
+
+    def vacuum(self, keep: int = 1, orphans_s: float = 86_400) -> int:
+        """Delete what none of the newest ``keep`` versions names, older manifests, and old orphans."""
         versions = self.versions()
         stay = {s["path"] for v in versions[-keep:] for s in self.manifest(v)["shards"]}
-        gone = 0
+        gone = self._delete(self.orphans(orphans_s))
         for v in versions[:-keep]:
-            for s in self.manifest(v)["shards"]:
-                if s["path"] not in stay:
-                    gone += bool(self._fs.delete(self._path(f"{self.root}/{s['path']}"), False))
+            gone += self._delete([s for s in self.manifest(v)["shards"] if s["path"] not in stay])
             self._fs.delete(self._path(self._manifest_name(v)), False)
         return gone
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import hash_sample, small_batches, with_unsigned_crc, written
 
 #: Labelled rows that training reads at most.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 30_000
 BITS = 20
 FOLDS, HELD_OUT = 5, 0
 
@@ -64,7 +64,7 @@ class Model:
 
 
 def ftrl(
-    batches, bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0
+    batches, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """One pass over (features, label) pairs; every feature has its own learning rate."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -160,6 +161,20 @@ def test_mixing_without_broadcast(docs, monkeypatch):
     assert rows(mixing.mix(docs)) == want
 
 
+@pytest.mark.parametrize("rate", [0.0, 1.5, 100.0, 700.0, 800.0, 5000.0])
+def test_mixing_at_large_rates(spark, rate):
+    from tidewatch.llm import mixing
+
+    got = spark.range(1).select(mixing.poisson_least(F.lit(rate)).alias("a"), mixing.poisson_cdf(F.lit(rate)).alias("c")).first()
+    term = lambda k: math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else float(k == 0)
+    want = np.cumsum([term(k) for k in range(got.a + len(got.c))])
+    assert (got.a == 0 or want[got.a - 1] < 1e-20) and got.c[-1] == 1
+    assert np.allclose(got.c, want[got.a :], rtol=0, atol=1e-9)
+    one = spark.createDataFrame([(4, "x", "en", None, 1)], DOCS)
+    u = int(hashlib.md5(b"7:4").hexdigest()[:13], 16) / (1 << 52)
+    assert mixing.mix(one, total=rate).count() == int((want <= u).sum())
+
+
 # 4
 
 

@@ -39,18 +39,33 @@ def source_rates(
     return counts.select("source", "n", (F.lit(goal) * F.col("weight") / F.lit(float(mass)) / F.col("n")).alias("rate"))
 
 
+def poisson_least(rate: Column) -> Column:
+    """The first k whose cumulative value isn't nil."""
+    return F.greatest(F.ceil(rate - F.sqrt(rate) * 12 - 20), F.lit(0)).cast("int")
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... as an array that reaches to where the tail is nil."""
+    """P(X <= k) for k from ``poisson_least`` on as an array that reaches to where the tail is nil.
+
+    Terms are ratios to the one at the mode, made outwards from it, so that a large rate doesn't underflow.
+    """
+    least, mode = poisson_least(rate), F.floor(rate).cast("int")
     top = F.ceil(rate + F.sqrt(rate) * 12 + 20).cast("int")
-    terms = F.aggregate(
-        F.sequence(F.lit(1), top),
-        F.array(F.exp(-rate)),
+    above = F.aggregate(
+        F.sequence(mode + 1, top),
+        F.array(F.lit(1.0)),
         lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) * rate / k)),
     )
+    terms = F.aggregate(
+        F.when(mode > least, F.reverse(F.sequence(least + 1, mode))).otherwise(F.array().cast("array<int>")),
+        above,
+        lambda acc, k: F.concat(F.array(F.element_at(acc, 1) * k / rate), acc),
+    )
     return F.aggregate(
         terms,
         F.array().cast("array<double>"),
         lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + p)),
+        lambda acc: F.transform(acc, lambda c: c / F.element_at(acc, -1)),
     )
 
 
@@ -83,7 +98,9 @@ def mix(
     docs = docs.drop("copy", "shuffle_key")
     names = docs.columns
     rates = source_rates(docs, weights, source_col=source_col, power=power, total=total)
-    rates = rates.select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf"))
+    rates = rates.select(
+        F.col("source").alias("__source"), poisson_least(F.col("rate")).alias("__least"), poisson_cdf(F.col("rate")).alias("__cdf")
+    )
     same = F.col(source_col).eqNullSafe(F.col("__source"))
     if rates.limit(SOURCES_BROADCAST + 1).count() <= SOURCES_BROADCAST:
         dealt = docs.join(F.broadcast(rates), same)
@@ -92,7 +109,7 @@ def mix(
         own = docs.withColumn("__own", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
         dealt = own.join(salted, same & (F.col("__own") == F.col("__salt")))
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    count = F.size(F.filter("__cdf", lambda c: c <= hash_uniform(key)))
+    count = F.col("__least") + F.size(F.filter("__cdf", lambda c: c <= hash_uniform(key)))
     dealt = dealt.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     dealt = dealt.withColumn("shuffle_key", F.md5(F.concat(key, F.lit(":"), F.col("copy").cast("string"))))
     return (

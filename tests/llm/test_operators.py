@@ -208,6 +208,20 @@ def test_packing(docs, odd):
     assert packing.pack(odd.limit(0), vocabulary()).count() == 0
 
 
+def test_packing_of_special_tokens(spark):
+    from tidewatch.llm import packing
+    from tidewatch.llm.queries import vocabulary
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b.", "<|startoftext|> the word", "A <|ENDOFTEXT|> b", "x  <|endoftext|><|endoftext|>\n y", "the < | endoftext |> word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(df, vocabulary()).collect()}
+    ids = [np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4") for x in texts]
+    assert ids[0].tolist() == [320, 49407, 321, 1]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
 def test_best_fit_closes_the_fullest():
     from tidewatch.llm.packing import best_fit
 

@@ -36,7 +36,7 @@ class WordCache:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.added = [t.content.encode().lower() for t in self.full.get_added_tokens_decoder().values()]
         self.words = Tokenizer(self.full.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -79,8 +79,15 @@ class WordCache:
             known[c] = known[c[:-1]] + self.marks[c[-1:]]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [(t or "").encode(errors="surrogatepass").lower().split() for t in texts]
+        """The ids of each text as little-endian unsigned 32-bit numbers.
+
+        A text with a special token's literal, in whatever case, goes to the full tokenizer as it is.
+        """
+        lower = [(t or "").encode(errors="surrogatepass").lower() for t in texts]
+        whole = [i for i, t in enumerate(lower) if any(a in t for a in self.added)]
+        for i in whole:
+            lower[i] = b""
+        split = [t.split() for t in lower]
         get, out, late = self.known.get, [], []
         for chunks in split:
             got = list(map(get, chunks))
@@ -95,7 +102,11 @@ class WordCache:
             self.learn(new)
         for i in late:
             out[i] = map(self.known.__getitem__, split[i])
-        return list(map(b"".join, out))
+        ids = list(map(b"".join, out))
+        if whole:
+            for i, raw in zip(whole, self._encode([texts[i] for i in whole])):
+                ids[i] = raw
+        return ids
 
 
 _CACHES: dict[str, WordCache] = {}

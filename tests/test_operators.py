@@ -244,3 +244,16 @@ def test_text_model(spark):
     df = spark.createDataFrame(made, "id long, text string, polarity string")
     got = textmodel.fit_predict(df, df).collect()
     assert all(r.predicted == r.polarity and abs(sum(r.scores.values()) - 1) < 1e-6 for r in got)
+
+
+def test_text_model_reads_whole_texts(spark):
+    from pyspark.ml.linalg import Vectors
+    from tidewatch.operators import textmodel
+
+    made = [(i, "the same words " * 40 + ("good fine nice" if i % 3 else "bad sad mad"), "positive" if i % 3 else "negative") for i in range(60)]
+    df = spark.createDataFrame(made, "id long, text string, polarity string")
+    assert all(r.predicted == r.polarity for r in textmodel.fit_predict(df, df).collect())
+    counts = spark.createDataFrame([(Vectors.sparse(5, [1, 3], [1.0, 20.0]),)], ["n"])
+    got = counts.select(textmodel.sublinear("n").alias("tf")).first().tf
+    assert got.indices.tolist() == [1, 3] and got.values.tolist() == pytest.approx([1, 3.995732], abs=1e-6)
+    assert textmodel.VOCABULARY == 200_000

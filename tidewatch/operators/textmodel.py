@@ -1,19 +1,21 @@
-"""A baseline text classifier: character n-grams, smoothed TF-IDF, balanced logistic regression."""
+"""A baseline text classifier: character n-grams, smoothed TF-IDF with sublinear TF, balanced logistic regression."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VOCABULARY = 20_000
+VOCABULARY = 200_000
 
 
-def char_grams(text: Column, most: int = 400) -> Column:
+def char_grams(text: Column) -> Column:
     """1- to 3-grams of characters inside words that are padded with a space on either side."""
-    words = F.filter(F.split(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, most)), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
@@ -26,6 +28,14 @@ def char_grams(text: Column, most: int = 400) -> Column:
     return F.flatten(F.transform(words, grams))
 
 
+def _sublinear(counts):
+    return Vectors.sparse(counts.size, counts.indices, 1 + np.log(counts.values))
+
+
+#: 1 + ln of each count of a term.
+sublinear = F.udf(_sublinear, VectorUDT()).asNondeterministic()
+
+
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight`` = rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
@@ -39,10 +49,12 @@ def fit_predict(train: DataFrame, rows: DataFrame, text: str = "text", label: st
     gram = lambda df: df.withColumn("__grams", char_grams(F.col(text)))
     weighted = gram(balanced(train, label))
     names = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(weighted)
-    terms = CountVectorizer(inputCol="__grams", outputCol="__tf", minDF=2, vocabSize=VOCABULARY).fit(weighted)
-    idf = IDF(inputCol="__tf", outputCol="__w").fit(terms.transform(weighted))
+    terms = CountVectorizer(inputCol="__grams", outputCol="__n", minDF=2, vocabSize=VOCABULARY).fit(weighted)
+    # exploded, so that Spark can't move the call into expressions of the estimators, where Python isn't called
+    count = lambda df: terms.transform(df).withColumn("__tf", F.explode(F.array(sublinear("__n"))))
+    idf = IDF(inputCol="__tf", outputCol="__w").fit(count(weighted))
     norm = Normalizer(inputCol="__w", outputCol="features")
-    prepare = lambda df: norm.transform(idf.transform(terms.transform(df)))
+    prepare = lambda df: norm.transform(idf.transform(count(df)))
     model = LogisticRegression(labelCol="__y", weightCol="weight", maxIter=20).fit(prepare(names.transform(weighted)))
     shares = vector_to_array("probability")
     scored = model.transform(prepare(gram(rows)))

@@ -175,6 +175,22 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect()), key=repr) == want
 
 
+def test_surges_of_a_batch_fold_counts(spark, capsys):
+    events = cdc(spark)
+    events = events.unionAll(events.withColumn("board", F.lit(None).cast("string")))
+    config = heat.HeatConfig(warmup_min=5, min_count=30, post_min_count=30)
+    rows = heat.countable(events, config).collect()
+    want = []
+    for name in ("a", "b", None):
+        board = heat.Board()
+        for r in sorted((r for r in rows if r.board == name), key=lambda r: (r.minute, r.lsn)):
+            want += [(name, *t) for t in board.take(name, r.post_id, r.minute, r.minute, config)]
+    found = heat.detect(events, config)
+    assert want and sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    found.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out  # no board is held as a whole
+
+
 def test_merge_stream_is_idempotent(spark, tmp_path):
     run_batch = jobs.merge_latest(str(tmp_path / "t"), ["k"], ["lsn"])
     rows = lambda *r: spark.createDataFrame(list(r), "k string, lsn long, v string")

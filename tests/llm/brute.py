@@ -22,6 +22,12 @@ def groups(ids: list, linked) -> dict:
     return {i: find(i) for i in ids}
 
 
+def shingles(text: str | None) -> set[bytes]:
+    """The set of a text's five-word shingles; all its words if there are fewer."""
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def simhash(text: str | None) -> int:
     from xxhash import xxh64_intdigest
 

@@ -21,8 +21,8 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in calm.collect()} == {r.doc_id for r in docs.collect()} - bad
 
     single = written(stage["simhash_near_dedup"](spark, calm, SMALL), "s")
-    prints = {r.doc_id: brute.simhash(r.text) for r in calm.collect()}
-    groups = brute.groups(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    sets = {r.doc_id: brute.shingles(r.text) for r in calm.collect()}
+    groups = brute.groups(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     assert {r.doc_id for r in single.collect()} == set(groups.values())
 
     cut = written(stage["suffix_array_dedup"](spark, single, SMALL), "c")

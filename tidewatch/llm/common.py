@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +55,23 @@ def forget(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, as rows of these operators hold whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into pieces of about so many rows and bytes at most, as rows may hold whole texts.
+
+    Spark itself bounds the bytes of a batch; the session's settings stay as they are.
+    """
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def with_unsigned_crc(df: DataFrame, name: str, id_col: str, mod: int) -> DataFrame:

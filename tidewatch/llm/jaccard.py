@@ -1,7 +1,8 @@
-"""Near copies by the exact Jaccard similarity of word shingles: a set-similarity join without loss.
+"""Sets of word shingles: their exact check at a Jaccard similarity of 0.8, and the pairs that fingerprints miss.
 
 At a similarity of 0.8 some nine of 64 SimHash bits differ, and up to twice that, which is so near to
-the distance of unrelated texts that no tree over fingerprints parts them. Prefixes of the sets do.
+the distance of unrelated texts that no tree over fingerprints parts them. ``simhash.similar`` links
+what lies within its radius and takes from here the exact way for the rest: prefixes of the sets.
 """
 
 from __future__ import annotations
@@ -10,20 +11,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, hash_sample, small_batches, written
+from tidewatch.llm.common import hash_sample, slices
 
 WORDS = 5
 SEED = 42
 #: Sets that shingles are counted in at most, and frequent shingles that are broadcast at most.
 ORDER_SAMPLE = 20_000
 FREQUENT = 100_000
+#: Prefix rows that a bucket stands for, about, and rows of one shingle that a task compares at once.
+BUCKET_ROWS = 500_000
+BLOCK_ROWS = 20_000
+#: Sets with a shingle, by the sample's telling, beyond which it is dealt over all buckets.
+HOT_ROWS = 100_000
 #: Members of a bucket that each member is compared with first, as near copies in order of size are neighbours.
-NEIGHBOURS = 3
+NEIGHBOURS = 2
 #: Words of 64 bits in the filter that leaves out sets before their join.
 FILTER_WORDS = 1 << 17
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -46,51 +54,77 @@ def shingles(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarr
     return np.unique(np.array([xxh64_intdigest(joined[a:z], seed) for a, z in spans], "<u8"))
 
 
+def digest(text_col: str) -> Column:
+    """The MD5 of a text; the empty string for null."""
+    return F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit(""))
+
+
+def set_print(found: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes; 0 for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, found.size, 1 << 16):
+        part = found[at : at + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > found.size, bitorder="little").view("<u8")[0])
+
+
 def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, row, shingles) of every row; equal sets have the same node."""
-    small_batches(docs.sparkSession)
+    """(doc_id, digest, node, n, fp, shingles, row) of every row; equal sets have the same node, equal texts the same digest."""
 
     def run(it):
         from xxhash import xxh3_64_intdigest
 
-        for b in it:
-            raw = [shingles(t).tobytes() for t in b.column(1).to_pylist()]
+        for b in slices(it):
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            raw = [x.tobytes() for x in sets]
             node = np.array([xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(raw, pa.binary())], ["doc_id", "node", "shingles"])
+            fp = np.array([set_print(x) for x in sets], np.uint64).view(np.int64)
+            n = np.array([x.size for x in sets], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), *map(pa.array, (node, n, fp)), pa.array(raw, pa.binary())],
+                ["doc_id", "digest", "node", "n", "fp", "shingles"],
+            )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, node long, shingles binary").withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), digest(text_col).alias("digest"))
+    made = texts.mapInArrow(run, "doc_id long, digest string, node long, n int, fp long, shingles binary")
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles in order with their counts in a bounded sample."""
+def frequent(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent shingles in order with their counts in a bounded sample, and in all ``rows`` as far as that tells."""
 
     def run(it):
         for b in it:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"))], ["shingle"])
 
-    found = hash_sample(sets, ORDER_SAMPLE, "node").select("shingles").mapInArrow(run, "shingle long")
+    drawn = hash_sample(sets, ORDER_SAMPLE, "row").select("shingles")
+    sampled = max(1, drawn.count())
+    found = drawn.mapInArrow(run, "shingle long")
     found = found.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    rows = found.collect()
-    token = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    got = found.collect()
+    token = np.array([r.shingle for r in got], np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], np.array([r.n for r in rows], np.int64)[order]
+    count = np.array([r.n for r in got], np.int64)[order]
+    return token[order], count, count * rows // sampled
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """(shingle, node, n, at): the rarest shingles of each set, of which two sets of similarity 0.8 share one.
+def prefix_rows(sets: DataFrame, buckets: int, shared: Broadcast) -> DataFrame:
+    """(b, blob): the rarest shingles of each set, of which two sets of similarity 0.8 share one, packed by bucket.
 
     Shingles are ordered by their count in the sample, then by value. The order only decides how many
-    sets meet; with any, a set of n that shares four fifths of it misses n - ceil(0.8 n) at most.
+    sets meet; with any, a set of n that shares four fifths of it misses n - ceil(0.8 n) at most. A blob
+    has columns of shingles, nodes, sizes and places in the prefix. A shingle that very many sets have is
+    dealt over all buckets, below 0: that several sets have it needs no telling.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(frequent(sets))
 
     def run(it):
-        token, count = shared.value
+        token, count, everywhere = shared.value
+        hot = token[everywhere > HOT_ROWS]
         done: set[int] = set()
-        for b in it:
-            kept, nodes, sizes, lengths = [np.zeros(0, "<u8")], [], [], []
-            for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for batch in slices(it, rows=4000):
+            kept, nodes, lengths = [np.zeros(0, "<u8")], [], []
+            sizes = []
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if node in done or not raw:
                     continue
                 done.add(node)
@@ -104,16 +138,60 @@ def prefixes(sets: DataFrame) -> DataFrame:
                 nodes.append(node)
                 sizes.append(len(raw) // 8)
                 lengths.append(most)
+            if not nodes:
+                continue
             k = np.array(lengths, np.int64)
-            at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            cols = [np.concatenate(kept).view("<i8"), np.repeat(np.array(nodes, np.int64), k), np.repeat(np.array(sizes, np.int32), k), at.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["shingle", "node", "n", "at"])
-
-    return sets.select("node", "shingles").mapInArrow(run, "shingle long, node long, n int, at int")
+            tokens, own = np.concatenate(kept), np.repeat(np.arange(k.size), k)
+            node = np.array(nodes, np.int64)[own]
+            where = ((tokens * _MIX) >> np.uint64(33)).astype(np.int64) % buckets
+            if hot.size:
+                very = np.isin(tokens, hot)
+                where[very] = -1 - (tokens[very] ^ node[very].view(np.uint64) * _MIX).astype(np.int64) % buckets
+            cols = tokens, node, np.array(sizes, np.int32)[own], (np.arange(own.size) - (np.cumsum(k) - k)[own]).astype(np.int32)
+            order = np.argsort(where, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=where[order[0]] - 1)), order.size)
+            parts = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+            blobs = [b"".join(c[p].tobytes() for c in cols) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([int(where[p[0]]) for p in parts], pa.int32()), pa.array(blobs, pa.binary())], ["b", "blob"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "b int, blob binary")
+
+
+def shared_rows(sets: DataFrame, rows: int, total: int) -> DataFrame:
+    """(shingle, node, n, at, k) of the prefixes whose shingle several sets have; k blocks hold a shingle's rows.
+
+    ``rows`` and ``total`` are the numbers of sets and of their shingles.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(frequent(sets, rows))
+
+    def run(t: pa.Table) -> pa.Table:
+        blobs, b = t.column("blob").to_pylist(), t.column("b")[0].as_py()
+        m = [len(x) // 24 for x in blobs]
+        token = np.concatenate([np.frombuffer(x, "<u8", k) for x, k in zip(blobs, m)])
+        node = np.concatenate([np.frombuffer(x, "<i8", k, 8 * k) for x, k in zip(blobs, m)])
+        n = np.concatenate([np.frombuffer(x, "<i4", k, 16 * k) for x, k in zip(blobs, m)])
+        at = np.concatenate([np.frombuffer(x, "<i4", k, 20 * k) for x, k in zip(blobs, m)])
+        order = np.lexsort((node, token))
+        order = order[np.append(True, (np.diff(token[order]) != 0) | (np.diff(node[order]) != 0))]
+        token = token[order]
+        heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        sizes = np.diff(np.append(heads, token.size))
+        blocks = -(-sizes // BLOCK_ROWS)
+        if b < 0:
+            # a share of the rows of each of its shingles
+            frequent_, _, everywhere = shared.value
+            blocks = -(-everywhere[np.searchsorted(frequent_, token[heads])] // BLOCK_ROWS)
+        keep = np.repeat((sizes > 1) | (b < 0), sizes)
+        k = np.repeat(blocks, sizes)[keep].astype(np.int32)
+        cols = [token.view(np.int64)[keep], *(c[order][keep] for c in (node, n, at)), k]
+        return pa.table(list(map(pa.array, cols)), ["shingle", "node", "n", "at", "k"])
+
+    packed = prefix_rows(sets, max(1, total // 5 // BUCKET_ROWS), shared)
+    return packed.groupBy("b").applyInArrow(run, "shingle long, node long, n int, at int, k int")
 
 
 def whole_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, joined and cut so that no bucket of the first column is parted."""
+    """Columns of sorted batches, joined and cut so that no bucket, told by the first column, is parted."""
     held: list[list[np.ndarray]] = []
     for b in it:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -140,63 +218,77 @@ def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
 
-def _in_buckets(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(run, schema)
+def _named(shared: DataFrame, group: DataFrame) -> DataFrame:
+    """The rows of ``shared_rows`` with their components so far and their blocks."""
+    named = shared.join(group.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    own = F.pmod(F.xxhash64(F.lit(29), "node"), F.col("k")).cast("int")
+    return named.select("shingle", "node", "n", "at", "k", own.alias("own"), F.coalesce("component", "node").alias("component"))
 
 
-def shared_rows(rows: DataFrame) -> DataFrame:
-    """The rows of ``prefixes`` whose shingle several sets have."""
+def _met(rows: DataFrame, run: Callable) -> DataFrame:
+    columns = ["key", "node", "n", "at", "component", "own"]
+    return rows.repartition("key").sortWithinPartitions("key", "n", "node").select(*columns).mapInArrow(run, "a long, b long").distinct()
 
-    def run(it):
-        for token, node, n, at in whole_buckets(it):
-            new = np.ones(token.size, bool)
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, n, at = token[new], node[new], n[new], at[new]
-            same = token[1:] == token[:-1]
-            keep = np.append(same, False) | np.append(False, same)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, node, n, at)], ["shingle", "node", "n", "at"])
 
-    return _in_buckets(rows, run, "shingle long, node long, n int, at int")
+def _distinct_pairs(node: np.ndarray, i: list, j: list) -> pa.RecordBatch:
+    x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (i, j))
+    x, y = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: x.size]
+    return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
 
 
-def neighbour_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that are next to each other in a bucket in order of size."""
+def neighbour_pairs(shared: DataFrame, group: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different groups that are next to each other in a bucket in order of size."""
+    rows = _named(shared, group).withColumn("key", F.when(F.col("k") > 1, F.xxhash64("shingle", "own")).otherwise(F.col("shingle")))
 
     def run(it):
-        for token, node, n, at in whole_buckets(it):
+        for key, node, n, at, component, _ in whole_buckets(it):
+            first, second = [], []
             for lag in range(1, NEIGHBOURS + 1):
-                i = np.flatnonzero(token[lag:] == token[:-lag])
+                i = np.flatnonzero((key[lag:] == key[:-lag]) & (component[lag:] != component[:-lag]))
                 i = i[may_link(n, at, i, i + lag)]
-                yield _pairs(node, i, i + lag)
+                first.append(i)
+                second.append(i + lag)
+            yield _distinct_pairs(node, first, second)
 
-    return _in_buckets(shared, run, "a long, b long").distinct()
+    return _met(rows, run)
 
 
 def other_pairs(shared: DataFrame, group: DataFrame) -> DataFrame:
-    """All other pairs (a, b) that a bucket allows, those in one group already left out."""
-    named = shared.join(group.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    named = named.select("shingle", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+    """All pairs (a, b) that a bucket allows, but those that are in one group already.
+
+    The rows of a shingle that very many sets have are dealt into blocks, and two blocks of them
+    meet in a task.
+    """
+    rows = _named(shared, group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pair = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
+    cross = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).cast("int")
+    rows = rows.withColumn("key", F.when(F.col("k") > 1, pair).otherwise(F.col("shingle"))).withColumn("own", cross)
 
     def run(it):
-        for token, node, n, at, component in whole_buckets(it):
-            cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), token.size]):
+        for key, node, n, at, component, own in whole_buckets(it):
+            first, second = [], []
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), key.size]):
                 if (component[a:z] == component[a]).all():
                     continue
                 # sets in order of size: a set's partners end where they are a quarter larger
                 ends = np.searchsorted(4 * n[a:z].astype(np.int64), 5 * n[a:z].astype(np.int64), "right") + a
                 for i in range(a, z - 1):
                     j = np.arange(i + 1, ends[i - a])
-                    j = j[component[j] != component[i]]
-                    own = np.full(j.size, i)
-                    keep = may_link(n, at, own, j)
-                    if keep.any():
-                        yield _pairs(node, own[keep], j[keep])
+                    j = j[(component[j] != component[i]) & ((own[i] < 0) | (own[j] != own[i]))]
+                    mine = np.full(j.size, i)
+                    keep = may_link(n, at, mine, j)
+                    first.append(mine[keep])
+                    second.append(j[keep])
+            yield _distinct_pairs(node, first, second)
 
-    return _in_buckets(named, run, "a long, b long").distinct()
+    return _met(rows, run)
 
 
-def _among(sets: DataFrame, rows: DataFrame) -> DataFrame:
+def among(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """The sets of ``rows(node, row)``; a filter of fixed size leaves out most others before the join."""
     spot = F.pmod(F.xxhash64("row"), F.lit(64 * FILTER_WORDS))
     bits = rows.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
@@ -228,37 +320,3 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable by pairs of similarity 0.8 or more.
-
-    Every such pair shares a prefix shingle and is compared by its whole sets, unless other pairs
-    join it already: neighbours in a bucket are compared first, then all pairs across the groups
-    that these make, so that a large group of near copies isn't compared pair by pair. Equal sets
-    are one node; texts without words are one too. Rows that share an id stay rows of their own; a
-    null id takes part, but never names a component unless all its members are null. An empty
-    table gives an empty result; other columns are not looked at.
-    """
-    sets = written(shingle_sets(docs, id_col=id_col, text_col=text_col), "shingles")
-    nodes = written(sets.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "nodes")
-    shared = written(shared_rows(prefixes(sets)), "shared")
-    met = written(nodes.join(shared.select("node").distinct(), "node").select("node", "row"), "met")
-    few = written(_among(sets, met), "compared")
-    near = written(verified(neighbour_pairs(shared), few), "near")
-    far = written(verified(other_pairs(shared, components(near)), few), "far")
-    group = components(near.unionAll(far))
-    placed = nodes.join(group.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    placed = written(placed.select("node", "first", F.coalesce("component", "node").alias("component")), "placed")
-    # written, so that Spark sees a plain exchange on both sides of the join and can split a large component
-    names = written(placed.groupBy("component").agg(F.min("first").alias("component_id")), "names")
-    named = written(placed.join(names, "component").select("node", "component_id"), "named")
-    return sets.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
-
-
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the first of their group, with all their columns."""
-    first = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    first = first.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    # rows that share the id of a group's first document all stay, as ids don't tell them apart
-    return docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import hash_sample, small_batches, with_unsigned_crc, written
+from tidewatch.llm.common import hash_sample, slices, with_unsigned_crc, written
 
 #: Rows that training reads at most, landmarks among them, and hashed n-grams.
 TRAIN_ROWS = 12_000
@@ -74,7 +74,6 @@ def train(
     solves them, whose size is that of the landmarks. None if there is nothing to learn from.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     known = with_unsigned_crc(docs, "__fold", id_col, FOLDS).where(
         F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.coalesce("__fold", F.lit(HELD_OUT)) != HELD_OUT)
     )
@@ -98,7 +97,7 @@ def train(
         place = {name: i for i, name in enumerate(names)}
         m = to.shape[1] + 1
         xx, xy = np.zeros((m, m)), np.zeros((m, len(names)))
-        for b in it:
+        for b in slices(it):
             x = np.hstack([kernel_rows(b.column("text").to_pylist(), to.shape[0]) @ to, np.ones((b.num_rows, 1), np.float32)]).astype(float)
             y = np.full((b.num_rows, len(names)), -1.0)
             y[np.arange(b.num_rows), [place[v] for v in b.column("lang").to_pylist()]] = 1
@@ -128,12 +127,11 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     own; a null id isn't held out; other columns are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(it):
         m = shared.value
-        for b in it:
+        for b in slices(it):
             texts = b.column("text").to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             told = [i for i, t in enumerate(texts) if m and t and _LETTER(t)]

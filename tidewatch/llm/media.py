@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.archive import FORMAT, ArchiveSource, qualified
-from tidewatch.llm.common import scratch_path, small_batches
+from tidewatch.llm.common import scratch_path, slices
 
 #: Samples of a row; payloads are padded to whole rows with PAD, a byte that UTF-8 never has.
 WIDTH = 576
@@ -70,12 +70,11 @@ def feature(samples: bytes, width: int) -> str:
 def store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write one image a row to archives below ``path``; members are named by id and number."""
     spark = docs.sparkSession
-    small_batches(spark)
     spark.dataSource.register(ArchiveSource)
 
     def run(it):
         n = 0
-        for b in it:
+        for b in slices(it):
             names, media = [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = payload(t)
@@ -98,12 +97,11 @@ def load(spark, path: str, **options: int) -> DataFrame:
 
 def describe(media: DataFrame) -> DataFrame:
     """Decode (doc_id, media) and compute what the stored samples say, one row a member."""
-    small_batches(media.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(it):
-        for b in it:
+        for b in slices(it):
             rows = []
             for d, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()):
                 raw, n, width = decode(m)

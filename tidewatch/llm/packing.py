@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import small_batches, written
+from tidewatch.llm.common import slices, written
 
 SEQUENCE = 4096
 END_ID = 1
@@ -124,12 +124,11 @@ def pieces(
     docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end_id: int = END_ID
 ) -> DataFrame:
     """Each document's ids and an end id, cut after every ``length``: (doc_id, piece, start, length, ids_crc32)."""
-    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(it):
         cache = tokenizer(vocabulary)
-        for b in it:
+        for b in slices(it):
             rows = []
             for d, raw in zip(b.column(0).to_pylist(), cache.ids(b.column(1).to_pylist())):
                 raw += end

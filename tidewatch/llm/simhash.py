@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, hash_sample, small_batches, written
+from tidewatch.llm import jaccard
+from tidewatch.llm.common import components, hash_sample, slices, written
 
 WORDS = 4
 RADIUS = 4
@@ -18,8 +19,11 @@ RADIUS = 4
 #: differs in a PARTS-th of it at most, so that boundaries overlap far less than in one tree.
 PARTS = 3
 SEED = 42
-#: Fingerprints that the tree is fitted on at most, and rows of a leaf that a task compares at once.
+#: Fingerprints that the trees are fitted on: so many, or beyond that one in SAMPLED_ONE_IN, but not
+#: more than TREE_SAMPLE_MOST, 8 MB. LEAF_ROWS are compared at once by a task.
 TREE_SAMPLE = 65_536
+SAMPLED_ONE_IN = 256
+TREE_SAMPLE_MOST = 1 << 20
 LEAF_ROWS = 8_000
 
 
@@ -51,10 +55,9 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed number."""
-    small_batches(docs.sparkSession)
 
     def run(it):
-        for b in it:
+        for b in slices(it):
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -151,37 +154,53 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarr
     for d in np.unique(da):
         lo, hi = np.searchsorted(db, [d - radius, d + radius + 1])
         rows = np.flatnonzero(da == d)
-        for at in range(0, rows.size, 512):
-            part = rows[at : at + 512]
+        for at in range(0, rows.size, 256):
+            part = rows[at : at + 256]
             i, j = np.nonzero(np.bitwise_count(a[part, None] ^ b[None, lo:hi]) <= radius)
             yield part[i], order[lo + j]
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Root of each of n items after joining the pairs, roots being the smallest items."""
+def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs over n items that make a spanning forest of what they join.
+
+    Each root hooks on to a smaller one by a pair drawn by a hash, so that no item of a large
+    group gets very many of the pairs and no long chain comes of it.
+    """
     root = np.arange(n)
+    kept: list[tuple[np.ndarray, np.ndarray]] = [(root[:0], root[:0])]
     for i, j in pairs:
         while i.size:
             a, b = root[i], root[j]
-            keep = a != b
-            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            differ = a != b
+            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+            if not i.size:
+                break
+            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            draw = (lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (hi.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            best = np.zeros(n, np.uint64)
+            np.maximum.at(best, hi, (draw >> np.uint64(32) << np.uint64(32)) | np.arange(i.size, dtype=np.uint64))
+            hooked = np.unique(hi)
+            pick = (best[hooked] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            root[hooked] = lo[pick]
+            kept.append((i[pick], j[pick]))
             while (root != root[root]).any():
                 root = root[root]
-    return root
+    return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
 
 
 def near_pairs(prints: DataFrame, *, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, tree_sample: int = TREE_SAMPLE) -> DataFrame:
     """Links (a, b) that span the same groups as all pairs of ``prints(fp)`` within the radius.
 
-    The trees are fitted on a bounded sample and broadcast; every fingerprint is routed. A leaf
+    The trees are fitted on a bounded sample, which grows with the fingerprints up to
+    ``TREE_SAMPLE_MOST`` so that leaves don't, and broadcast; every fingerprint is routed. A leaf
     with more rows than a task compares at once is dealt into blocks, and a task gets two blocks
     of it, so that no group of near copies, however large, meets in one task. Each task emits
-    the links of a spanning forest of what it found, at most one per row.
+    a spanning forest of the pairs that it found, at most one per row, each within the radius.
     """
     spark = prints.sparkSession
     rows = prints.count()
-    sample = np.array([r.fp for r in hash_sample(prints, tree_sample, "fp").collect()], np.int64).view(np.uint64)
+    drawn = hash_sample(prints, min(max(tree_sample, rows // SAMPLED_ONE_IN), TREE_SAMPLE_MOST), "fp")
+    sample = np.array([r.fp for r in drawn.collect()], np.int64).view(np.uint64)
     scale = sample.size / max(rows, 1)
     parts = min(PARTS, radius + 1)
     trees = [fit_tree(sample, max(16, int(leaf_rows * scale)), m, radius // parts) for m in part_masks(parts)]
@@ -213,10 +232,9 @@ def near_pairs(prints: DataFrame, *, radius: int = RADIUS, leaf_rows: int = LEAF
             for to in range(at, fp.size, step)
             for i, j in linked(fp[at : at + step], fp[to : to + step], radius)
         )
-        root = spanning(fp.size, found)
-        own = np.flatnonzero(root != np.arange(fp.size))
+        i, j = spanning(fp.size, found)
         signed = fp.view(np.int64)
-        return pa.table({"a": signed[own], "b": signed[root[own]]})
+        return pa.table({"a": signed[i], "b": signed[j]})
 
     return dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "a long, b long")
 
@@ -234,17 +252,73 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     group = components(near_pairs(nodes.select("fp"), radius=radius))
     # the smallest id of each component goes back to its fingerprints, then to their documents
     placed = nodes.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    # written, so that Spark sees a plain exchange on both sides of the join and can split a large component
-    names = written(placed.groupBy("component").agg(F.min("first").alias("component_id")), "names")
-    named = written(placed.join(names, "component").select("fp", "component_id"), "named")
+    named = _named(written(placed.select("fp", "first", "component"), "placed"), "fp")
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def _similar_sets(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The shingle sets of all rows, and (node, first, component) of each different one."""
+    sets = written(jaccard.shingle_sets(docs, id_col=id_col, text_col=text_col), "shingles")
+    least = sets.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = written(least, "nodes")
+    rows, total = nodes.agg(F.count("*"), F.sum("n")).first()
+    shared = written(jaccard.shared_rows(sets, rows, total or 0), "shared")
+    # only sets that share a shingle of their prefixes can be similar
+    met = written(nodes.join(shared.select("node").distinct(), "node").select("node", "row", "fp"), "met")
+    few = written(jaccard.among(sets, met.select("node", "row")), "compared")
+    by_print = written(met.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    close = near_pairs(by_print.select("fp"), radius=radius)
+    for side in ("a", "b"):
+        close = close.join(by_print.select(F.col("fp").alias(side), F.col("first").alias(f"node_{side}")), side)
+    close = close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    same = met.join(by_print, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = written(jaccard.verified(close.unionAll(same), few), "near")
+    for more in (jaccard.neighbour_pairs, jaccard.other_pairs):
+        links = links.unionAll(written(jaccard.verified(more(shared, components(links)), few), "more"))
+    group = components(links).withColumnRenamed("node", "__n")
+    placed = nodes.join(group, F.col("node") == F.col("__n"), "left")
+    return sets, written(placed.select("node", "first", F.coalesce("component", "node").alias("component")), "placed")
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable by texts whose five-word shingles are similar.
+
+    Two texts link if the Jaccard similarity of their sets of shingles is 0.8 or more. The trees
+    give the pairs of fingerprints of the sets within the radius, which join nearly all of a large
+    group; as similar texts may differ in more bits than trees can part, the prefixes of the sets
+    give the others across the groups so far. Every pair is checked by its whole sets, none is lost.
+
+    Equal sets are one node; texts without words, null ones among them, are one too; a text of
+    fewer words is one shingle. Rows that share an id stay rows of their own; a null id takes part,
+    but never names a component unless all its members are null. Ties don't matter, as groups don't
+    depend on any order. An empty table gives an empty result; other columns are not looked at.
+    """
+    sets, placed = _similar_sets(docs, id_col, text_col, radius)
+    return sets.select("doc_id", "node").join(_named(placed, "node"), "node").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents that are the first of their group, with all their columns."""
-    first = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius)
-    first = first.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    # rows that share the id of a group's first document all stay, as ids don't tell them apart
-    return docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each group of :func:`similar`, with all its columns: the one with the smallest id.
+
+    A null id is the largest; of rows with that id the one whose text has the least MD5 stays, and
+    of rows equal in id and text any one. Other columns, whatever their names, come back as they are.
+    """
+    sets, placed = _similar_sets(docs, id_col, text_col, radius)
+    rows = sets.select("doc_id", "digest", "node").join(placed.select("node", "component"), "node")
+    rows = written(rows.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n")), "rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest", "n")).alias("best")
+    kept = rows.groupBy("component").agg(best).select(F.col("best.doc_id").alias("__id"), F.col("best.digest").alias("__digest"), F.col("best.n").alias("__n"))
+    kept = written(kept, "kept")
+    packed = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__i"), jaccard.digest(text_col).alias("__d"))
+    same = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest"))
+    one, several = (packed.join(kept.where(n), same) for n in ("__n = 1", "__n > 1"))
+    return one.select("__row.*").unionAll(several.dropDuplicates(["__id", "__digest"]).select("__row.*"))
+
+
+def _named(placed: DataFrame, node: str) -> DataFrame:
+    """(node, component_id): the smallest id of its component for each node of ``placed(node, first, component)``."""
+    # written, so that Spark sees a plain exchange on both sides of the join and can split a large component
+    names = written(placed.groupBy("component").agg(F.min("first").alias("component_id")), "names")
+    return written(placed.join(names, "component").select(node, "component_id"), "named")

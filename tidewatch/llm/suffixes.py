@@ -12,19 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import small_batches, written
+from tidewatch.llm.common import slices, unused, written
 
 #: A window of this many bytes counts as repeated; each is filed under its smallest 16-gram hash.
 WINDOW = 50
 GRAM = 16
 #: Bytes of text that a group of documents and a bucket of windows stand for, about.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 #: Windows of a run at most, and bytes that the shallow sort looks at.
 RUN = 64
 SHALLOW = 24
 #: Parts into which the rows of one text's digest are dealt.
 SALTS = 8
+#: Bytes of a SHA-256 that tell a copy.
+DIGEST = 16
 _SLICE = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -149,13 +151,20 @@ def deep_shallow(buf: bytes, pos: np.ndarray) -> np.ndarray:
     return classes
 
 
-def _rows(t: pa.Table, id_col: str, text_col: str, copies: dict[int, int]) -> Iterator[tuple[int, bytes]]:
-    """Ids and bytes of the rows to look at: those with an id that aren't copies of an earlier document."""
-    for d, text in zip(t.column(id_col).to_pylist(), t.column(text_col).to_pylist()):
-        if d is not None and text and d not in copies:
-            yield d, text.encode(errors="surrogatepass")
+class Copies(dict):
+    """By id the shortened digests of texts that a document with a smaller id has too."""
+
+    def has(self, d: int, raw: bytes) -> bool:
+        return d in self and hashlib.sha256(raw).digest()[:DIGEST] in self[d]
 
 
+def _rows(t: pa.Table, id_col: str, text_col: str, copies: Copies) -> Iterator[tuple[int, bytes]]:
+    """Ids and bytes of the rows to look at: those that aren't copies of an earlier document."""
+    for d, text in zip(t.column(id_col).to_pylist(), t.column(text_col).to_pylist()):
+        raw = text.encode(errors="surrogatepass")
+        if not copies.has(d, raw):
+            yield d, raw
+
 
 def _group_keys(found: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, list]:
     """Distinct keys of a group's documents in order, whether several have it, and each document's runs."""
@@ -174,11 +183,11 @@ def _group_keys(found: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray,
     return keys[first], ids[first] != ids[last], each
 
 
-def _copies(notes: pa.Table) -> dict[int, int]:
-    out: dict[int, int] = {}
+def _copies(notes: pa.Table) -> Copies:
+    out = Copies()
     for b, blob in zip(notes.column("b").to_pylist(), notes.column("blob").to_pylist()):
         if b < 0:
-            out[int.from_bytes(blob, "little", signed=True)] = 1
+            out.setdefault(int.from_bytes(blob[DIGEST:], "big", signed=True), set()).add(blob[:DIGEST])
     return out
 
 
@@ -203,15 +212,13 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
     the runs under such keys, once each; a bucket sorts their windows and answers with the
     smallest id that has each. Last each group marks what that covers. A string that very many
     documents share thus reaches a bucket once from each group, whatever the number of documents.
-    Whole copies of an earlier document are told by a digest and stay out of all this.
+    Whole copies of an earlier document are told by id and digest and stay out of all this. Rows
+    with a null id and texts under 50 bytes lose nothing and go to ``finish`` where they lie.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    takes_part = F.col(id_col).isNotNull() & (F.octet_length(text) >= WINDOW)
     told = written(
-        docs.where(F.col(id_col).isNotNull()).select(
-            F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("n")
-        ),
+        docs.where(takes_part).select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("n")),
         "digests",
     )
     total = told.agg(F.sum("n")).first()[0] or 0
@@ -220,16 +227,16 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
     firsts = told.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first")
     # very many documents may be copies of one text
     firsts = firsts.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    copies = told.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["sha", "salt"]).where((F.col("id") > F.col("first")) & (F.col("n") >= WINDOW))
-    note = "b int, blob binary"
-    little = F.unhex(F.concat(*[F.substring(F.lpad(F.hex("id"), 16, "0"), i, 2) for i in range(15, 0, -2)]))
-    copies = written(copies.select("id").distinct().select(of("id").alias("__g"), F.lit(-1).alias("b"), little.alias("blob")), "copies")
-    base = docs.withColumn("__g", F.coalesce(of(id_col), F.lit(0)))
+    copies = told.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["sha", "salt"]).where("id > first")
+    group, note = unused("__g", docs.columns), "b int, blob binary"
+    noted = F.concat(F.substring("sha", 1, DIGEST), F.unhex(F.lpad(F.hex("id"), 16, "0")))
+    copies = written(copies.select("sha", "id").distinct().select(of("id").alias(group), F.lit(-1).alias("b"), noted.alias("blob")), "copies")
+    base = docs.where(takes_part).withColumn(group, of(id_col))
 
     def send_keys(rows: pa.Table, notes: pa.Table) -> pa.Table:
         keys, multi, _ = _group_keys(list(_rows(rows, id_col, text_col, _copies(notes))))
         where = buckets_of(keys, buckets)
-        g = rows.column("__g")[0].as_py() if rows.num_rows else 0
+        g = rows.column(group)[0].as_py() if rows.num_rows else 0
         made = []
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order])) + 1
@@ -254,7 +261,7 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
             if mine.any():
                 made.append((g, b, np.packbits(mine).tobytes()))
         cols = list(zip(*made)) if made else [()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["__g", "b", "blob"])
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], [group, "b", "blob"])
 
     def send_runs(rows: pa.Table, notes: pa.Table) -> pa.Table:
         keys, _, each = _group_keys(list(_rows(rows, id_col, text_col, _copies(notes))))
@@ -264,7 +271,7 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
                 mine = np.flatnonzero(where == b)
                 hit[mine] = np.unpackbits(np.frombuffer(blob, np.uint8), count=mine.size).astype(bool)
         found = _distinct_runs(each, keys[hit])
-        g = rows.column("__g")[0].as_py() if rows.num_rows else 0
+        g = rows.column(group)[0].as_py() if rows.num_rows else 0
         wanted = keys[hit]
         to = dict(zip(wanted.tolist(), buckets_of(wanted, buckets).tolist()))
         by: dict[int, list] = {}
@@ -319,7 +326,7 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
                 blob = np.array([take.size], "<u8").tobytes() + keys[take].astype("<u8").tobytes() + doc[at].astype("<i8").tobytes()
                 made.append((g, b, zlib.compress(blob, 1)))
         cols = list(zip(*made)) if made else [()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["__g", "b", "blob"])
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], [group, "b", "blob"])
 
     def mark(rows: pa.Table, notes: pa.Table) -> pa.Table:
         copies_here = _copies(notes)
@@ -348,22 +355,23 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
         masks = iter([np.cumsum(e[:-1]) > 0 for e in edges])
         removed: list[np.ndarray | None] = []
         for d, text in zip(rows.column(id_col).to_pylist(), rows.column(text_col).to_pylist()):
-            if d is None or not text:
-                removed.append(None)
-            elif d in copies_here:
-                removed.append(np.ones(len(text.encode(errors="surrogatepass")), bool))
-            else:
-                removed.append(next(masks))
-        return finish(rows, removed)
-
-    grouped = base.groupBy("__g")
-    keys = grouped.cogroup(copies.groupBy("__g")).applyInArrow(send_keys, "b int, g int, keys binary, multi binary")
-    several = keys.groupBy("b").applyInArrow(match_keys, f"__g int, {note}")
-    sent = grouped.cogroup(several.unionByName(copies).groupBy("__g")).applyInArrow(
+            raw = text.encode(errors="surrogatepass")
+            removed.append(np.ones(len(raw), bool) if copies_here.has(d, raw) else next(masks))
+        return finish(rows.drop_columns([group]), removed)
+
+    def untouched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(it):
+            yield from finish(pa.Table.from_batches([b]), [None] * b.num_rows).to_batches()
+
+    grouped = base.groupBy(group)
+    keys = grouped.cogroup(copies.groupBy(group)).applyInArrow(send_keys, "b int, g int, keys binary, multi binary")
+    several = keys.groupBy("b").applyInArrow(match_keys, f"`{group}` int, {note}")
+    sent = grouped.cogroup(several.unionByName(copies).groupBy(group)).applyInArrow(
         send_runs, "b int, g int, text binary, lens binary, keys binary, least binary, most binary"
     )
-    answers = sent.groupBy("b").applyInArrow(match_runs, f"__g int, {note}")
-    return grouped.cogroup(answers.unionByName(copies).groupBy("__g")).applyInArrow(mark, schema)
+    answers = sent.groupBy("b").applyInArrow(match_runs, f"`{group}` int, {note}")
+    marked = grouped.cogroup(answers.unionByName(copies).groupBy(group)).applyInArrow(mark, schema)
+    return marked.unionAll(docs.where(~takes_part).mapInArrow(untouched, schema))
 
 
 def _kept(text: str | None, mask: np.ndarray | None) -> bytes:
@@ -377,8 +385,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller id;
     the input alone decides, and no string crosses documents. Returns doc_id, n_bytes,
     n_removed, n_spans, kept_sha256. Null and empty texts and those under 50 bytes lose nothing.
-    Rows that share an id are one document for the comparison; rows with a null id keep all and
-    count for no one. An empty table gives an empty result; other columns are not looked at.
+    Rows that share an id, whatever their texts, are one document for the comparison and leave each
+    other alone; rows with a null id keep all and count for no one. An empty table gives an empty result; other columns are not looked at.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -408,7 +416,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def finish(rows: pa.Table, removed: list) -> pa.Table:
         texts = [t if m is None else _kept(t, m).decode(errors="ignore") for t, m in zip(rows.column(text_col).to_pylist(), removed)]
-        out = rows.drop_columns(["__g"])
+        out = rows
         at = out.schema.get_field_index(text_col)
         out = out.set_column(at, text_col, pa.array(texts, out.schema.field(at).type))
         if length_col in out.schema.names:

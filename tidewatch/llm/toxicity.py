@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import hash_sample, small_batches, with_unsigned_crc, written
+from tidewatch.llm.common import hash_sample, slices, with_unsigned_crc, written
 
 #: Labelled rows that training reads at most.
 TRAIN_ROWS = 30_000
@@ -105,7 +105,6 @@ def train(
     the bounded sample, ordered by a hash. Without any labelled row the model scores 0.5.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     known = with_unsigned_crc(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()), "__fold", id_col, FOLDS)
     known = known.where(F.col("__fold") != HELD_OUT).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     # the sample's size is bounded, and so is what is broadcast here
@@ -113,7 +112,7 @@ def train(
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(picked, "__id")
 
     def featurize(it):
-        for b in it:
+        for b in slices(it):
             d = b.to_pydict()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d["__id"], pa.int64()), pa.array(d["__y"], pa.int32()), pa.array([features(t, bits).tobytes() for t in d["__text"]], pa.binary())],
@@ -141,14 +140,13 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     A column of ``docs`` with the score's name is replaced. Scores depend on the text alone.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop(score_col)
     shared = spark.sparkContext.broadcast((model.index, model.value, model.bias, model.bits))
 
     def run(it):
         m = Model(*shared.value)
         w, bias = m.dense(), m.bias
-        for b in it:
+        for b in slices(it):
             s = [float(w[features(t, m.bits)].sum()) + bias for t in b.column(b.num_columns - 1).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(np.array(s, float), -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], [*b.schema.names[:-1], score_col])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import jaccard, mixing, packing, suffixes, toxicity
+from tidewatch.llm import mixing, packing, simhash, suffixes, toxicity
 from tidewatch.llm.common import written
 from tidewatch.llm.queries import vocabulary
 
@@ -19,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
-    return jaccard.keep_first(docs).select(docs.columns)
+    return simhash.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def test_one_row_of_each_group_stays(spark):
 
 
 def test_spanning_forest_has_true_pairs():
-    from tidewatch.llm.simhash import spanning
+    from tidewatch.llm.jaccard import spanning
 
     rng = np.random.default_rng(2)
     i = rng.integers(0, 400, 900)

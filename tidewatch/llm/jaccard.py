@@ -7,29 +7,28 @@ what lies within its radius and takes from here the exact way for the rest: pref
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import hash_sample, slices
+from tidewatch.llm.common import hash_sample, slices, written
 
 WORDS = 5
 SEED = 42
 #: Sets that shingles are counted in at most, and frequent shingles that are broadcast at most.
-ORDER_SAMPLE = 20_000
+ORDER_SAMPLE = 10_000
 FREQUENT = 100_000
 #: Prefix rows that a bucket stands for, about, and rows of one shingle that a task compares at once.
 BUCKET_ROWS = 500_000
 BLOCK_ROWS = 20_000
 #: Sets with a shingle, by the sample's telling, beyond which it is dealt over all buckets.
 HOT_ROWS = 100_000
-#: Members of a bucket that each member is compared with first, as near copies in order of size are neighbours.
-NEIGHBOURS = 2
-#: Words of 64 bits in the filter that leaves out sets before their join.
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 512
+#: Words of 64 bits in the filter that leaves out texts that are in no pair.
 FILTER_WORDS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,125 +67,134 @@ def set_print(found: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > found.size, bitorder="little").view("<u8")[0])
 
 
-def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, node, n, fp, shingles, row) of every row; equal sets have the same node, equal texts the same digest."""
+def parity(found: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS cells whether an odd number of the set's hashes fall into it.
+
+    The sketches of two sets differ in as many bits at most as the sets have elements not in common.
+    """
+    cells = (found * _MIX >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
+    return np.packbits(np.bincount(cells, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def signatures(
+    docs: DataFrame, often: tuple[np.ndarray, np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, digest, node, n, fp, sketch, prefix) of every row; equal sets have the same node, equal texts the same digest.
+
+    The prefix holds the rarest shingles of the set, of which two sets of similarity 0.8 share one:
+    they are ordered by their count in a bounded sample, then by value. The order only decides how
+    many sets meet; with any, a set of n that shares four fifths of it misses n - ceil(0.8 n) at most.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(often[:2])
 
     def run(it):
         from xxhash import xxh3_64_intdigest
 
+        token, count = shared.value
         for b in slices(it):
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            raw = [x.tobytes() for x in sets]
-            node = np.array([xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-            fp = np.array([set_print(x) for x in sets], np.uint64).view(np.int64)
-            n = np.array([x.size for x in sets], np.int32)
+            made = []
+            for text in b.column(0).to_pylist():
+                s = shingles(text)
+                most = s.size - (4 * s.size + 4) // 5 + 1 if s.size else 0
+                p = s[:most]
+                if token.size and s.size:
+                    at = np.minimum(np.searchsorted(token, s), token.size - 1)
+                    c = np.where(token[at] == s, count[at], 0)
+                    if c.any():
+                        p = s[np.argsort(c, kind="stable")[:most]]
+                node = np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64)
+                made.append((int(node), s.size, int(np.uint64(set_print(s)).astype(np.int64)), parity(s), p.tobytes()))
+            cols = zip(*made) if made else [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), *map(pa.array, (node, n, fp)), pa.array(raw, pa.binary())],
-                ["doc_id", "digest", "node", "n", "fp", "shingles"],
+                [b.column(2), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))],
+                ["doc_id", "digest", "node", "n", "fp", "sketch", "prefix"],
             )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), digest(text_col).alias("digest"))
-    made = texts.mapInArrow(run, "doc_id long, digest string, node long, n int, fp long, shingles binary")
-    return made.withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), digest(text_col).alias("digest"), F.col(id_col).cast("long").alias("doc_id"))
+    return texts.mapInArrow(run, "doc_id long, digest string, node long, n int, fp long, sketch binary, prefix binary")
 
 
-def frequent(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent shingles in order with their counts in a bounded sample, and in all ``rows`` as far as that tells."""
+def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """Frequent shingles in order with their counts in a bounded sample of the texts, and the share that this is."""
 
     def run(it):
-        for b in it:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"))], ["shingle"])
+        for b in slices(it):
+            found = [np.zeros(0, "<u8"), *map(shingles, b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("<i8"))], ["shingle"])
 
-    drawn = hash_sample(sets, ORDER_SAMPLE, "row").select("shingles")
-    sampled = max(1, drawn.count())
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    rows = texts.count()
+    drawn = hash_sample(texts, ORDER_SAMPLE, "text")
     found = drawn.mapInArrow(run, "shingle long")
     found = found.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     got = found.collect()
     token = np.array([r.shingle for r in got], np.int64).view(np.uint64)
     order = np.argsort(token)
-    count = np.array([r.n for r in got], np.int64)[order]
-    return token[order], count, count * rows // sampled
+    return token[order], np.array([r.n for r in got], np.int64)[order], max(1.0, rows / ORDER_SAMPLE)
 
 
-def prefix_rows(sets: DataFrame, buckets: int, shared: Broadcast) -> DataFrame:
-    """(b, blob): the rarest shingles of each set, of which two sets of similarity 0.8 share one, packed by bucket.
+def packed_prefixes(signs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """(b, blob): columns of shingles, nodes, sizes and places in the prefix, packed by bucket.
 
-    Shingles are ordered by their count in the sample, then by value. The order only decides how many
-    sets meet; with any, a set of n that shares four fifths of it misses n - ceil(0.8 n) at most. A blob
-    has columns of shingles, nodes, sizes and places in the prefix. A shingle that very many sets have is
-    dealt over all buckets, below 0: that several sets have it needs no telling.
+    A ``hot`` shingle, which very many sets have, is dealt over all buckets, below 0: that several
+    sets have it needs no telling.
     """
 
     def run(it):
-        token, count, everywhere = shared.value
-        hot = token[everywhere > HOT_ROWS]
         done: set[int] = set()
         for batch in slices(it, rows=4000):
-            kept, nodes, lengths = [np.zeros(0, "<u8")], [], []
-            sizes = []
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if node in done or not raw:
-                    continue
-                done.add(node)
-                s = np.frombuffer(raw, "<u8")
-                most = s.size - (4 * s.size + 4) // 5 + 1
-                if token.size:
-                    at = np.minimum(np.searchsorted(token, s), token.size - 1)
-                    c = np.where(token[at] == s, count[at], 0)
-                    s = s[np.argsort(c, kind="stable")[:most]] if c.any() else s[:most]
-                kept.append(s[:most])
-                nodes.append(node)
-                sizes.append(len(raw) // 8)
-                lengths.append(most)
-            if not nodes:
+            new = []
+            for node, n, prefix in zip(*(c.to_pylist() for c in batch.columns)):
+                if prefix and node not in done:
+                    done.add(node)
+                    new.append((node, n, np.frombuffer(prefix, "<u8")))
+            if not new:
                 continue
-            k = np.array(lengths, np.int64)
-            tokens, own = np.concatenate(kept), np.repeat(np.arange(k.size), k)
-            node = np.array(nodes, np.int64)[own]
+            k = np.array([p.size for _, _, p in new])
+            tokens, own = np.concatenate([p for _, _, p in new]), np.repeat(np.arange(k.size), k)
+            node = np.array([x for x, _, _ in new], np.int64)[own]
             where = ((tokens * _MIX) >> np.uint64(33)).astype(np.int64) % buckets
             if hot.size:
                 very = np.isin(tokens, hot)
-                where[very] = -1 - (tokens[very] ^ node[very].view(np.uint64) * _MIX).astype(np.int64) % buckets
-            cols = tokens, node, np.array(sizes, np.int32)[own], (np.arange(own.size) - (np.cumsum(k) - k)[own]).astype(np.int32)
+                where[very] = -1 - ((tokens[very] ^ node[very].view(np.uint64)) * _MIX >> np.uint64(33)).astype(np.int64) % buckets
+            cols = tokens, node, np.array([n for _, n, _ in new], np.int32)[own], (np.arange(own.size) - (np.cumsum(k) - k)[own]).astype(np.int32)
             order = np.argsort(where, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=where[order[0]] - 1)), order.size)
             parts = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
             blobs = [b"".join(c[p].tobytes() for c in cols) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array([int(where[p[0]]) for p in parts], pa.int32()), pa.array(blobs, pa.binary())], ["b", "blob"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "b int, blob binary")
+    return signs.select("node", "n", "prefix").mapInArrow(run, "b int, blob binary")
 
 
-def shared_rows(sets: DataFrame, rows: int, total: int) -> DataFrame:
+def shared_rows(signs: DataFrame, total: int, often: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """(shingle, node, n, at, k) of the prefixes whose shingle several sets have; k blocks hold a shingle's rows.
 
-    ``rows`` and ``total`` are the numbers of sets and of their shingles.
+    ``total`` is the number of prefix rows, ``often`` what ``frequent`` gives.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(frequent(sets, rows))
+    token, count, times = often
+    everywhere = (count * times).astype(np.int64)
+    hot, rows_of = token[everywhere > HOT_ROWS], everywhere[everywhere > HOT_ROWS]
 
     def run(t: pa.Table) -> pa.Table:
         blobs, b = t.column("blob").to_pylist(), t.column("b")[0].as_py()
         m = [len(x) // 24 for x in blobs]
-        token = np.concatenate([np.frombuffer(x, "<u8", k) for x, k in zip(blobs, m)])
-        node = np.concatenate([np.frombuffer(x, "<i8", k, 8 * k) for x, k in zip(blobs, m)])
-        n = np.concatenate([np.frombuffer(x, "<i4", k, 16 * k) for x, k in zip(blobs, m)])
-        at = np.concatenate([np.frombuffer(x, "<i4", k, 20 * k) for x, k in zip(blobs, m)])
+        kinds = ("<u8", 0), ("<i8", 8), ("<i4", 16), ("<i4", 20)
+        token, node, n, at = (np.concatenate([np.frombuffer(x, kind, k, place * k) for x, k in zip(blobs, m)]) for kind, place in kinds)
         order = np.lexsort((node, token))
         order = order[np.append(True, (np.diff(token[order]) != 0) | (np.diff(node[order]) != 0))]
         token = token[order]
         heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         sizes = np.diff(np.append(heads, token.size))
-        blocks = -(-sizes // BLOCK_ROWS)
-        if b < 0:
-            # a share of the rows of each of its shingles
-            frequent_, _, everywhere = shared.value
-            blocks = -(-everywhere[np.searchsorted(frequent_, token[heads])] // BLOCK_ROWS)
+        # below 0 there is a share of the rows of each shingle
+        blocks = -(-(sizes if b >= 0 else rows_of[np.searchsorted(hot, token[heads])]) // BLOCK_ROWS)
         keep = np.repeat((sizes > 1) | (b < 0), sizes)
         k = np.repeat(blocks, sizes)[keep].astype(np.int32)
         cols = [token.view(np.int64)[keep], *(c[order][keep] for c in (node, n, at)), k]
         return pa.table(list(map(pa.array, cols)), ["shingle", "node", "n", "at", "k"])
 
-    packed = prefix_rows(sets, max(1, total // 5 // BUCKET_ROWS), shared)
+    packed = packed_prefixes(signs, max(1, total // BUCKET_ROWS), hot)
     return packed.groupBy("b").applyInArrow(run, "shingle long, node long, n int, at int, k int")
 
 
@@ -208,106 +216,140 @@ def whole_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def may_link(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets that meet at a shingle, the first they share, can share enough for 0.8."""
-    most = np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64)
-    return 9 * most >= 4 * (n[i].astype(np.int64) + n[j])
-
-
-def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+def may_link(n: np.ndarray, at: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets that meet at a shingle, the first they share, can share enough for 0.8.
 
-
-def _named(shared: DataFrame, group: DataFrame) -> DataFrame:
-    """The rows of ``shared_rows`` with their components so far and their blocks."""
-    named = shared.join(group.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    own = F.pmod(F.xxhash64(F.lit(29), "node"), F.col("k")).cast("int")
-    return named.select("shingle", "node", "n", "at", "k", own.alias("own"), F.coalesce("component", "node").alias("component"))
-
-
-def _met(rows: DataFrame, run: Callable) -> DataFrame:
-    columns = ["key", "node", "n", "at", "component", "own"]
-    return rows.repartition("key").sortWithinPartitions("key", "n", "node").select(*columns).mapInArrow(run, "a long, b long").distinct()
-
-
-def _distinct_pairs(node: np.ndarray, i: list, j: list) -> pa.RecordBatch:
-    x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (i, j))
-    x, y = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: x.size]
-    return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
-
-
-def neighbour_pairs(shared: DataFrame, group: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different groups that are next to each other in a bucket in order of size."""
-    rows = _named(shared, group).withColumn("key", F.when(F.col("k") > 1, F.xxhash64("shingle", "own")).otherwise(F.col("shingle")))
-
-    def run(it):
-        for key, node, n, at, component, _ in whole_buckets(it):
-            first, second = [], []
-            for lag in range(1, NEIGHBOURS + 1):
-                i = np.flatnonzero((key[lag:] == key[:-lag]) & (component[lag:] != component[:-lag]))
-                i = i[may_link(n, at, i, i + lag)]
-                first.append(i)
-                second.append(i + lag)
-            yield _distinct_pairs(node, first, second)
-
-    return _met(rows, run)
+    Sets of that similarity differ in a ninth of their elements together at most, and so do their sketches.
+    """
+    both = n[i].astype(np.int64) + n[j]
+    may = 9 * np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64) >= 4 * both
+    may[may] = 9 * np.bitwise_count(sketch[i[may]] ^ sketch[j[may]]).sum(axis=1, dtype=np.int64) <= both[may]
+    return may
 
 
-def other_pairs(shared: DataFrame, group: DataFrame) -> DataFrame:
-    """All pairs (a, b) that a bucket allows, but those that are in one group already.
+def candidates(shared: DataFrame, nodes: DataFrame, group: DataFrame, *, every: bool) -> DataFrame:
+    """Pairs (a, b) of sets of different groups that a bucket allows: all, or those that span what all would join.
 
-    The rows of a shingle that very many sets have are dealt into blocks, and two blocks of them
-    meet in a task.
+    ``nodes`` has the sketches, ``group`` the components so far. The rows of a shingle that very many
+    sets have are dealt into blocks, and two blocks of them meet in a task.
     """
-    rows = _named(shared, group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    told = nodes.select("node", "sketch").join(group, "node", "left").select(F.col("node").alias("__n"), "sketch", F.coalesce("component", "node").alias("component"))
+    own = F.pmod(F.xxhash64(F.lit(29), "node"), F.col("k")).cast("int")
+    rows = shared.join(told, F.col("node") == F.col("__n")).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     pair = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
     cross = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).cast("int")
     rows = rows.withColumn("key", F.when(F.col("k") > 1, pair).otherwise(F.col("shingle"))).withColumn("own", cross)
+    rows = rows.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "at", "component", "own", "sketch")
+
+    def pairs(n, at, component, own, sketch, a: int, z: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # sets in order of size: a set's partners end where they are a quarter larger
+        ends = np.searchsorted(4 * n[a:z].astype(np.int64), 5 * n[a:z].astype(np.int64), "right") + a
+        first, second, held = [], [], 0
+        for i in range(a, z - 1):
+            j = np.arange(i + 1, ends[i - a])
+            j = j[(component[j] != component[i]) & ((own[i] < 0) | (own[j] != own[i]))]
+            mine = np.full(j.size, i)
+            keep = may_link(n, at, sketch, mine, j)
+            first.append(mine[keep])
+            second.append(j[keep])
+            held += first[-1].size
+            if held > 1 << 16:
+                yield np.concatenate(first), np.concatenate(second)
+                first, second, held = [], [], 0
+        if held:
+            yield np.concatenate(first), np.concatenate(second)
 
     def run(it):
-        for key, node, n, at, component, own in whole_buckets(it):
-            first, second = [], []
+        for key, node, n, at, component, own, raw in whole_buckets(it):
+            sketch = np.frombuffer(b"".join(raw), "<u8").reshape(key.size, -1)
+            root = np.unique(component, return_inverse=True)[1]
+            first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), key.size]):
-                if (component[a:z] == component[a]).all():
+                if (root[a:z] == root[a]).all():
                     continue
-                # sets in order of size: a set's partners end where they are a quarter larger
-                ends = np.searchsorted(4 * n[a:z].astype(np.int64), 5 * n[a:z].astype(np.int64), "right") + a
-                for i in range(a, z - 1):
-                    j = np.arange(i + 1, ends[i - a])
-                    j = j[(component[j] != component[i]) & ((own[i] < 0) | (own[j] != own[i]))]
-                    mine = np.full(j.size, i)
-                    keep = may_link(n, at, mine, j)
-                    first.append(mine[keep])
-                    second.append(j[keep])
-            yield _distinct_pairs(node, first, second)
-
-    return _met(rows, run)
-
-
-def among(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The sets of ``rows(node, row)``; a filter of fixed size leaves out most others before the join."""
-    spot = F.pmod(F.xxhash64("row"), F.lit(64 * FILTER_WORDS))
-    bits = rows.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+                found = pairs(n, at, component, own, sketch, a, z)
+                if not every:
+                    found = iter([spanning(z - a, ((i - a, j - a) for i, j in found), start=root[a:z])])
+                    found = ((i + a, j + a) for i, j in found)
+                for i, j in found:
+                    first.append(i)
+                    second.append(j)
+            i, j = np.concatenate(first), np.concatenate(second)
+            x, y = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: x.size]
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs over n items that make a spanning forest of what they join.
+
+    ``start`` has a name for each item; items of one name are joined from the start. Each root hooks
+    on to a smaller one by a pair drawn by a hash, so that no item of a large group gets very many
+    of the pairs and no long chain comes of it.
+    """
+    root = np.arange(n)
+    if start is not None:
+        _, at, place = np.unique(start, return_index=True, return_inverse=True)
+        root = at[place]
+    kept: list[tuple[np.ndarray, np.ndarray]] = [(root[:0], root[:0])]
+    for i, j in pairs:
+        while i.size:
+            a, b = root[i], root[j]
+            differ = a != b
+            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+            if not i.size:
+                break
+            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            draw = (lo.astype(np.uint64) * _MIX) ^ (hi.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            best = np.zeros(n, np.uint64)
+            np.maximum.at(best, hi, (draw >> np.uint64(32) << np.uint64(32)) | np.arange(i.size, dtype=np.uint64))
+            hooked = np.unique(hi)
+            pick = (best[hooked] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            root[hooked] = lo[pick]
+            kept.append((i[pick], j[pick]))
+            while (root != root[root]).any():
+                root = root[root]
+    return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(node, shingles) of the nodes of ``wanted(node, digest)``, made from the texts again.
+
+    A filter of fixed size leaves out most other texts, so that only few are looked at and shuffled.
+    """
+    spot = F.pmod(F.xxhash64("digest"), F.lit(64 * FILTER_WORDS))
+    bits = wanted.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
     held = np.zeros(FILTER_WORDS, np.int64)
     for w, b in bits.collect():
         held[w] = b
-    shared = sets.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(held.view(np.uint64))
 
     def run(it):
+        done: set[str] = set()
         for b in it:
             s = b.column(2).to_numpy()
-            yield b.filter(pa.array((shared.value[s // 64] >> (s % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            for part in slices([b.filter(pa.array((shared.value[s // 64] >> (s % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))]):
+                new = [(d, t) for t, d in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if not (d in done or done.add(d))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d for d, _ in new], pa.string()), pa.array([shingles(t).tobytes() for _, t in new], pa.binary())], ["digest", "shingles"]
+                )
 
-    few = sets.select("row", "shingles", spot.alias("s")).mapInArrow(run, "row long, shingles binary, s long").drop("s")
-    return few.join(rows, "row").select("node", "shingles")
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), digest(text_col).alias("digest")).withColumn("s", spot)
+    made = texts.mapInArrow(run, "digest string, shingles binary").join(wanted, "digest")
+    return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of 0.8 or more, by all their shingles."""
+    pairs = written(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+    sets = written(_sets(docs, written(named, "named"), text_col), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -319,4 +361,4 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(9 * np.intersect1d(x, y, assume_unique=True).size >= 4 * (x.size + y.size))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return written(both.mapInArrow(run, "a long, b long"), "links")

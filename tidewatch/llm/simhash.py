@@ -160,34 +160,6 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarr
             yield part[i], order[lo + j]
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs over n items that make a spanning forest of what they join.
-
-    Each root hooks on to a smaller one by a pair drawn by a hash, so that no item of a large
-    group gets very many of the pairs and no long chain comes of it.
-    """
-    root = np.arange(n)
-    kept: list[tuple[np.ndarray, np.ndarray]] = [(root[:0], root[:0])]
-    for i, j in pairs:
-        while i.size:
-            a, b = root[i], root[j]
-            differ = a != b
-            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-            if not i.size:
-                break
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            draw = (lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (hi.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            best = np.zeros(n, np.uint64)
-            np.maximum.at(best, hi, (draw >> np.uint64(32) << np.uint64(32)) | np.arange(i.size, dtype=np.uint64))
-            hooked = np.unique(hi)
-            pick = (best[hooked] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            root[hooked] = lo[pick]
-            kept.append((i[pick], j[pick]))
-            while (root != root[root]).any():
-                root = root[root]
-    return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
-
-
 def near_pairs(prints: DataFrame, *, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, tree_sample: int = TREE_SAMPLE) -> DataFrame:
     """Links (a, b) that span the same groups as all pairs of ``prints(fp)`` within the radius.
 
@@ -232,7 +204,7 @@ def near_pairs(prints: DataFrame, *, radius: int = RADIUS, leaf_rows: int = LEAF
             for to in range(at, fp.size, step)
             for i, j in linked(fp[at : at + step], fp[to : to + step], radius)
         )
-        i, j = spanning(fp.size, found)
+        i, j = jaccard.spanning(fp.size, found)
         signed = fp.view(np.int64)
         return pa.table({"a": signed[i], "b": signed[j]})
 
@@ -259,27 +231,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _similar_sets(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The shingle sets of all rows, and (node, first, component) of each different one."""
-    sets = written(jaccard.shingle_sets(docs, id_col=id_col, text_col=text_col), "shingles")
-    least = sets.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.min("n").alias("n"))
-    nodes = written(least, "nodes")
-    rows, total = nodes.agg(F.count("*"), F.sum("n")).first()
-    shared = written(jaccard.shared_rows(sets, rows, total or 0), "shared")
+    """(doc_id, digest, node) of all rows, and (node, first, component) of each different set."""
+    often = jaccard.frequent(docs, text_col)
+    signs = written(jaccard.signatures(docs, often, id_col=id_col, text_col=text_col), "signatures")
+    least = {c: F.min(c).alias(c) for c in ("digest", "n", "fp", "sketch")}
+    nodes = written(signs.groupBy("node").agg(F.min("doc_id").alias("first"), *least.values()), "nodes")
+    total = nodes.agg(F.sum(F.expr("n div 5 + 1"))).first()[0] or 0
+    shared = written(jaccard.shared_rows(signs, total, often), "shared")
     # only sets that share a shingle of their prefixes can be similar
-    met = written(nodes.join(shared.select("node").distinct(), "node").select("node", "row", "fp"), "met")
-    few = written(jaccard.among(sets, met.select("node", "row")), "compared")
-    by_print = written(met.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    met = written(nodes.join(shared.select("node").distinct(), "node"), "met")
+    by_print = written(met.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
     close = near_pairs(by_print.select("fp"), radius=radius)
     for side in ("a", "b"):
-        close = close.join(by_print.select(F.col("fp").alias(side), F.col("first").alias(f"node_{side}")), side)
+        close = close.join(by_print.select(F.col("fp").alias(side), F.col("lead").alias(f"node_{side}")), side)
     close = close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    same = met.join(by_print, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    links = written(jaccard.verified(close.unionAll(same), few), "near")
-    for more in (jaccard.neighbour_pairs, jaccard.other_pairs):
-        links = links.unionAll(written(jaccard.verified(more(shared, components(links)), few), "more"))
+    same = met.join(by_print, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    links = jaccard.verified(close.unionAll(same), docs, met, text_col=text_col)
+    for every in (False, True):
+        pairs = jaccard.candidates(shared, met, components(links), every=every)
+        links = links.unionAll(jaccard.verified(pairs, docs, met, text_col=text_col))
     group = components(links).withColumnRenamed("node", "__n")
     placed = nodes.join(group, F.col("node") == F.col("__n"), "left")
-    return sets, written(placed.select("node", "first", F.coalesce("component", "node").alias("component")), "placed")
+    rows = signs.select("doc_id", "digest", "node")
+    return rows, written(placed.select("node", "first", F.coalesce("component", "node").alias("component")), "placed")
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -295,8 +269,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     but never names a component unless all its members are null. Ties don't matter, as groups don't
     depend on any order. An empty table gives an empty result; other columns are not looked at.
     """
-    sets, placed = _similar_sets(docs, id_col, text_col, radius)
-    return sets.select("doc_id", "node").join(_named(placed, "node"), "node").select("doc_id", "component_id")
+    rows, placed = _similar_sets(docs, id_col, text_col, radius)
+    return rows.select("doc_id", "node").join(_named(placed, "node"), "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -305,8 +279,8 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     A null id is the largest; of rows with that id the one whose text has the least MD5 stays, and
     of rows equal in id and text any one. Other columns, whatever their names, come back as they are.
     """
-    sets, placed = _similar_sets(docs, id_col, text_col, radius)
-    rows = sets.select("doc_id", "digest", "node").join(placed.select("node", "component"), "node")
+    rows, placed = _similar_sets(docs, id_col, text_col, radius)
+    rows = rows.join(placed.select("node", "component"), "node")
     rows = written(rows.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n")), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest", "n")).alias("best")
     kept = rows.groupBy("component").agg(best).select(F.col("best.doc_id").alias("__id"), F.col("best.digest").alias("__digest"), F.col("best.n").alias("__n"))

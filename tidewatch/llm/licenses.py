@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import written
+
 # Base phrases with their labels, and the templates with theirs.
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -70,13 +72,13 @@ def template_blocks(blocks: DataFrame, templates: list[tuple[str, str]], thresho
     ranks = {w: i for i, w in enumerate(order)}
     prefixes = spark.createDataFrame(
         [
-            (ranks[w], i, at, len(s), math.ceil(threshold * len(s) - 1e-9), label, [ranks[x] for x in s])
+            (ranks[w], i, at, len(s), _need(s, threshold), label, [ranks[x] for x in s])
             for i, label, s in sets
-            for at, w in enumerate(s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1])
+            for at, w in enumerate(s[: len(s) - _need(s, threshold) + 1])
         ],
         "__rank int, __template int, __at int, __size int, __need int, label string, __set array<int>",
     )
-    least = min(math.ceil(threshold * len(s) - 1e-9) for _, _, s in sets)
+    least = min(_need(s, threshold) for _, _, s in sets)
     held = blocks.where(F.size("hits") >= least).withColumn("__held", F.array_sort(F.transform("hits", lambda w: rank[w]))).drop("hits")
     found = held.select(*keys, "__held", F.posexplode("__held").alias("__pos", "__rank")).join(F.broadcast(prefixes), "__rank")
     left = F.least(F.col("__size") - F.col("__at"), F.size("__held") - F.col("__pos"))
@@ -87,6 +89,16 @@ def template_blocks(blocks: DataFrame, templates: list[tuple[str, str]], thresho
     return found.select(*keys, "label", (F.col("__shared") / F.col("__size")).alias("containment"))
 
 
+def _need(words: list[str], threshold: float) -> int:
+    """So many of a template's words meet the threshold."""
+    return math.ceil(threshold * len(words) - 1e-9)
+
+
+def template_span(templates: list[tuple[str, str]]) -> int:
+    """Words of the longest template, repeated ones too."""
+    return max(len(_plain_words(t)) for _, t in templates)
+
+
 def _plain_words(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
@@ -101,41 +113,53 @@ def scan(
 ) -> DataFrame:
     """License phrases and templates in whole texts, one row per document.
 
-    Places are word numbers at which a base phrase stands; a line is a block of the template
-    join. ``score`` is 1 with a base phrase, else the largest containment of a template found,
-    else 0. Null and empty texts have no words. Rows that share an id stay rows of their own; a
-    null id is an id; an empty table gives an empty result; other columns are not looked at.
+    Places are word numbers at which a base phrase stands. Blocks of the template join are the
+    lines, and the windows of twice the longest template's words that start at each multiple of
+    its words, so that any stretch as long as a template lies whole in one, however its lines are
+    wrapped. ``score`` is 1 with a base phrase, else the largest containment of a template found,
+    else 0. A text is split into words once; only texts that hold enough words of some template
+    are cut into blocks, as no block of another can. Null and empty texts have no words. Rows that
+    share an id stay rows of their own; a null id is an id; an empty table gives an empty result;
+    other columns are not looked at.
     """
     templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for _, t in templates for w in _plain_words(t)})
+    sets = [sorted(set(_plain_words(t))) for _, t in templates]
+    vocabulary = F.array(*[F.lit(w) for w in sorted(set().union(*sets))])
+    span = template_span(templates)
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _UPPER, _LOWER)
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"))
-    base = base.withColumn("__md5", F.md5("__text"))
-
-    lines = base.select("doc_id", "__md5", F.explode(F.split("__text", "\n")).alias("__line"))
-    hits = F.array_intersect(words(F.col("__line")), F.array(*map(F.lit, vocabulary)))
-    blocks = lines.select("doc_id", "__md5", hits.alias("hits")).where(F.size("hits") > 0)
-    found = template_blocks(blocks, templates, threshold)
-    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("__md5").alias("__hash")).agg(
-        F.collect_set("label").alias("__labels"), F.max("containment").alias("__most")
-    )
-
-    told = base.withColumn("__words", words(F.col("__text"))).drop("__text")
+    told = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text")).withColumn("__words", words(F.col("__text")))
     told = told.withColumns({f"__p{i}": places(F.col("__words"), p) for i, p in enumerate(BASE_PHRASES)})
+    told = told.withColumn("__hits", F.array_intersect("__words", vocabulary))
     every = F.concat(*[F.col(f"__p{i}") for i in range(len(BASE_PHRASES))])
     labels = F.array_compact(
         F.array(*[F.when(F.size(f"__p{i}") > 0, F.lit(label)) for i, label in enumerate(BASE_PHRASES.values())])
     )
+    enough = F.lit(False)
+    for s in sets:
+        enough |= F.size(F.array_intersect("__hits", F.array(*map(F.lit, s)))) >= _need(s, threshold)
     told = told.select(
         "doc_id",
-        "__md5",
         F.size("__words").cast("long").alias("n_words"),
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(labels)).alias("__base"),
+        F.when(enough, F.col("__text")).alias("__text"),
+        F.monotonically_increasing_id().alias("__row"),
     )
-    joined = told.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__hash")), "left")
+    told = written(told, "licenses")
+
+    cut = told.where("__text IS NOT NULL").select("__row", "__text").withColumn("__words", words(F.col("__text")))
+    windows = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("__words") / span) - 2, F.lit(0)).cast("int"))
+    hits = F.concat(
+        F.transform(F.split("__text", "\n"), lambda line: F.array_intersect(words(line), vocabulary)),
+        F.transform(windows, lambda i: F.array_intersect(F.slice("__words", i * span + 1, 2 * span), vocabulary)),
+    )
+    least = min(_need(s, threshold) for s in sets)
+    blocks = cut.select("__row", F.explode(hits).alias("hits")).where(F.size("hits") >= least)
+    found = template_blocks(written(blocks, "blocks"), templates, threshold)
+    found = found.groupBy(F.col("__row").alias("__found")).agg(F.collect_set("label").alias("__labels"), F.max("containment").alias("__most"))
+    joined = told.drop("__text").join(found, F.col("__row") == F.col("__found"), "left")
     own = F.coalesce("__labels", F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
@@ -150,12 +174,13 @@ def scan(
 
 
 def oracle_sql(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL that compares every line with every template."""
+    """DuckDB SQL that compares every line and window with every template."""
     templates = TEMPLATES if templates is None else templates
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     sets = [(label, sorted(set(_plain_words(t)))) for label, t in templates]
-    values = ", ".join(f"('{label}', {quoted(s)}, {len(s)}, {math.ceil(threshold * len(s) - 1e-9)})" for label, s in sets)
+    values = ", ".join(f"('{label}', {quoted(s)}, {len(s)}, {_need(s, threshold)})" for label, s in sets)
     phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in BASE_PHRASES.items())
+    span = template_span(templates)
     gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     return f"""
 WITH base AS (
@@ -164,9 +189,14 @@ WITH base AS (
 told AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{gap}'), lambda w: w <> '') AS w FROM base),
 templates(label, s, size, need) AS (VALUES {values}),
 phrases(p, label) AS (VALUES {phrases}),
-lines AS (SELECT r, list_distinct(regexp_split_to_array(line, '{gap}')) AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM base)),
+blocks AS (
+  SELECT r, list_distinct(regexp_split_to_array(line, '{gap}')) AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM base)
+  UNION ALL
+  SELECT r, list_distinct(w[i * {span} + 1 : i * {span} + {2 * span}]) AS w
+  FROM (SELECT r, w, unnest(range(0, greatest(ceil(len(w) / {span}.0)::BIGINT - 1, 1))) AS i FROM told)
+),
 matched AS (
-  SELECT r, label, len(list_intersect(w, s)) / size::DOUBLE AS c FROM lines, templates WHERE len(list_intersect(w, s)) >= need
+  SELECT r, label, len(list_intersect(w, s)) / size::DOUBLE AS c FROM blocks, templates WHERE len(list_intersect(w, s)) >= need
 ),
 placed AS (
   SELECT r, label, i FROM (

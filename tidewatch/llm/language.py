@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,48 +12,95 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import hash_sample, slices, with_unsigned_crc, written
 
-#: Rows that training reads at most, landmarks among them, and hashed n-grams.
+#: Rows that training reads at most, and landmarks among them.
 TRAIN_ROWS = 12_000
 LANDMARKS = 240
-DIMS = 4096
+#: Cells that n-grams are hashed into: so many that even long texts fill a small part of them.
+CELLS = 1 << 20
+LONGEST = 4
 FOLDS, HELD_OUT = 3, 1
-_LETTER = re.compile(r"[^\W\d_]").search
 
 
-def presence(text: str | None, out: np.ndarray) -> None:
-    """Set ``out`` at the hashed 1- to 4-grams of a whole text's bytes, lower-cased.
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter of any script (Unicode category L)."""
+    return any(map(str.isalpha, text or ""))
 
-    The blended-spectrum presence kernel of two texts is the product of their rows: how many
-    distinct n-grams they share, of all lengths together.
+
+class Presence:
+    """Finds the cells of a text's n-grams; keeps one table of places, so that a text costs its own length."""
+
+    def __init__(self, cells: int = CELLS):
+        self.last = np.zeros(cells, np.int32)
+        self.shift = np.uint32(32 - (cells.bit_length() - 1))
+
+    def _distinct(self, parts: list[np.ndarray]) -> np.ndarray:
+        found = np.concatenate(parts)
+        at = np.arange(found.size, dtype=np.int32)
+        self.last[found] = at
+        return found[self.last[found] == at]
+
+    def cells(self, text: str | None) -> np.ndarray:
+        """The distinct cells of the hashed 1- to 4-grams of a whole text's bytes, lower-cased.
+
+        The blended-spectrum presence kernel of two texts is the number of cells that they share:
+        distinct n-grams of all lengths together.
+        """
+        b = (text or "").lower().encode(errors="surrogatepass")
+        chunks = [np.zeros(0, np.uint32)]
+        for at in range(0, len(b), 1 << 18):
+            x = np.frombuffer(b[at : at + (1 << 18) + LONGEST - 1], np.uint8).astype(np.uint32)
+            code, parts = np.zeros(x.size, np.uint32), []
+            for n in range(1, min(LONGEST, x.size) + 1):
+                code = code[: x.size - n + 1] * np.uint32(257) + x[n - 1 :] + np.uint32(1)
+                parts.append((code * np.uint32(0x9E3779B1)) >> self.shift)
+            chunks.append(self._distinct(parts))
+        return chunks[-1] if len(chunks) == 2 else self._distinct(chunks)
+
+
+def sparse_sums(rows: list[np.ndarray], table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Products of presence rows of unit length with a table that has rows for some cells only.
+
+    ``place`` is the row of ``table`` of each cell, len(table) for those without.
     """
-    b = (text or "").lower().encode(errors="surrogatepass")
-    shift = np.uint32(32 - (out.size.bit_length() - 1))
-    for at in range(0, len(b), 1 << 18):
-        x = np.frombuffer(b[at : at + (1 << 18) + 3], np.uint8).astype(np.uint32)
-        code = np.zeros(x.size, np.uint32)
-        for n in range(1, 5):
-            if x.size < n:
-                break
-            code = code[: x.size - n + 1] * np.uint32(257) + x[n - 1 :] + np.uint32(1)
-            out[(code * np.uint32(0x9E3779B1)) >> shift] = 1
-
-
-def kernel_rows(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
-    """Presence rows of unit length, so that their products are normalised kernels."""
-    rows = np.zeros((len(texts), dims), np.float32)
-    for r, t in zip(rows, texts):
-        presence(t, r)
-    norm = np.sqrt(rows.sum(axis=1, keepdims=True))
-    return rows / np.maximum(norm, 1)
+    out = np.zeros((len(rows), table.shape[1]), np.float32)
+    for r, cells in zip(out, rows):
+        if cells.size:
+            at = place[cells]
+            at = at[at < len(table)]
+            for k in range(0, at.size, 1 << 13):
+                r += table[at[k : k + (1 << 13)]].sum(axis=0, dtype=np.float32)
+            r /= np.float32(np.sqrt(cells.size))
+    return out
+
+
+def placed(used: np.ndarray, cells: int) -> np.ndarray:
+    """The row of each cell in a table of the used ones."""
+    place = np.full(cells, used.size, np.int32)
+    place[used] = np.arange(used.size)
+    return place
+
+
+def landmark_table(marks: list[np.ndarray], used: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Presence of the used cells in each landmark, a byte each, and what gives the landmarks unit length."""
+    table = np.zeros((used.size, len(marks)), np.uint8)
+    for k, m in enumerate(marks):
+        table[place[m], k] = 1
+    return table, np.array([1 / np.sqrt(m.size) for m in marks], np.float32)
 
 
 @dataclass
 class Model:
-    """Landmark rows times coefficients, with the intercepts: one column a language."""
+    """Landmark rows times coefficients, with the intercepts: one column a language, one row a used cell."""
 
     langs: list[str]
+    used: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    cells: int = CELLS
+
+    def values(self, texts: Iterable[str | None], presence: Presence, place: np.ndarray) -> np.ndarray:
+        """Regression values of texts, one column a language."""
+        return sparse_sums([presence.cells(t) for t in texts], self.weights, place) + self.bias
 
 
 def train(
@@ -64,7 +111,7 @@ def train(
     lang_col: str = "lang",
     rows: int = TRAIN_ROWS,
     landmarks: int = LANDMARKS,
-    dims: int = DIMS,
+    cells: int = CELLS,
     ridge: float = 1e-2,
 ) -> Model | None:
     """Fit on at most about ``rows`` rows outside the held-out fold with a language and a letter.
@@ -85,22 +132,37 @@ def train(
         return None
     each = max(1, landmarks // len(langs))
     drawn = known.withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, text)")).where(F.col("k") <= each)
-    marks = kernel_rows([r["text"] for r in drawn.orderBy("lang", "k").select("text").limit(max(landmarks, len(langs))).collect()], dims)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+
+    def present(it):
+        found = Presence(cells)
+        for b in slices(it):
+            raw = [found.cells(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["lang", "k", "cells"])
+
+    # the landmarks' cells come to the driver, not their texts
+    got = drawn.select("lang", "k", "text").mapInArrow(present, "lang string, k int, cells binary").collect()
+    marks = [np.frombuffer(r.cells, "<i4") for r in sorted(got, key=lambda r: (r.lang, r.k))]
+    used = np.unique(np.concatenate(marks))
+    place = placed(used, cells)
+    table, unit = landmark_table(marks, used, place)
+    kernel = sparse_sums(marks, table, place) * unit
+    values, vectors = np.linalg.eigh(((kernel + kernel.T) / 2).astype(float))
     keep = values > 1e-6 * values[-1]
     project = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     weights = {k: sum(counts.values()) / len(langs) / n for k, n in counts.items()}
-    shared = spark.sparkContext.broadcast((langs, marks.T @ project, weights))
+    shared = spark.sparkContext.broadcast((langs, used, marks, project, weights))
 
     def sums(it):
-        names, to, weight = shared.value
-        place = {name: i for i, name in enumerate(names)}
-        m = to.shape[1] + 1
+        names, used, marks, project, weight = shared.value
+        number, place, found = {name: i for i, name in enumerate(names)}, placed(used, cells), Presence(cells)
+        table, unit = landmark_table(marks, used, place)
+        m = project.shape[1] + 1
         xx, xy = np.zeros((m, m)), np.zeros((m, len(names)))
         for b in slices(it):
-            x = np.hstack([kernel_rows(b.column("text").to_pylist(), to.shape[0]) @ to, np.ones((b.num_rows, 1), np.float32)]).astype(float)
+            kernel = sparse_sums([found.cells(t) for t in b.column("text").to_pylist()], table, place) * unit
+            x = np.hstack([kernel @ project, np.ones((b.num_rows, 1), np.float32)]).astype(float)
             y = np.full((b.num_rows, len(names)), -1.0)
-            y[np.arange(b.num_rows), [place[v] for v in b.column("lang").to_pylist()]] = 1
+            y[np.arange(b.num_rows), [number[v] for v in b.column("lang").to_pylist()]] = 1
             # rare languages count as much as frequent ones
             w = np.array([weight[v] for v in b.column("lang").to_pylist()])[:, None]
             xx += x.T @ (w * x)
@@ -115,7 +177,10 @@ def train(
     penalty = np.eye(m) * ridge
     penalty[-1, -1] = 1e-9
     solved = np.linalg.solve(xx + penalty, xy)
-    return Model(langs, (marks.T @ project @ solved[:-1]).astype(np.float32), solved[-1])
+    folded, share = np.zeros((used.size, len(langs)), np.float32), project @ solved[:-1]
+    for k, m in enumerate(marks):
+        folded[place[m]] += (share[k] * unit[k]).astype(np.float32)
+    return Model(langs, used, folded, solved[-1], cells)
 
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,12 +196,13 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
 
     def run(it):
         m = shared.value
+        found, place = (Presence(m.cells), placed(m.used, m.cells)) if m else (None, None)
         for b in slices(it):
             texts = b.column("text").to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            told = [i for i, t in enumerate(texts) if m and t and _LETTER(t)]
+            told = [i for i, t in enumerate(texts) if m and has_letter(t)]
             if told:
-                v = kernel_rows([texts[i] for i in told], m.weights.shape[0]) @ m.weights + m.bias
+                v = m.values([texts[i] for i in told], found, place)
                 best = v.argmax(axis=1)
                 e = np.exp(4 * (v - v.max(axis=1, keepdims=True)))
                 for i, k, p in zip(told, best, 1 / e.sum(axis=1)):

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import scratch_path
+from tidewatch.llm.common import scratch_path, unused
 
 TARGET_BYTES = 128 << 20
 #: Shards of one tier differ in size by this factor at most; so many of a tier are merged.
 FAN_IN = 4
+#: Arrivals that the query deals a table to.
+ARRIVALS = 8
 SMALLEST = 64 << 10
 
 
@@ -27,8 +33,10 @@ class ShardStore:
     """A table of immutable shards. Readers see the shards that the newest manifest lists.
 
     Data files are written below ``data`` under new names and count only once a manifest names
-    them. A manifest is written aside and then renamed to its version's name, which is refused
-    if that exists; a failed or lost writer leaves files that no manifest names.
+    them. A manifest is written aside and then renamed to its version's name by the file system's
+    own rename without overwriting, which is refused if that exists; a failed or lost writer
+    leaves files that no manifest names. A store whose file system can't refuse that needs one
+    writer at a time. A change that another writer came before is made again on what it left.
     """
 
     def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
@@ -67,12 +75,47 @@ class ShardStore:
         body = {"version": version, "parent": parent["version"], "schema": schema, "shards": shards}
         out.write(bytearray(json.dumps(body).encode()))
         out.close()
-        name = self._path(self._manifest_name(version))
-        if self._fs.exists(name) or not self._fs.rename(aside, name):
+        if not self._rename(aside, self._path(self._manifest_name(version))):
             self._fs.delete(aside, False)
             raise ManifestConflict(f"version {version} exists")
         return version
 
+    def _rename(self, source, target) -> bool:
+        """Rename unless the target exists; where files are local, a hard link refuses that and rename doesn't."""
+        jvm = self.spark._jvm
+        if self._fs.getScheme() == "file":
+            files, parts = jvm.java.nio.file.Files, self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)
+            at = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), parts)
+            try:
+                files.createLink(at(target), at(source))
+            except Py4JJavaError as e:
+                if "FileAlreadyExistsException" not in str(e.java_exception):
+                    raise
+                return False
+            self._fs.delete(source, False)
+            return True
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(source, target, options)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
+
+    def _change(self, make: Callable[[dict], tuple[list[dict], str | None] | None], tries: int = 20) -> int:
+        """Commit what ``make`` gives for the newest manifest, again if another writer came before; None is no change."""
+        for _ in range(tries):
+            now = self.manifest()
+            made = make(now)
+            if made is None:
+                return now["version"]
+            with contextlib.suppress(ManifestConflict):
+                return self._commit(now, *made)
+        raise ManifestConflict(f"other writers came before {tries} times")
+
     # writing
 
     def _write(self, df: DataFrame) -> list[dict]:
@@ -83,38 +126,89 @@ class ShardStore:
         files = [(s.getPath().getName(), s.getLen()) for s in found]
         return [{"path": f"{folder[len(self.root) + 1:]}/{n}", "bytes": size} for n, size in sorted(files) if n.endswith(".parquet")]
 
+    def write_arrivals(self, df: DataFrame, arrivals: int) -> list[list[dict]]:
+        """Write a frame's rows as the files of so many arrivals, in one job."""
+        name = unused("__arrival", df.columns)
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        numbered = df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(arrivals)).cast("int"))
+        numbered.write.partitionBy(name).option("compression", "zstd").parquet(folder)
+        out = []
+        for part in sorted((s.getPath() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()), key=lambda p: p.getName()):
+            files = sorted((s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(part))
+            where = f"{folder[len(self.root) + 1:]}/{part.getName()}"
+            out.append([{"path": f"{where}/{n}", "bytes": size} for n, size in files if n.endswith(".parquet")])
+        return out
+
     def append(self, df: DataFrame) -> int:
-        """Add arrivals as the small shards that their partitions give; returns the new version."""
-        now = self.manifest()
-        return self._commit(now, now["shards"] + self._write(df), now["schema"] or df.schema.json())
+        """Add arrivals as the small shards that their partitions give; returns the new version.
+
+        Names and types of columns have to be those of the table, in any order; others are refused
+        before anything is written.
+        """
+        self._conform(df, self.manifest()["schema"])
+        return self.append_files(self._write(df), df.schema)
+
+    def append_files(self, files: list[dict], schema: T.StructType) -> int:
+        """Add shards that lie below the root already."""
+
+        def make(now: dict) -> tuple[list[dict], str]:
+            self._conform(schema, now["schema"])
+            return now["shards"] + files, now["schema"] or schema.json()
+
+        return self._change(make)
+
+    @staticmethod
+    def _conform(given: DataFrame | T.StructType, schema: str | None) -> None:
+        if schema is None:
+            return
+        fields = (given if isinstance(given, T.StructType) else given.schema).fields
+        have = {f.name: f.dataType for f in fields}
+        want = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(schema)).fields}
+        if have != want:
+            odd = sorted(k for k in have.keys() | want.keys() if have.get(k) != want.get(k))
+            raise ValueError(f"columns that aren't the table's: {', '.join(odd)}")
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / SMALLEST, self.fan_in)))
 
-    def compact(self, max_rounds: int = 16) -> int:
-        """Merge runs of similar size until no tier below the target holds ``fan_in`` of them.
+    def full_tiers(self, manifest: dict) -> dict[int, list[dict]]:
+        """The shards under half the target of each tier that has ``fan_in`` of them or more."""
+        tiers: dict[int, list[dict]] = {}
+        for s in manifest["shards"]:
+            if s["bytes"] < self.target_bytes // 2:
+                tiers.setdefault(self.tier(s["bytes"]), []).append(s)
+        return {k: v for k, v in tiers.items() if len(v) >= self.fan_in}
+
+    def compact(self) -> int:
+        """Merge runs of similar size until no tier below the target holds ``fan_in`` that can be merged.
 
         A tier is merged in one job without a shuffle: Spark packs its files into read splits of
-        the target size, and each split becomes one file.
+        the target size, and each split becomes one file. Each merge leaves fewer shards, so that
+        this ends. A tier whose merge doesn't is left as it is, and the others go on.
         """
-        for _ in range(max_rounds):
+        stuck: set[frozenset[str]] = set()
+        while True:
             now = self.manifest()
-            tiers: dict[int, list[dict]] = {}
-            for s in now["shards"]:
-                if s["bytes"] < self.target_bytes // 2:
-                    tiers.setdefault(self.tier(s["bytes"]), []).append(s)
-            full = {k: v for k, v in tiers.items() if len(v) >= self.fan_in}
+            full = {k: v for k, v in self.full_tiers(now).items() if frozenset(s["path"] for s in v) not in stuck}
             if not full:
                 return now["version"]
             merged = full[min(full)]
+            gone = {s["path"] for s in merged}
             with self._splits(merged):
                 made = self._write(self._read([s["path"] for s in merged], now["schema"]))
             if len(made) >= len(merged):
                 self._delete(made)
-                return now["version"]
-            gone = {s["path"] for s in merged}
-            self._commit(now, [s for s in now["shards"] if s["path"] not in gone] + made, now["schema"])
-        return self.manifest()["version"]
+                stuck.add(frozenset(gone))
+                continue
+
+            def make(now: dict) -> tuple[list[dict], str | None] | None:
+                if not gone <= {s["path"] for s in now["shards"]}:
+                    return None  # another writer merged some of them
+                return [s for s in now["shards"] if s["path"] not in gone] + made, now["schema"]
+
+            self._change(make)
+            if not {s["path"] for s in made} <= {s["path"] for s in self.manifest()["shards"]}:
+                self._delete(made)
 
     @contextmanager
     def _splits(self, shards: list[dict]):
@@ -143,8 +237,10 @@ class ShardStore:
         before, found = (time.time() - older_than_s) * 1000, []
         data = self._path(f"{self.root}/data")
         for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            for s in self._fs.listStatus(folder.getPath()):
-                path = f"data/{folder.getPath().getName()}/{s.getPath().getName()}"
+            files = self._fs.listFiles(folder.getPath(), True)
+            while files.hasNext():
+                s = files.next()
+                path = "data/" + s.getPath().toUri().getPath().rsplit("/data/", 1)[1]
                 if path.endswith(".parquet") and path not in named and s.getModificationTime() < before:
                     found.append({"path": path, "bytes": s.getLen()})
         return found
@@ -173,13 +269,18 @@ class ShardStore:
         return self._read([s["path"] for s in found["shards"]], found["schema"])
 
 
-def sharded(docs: DataFrame, *, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
-    """Append a table to a new store, compact it, and read it back.
+def sharded(docs: DataFrame, *, arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
+    """Append a table to a new store in several arrivals, compact it, and read it back.
 
-    All rows and columns come back whatever they hold; an empty table comes back empty.
+    The rows are dealt to the arrivals by their partition and place; one job writes the files of
+    all, each arrival is committed as a version of its own, and merges follow. All rows and columns
+    come back whatever they hold, repeated rows as often as they are there; an empty table comes
+    back empty.
     """
     store = ShardStore(docs.sparkSession, scratch_path(docs.sparkSession, "shards"), target_bytes=target_bytes, fan_in=fan_in)
-    store.append(docs)
+    store.append_files([], docs.schema)
+    for files in store.write_arrivals(docs, arrivals):
+        store.append_files(files, docs.schema)
     store.compact()
     store.vacuum()
     return store.read()

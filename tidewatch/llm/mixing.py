@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: So many sources at most are broadcast with their rates; more are joined with salts.
+#: So many sources at most, and sums of theirs, 8 bytes each, are broadcast; more are joined with salts.
 SOURCES_BROADCAST = 10_000
+SUMS_BROADCAST = 4_000_000
 SALTS = 32
 
 
@@ -81,6 +82,7 @@ def mix(
     seed: int = 7,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
     power: float = 0.5,
     total: float | None = None,
 ) -> DataFrame:
@@ -91,27 +93,26 @@ def mix(
     partitions by a hash and sorted by it in each, which is a global shuffle. The result has
     the columns of ``docs``, ``copy`` (from 1) and ``shuffle_key``.
 
-    Rows of the same id draw the same count; a null id draws as the empty string; null and
-    empty texts are rows like any other; an empty table gives an empty result; columns of
-    ``docs`` named copy or shuffle_key are replaced.
+    A document's count is one more than the number of Poisson sums up to its number, however large
+    the rate. Rows of the same id draw the same count; a null id draws by the row's text instead;
+    null, empty and very long texts are rows like any other; an empty table gives an empty result;
+    columns of ``docs`` named copy or shuffle_key are replaced, all others stay whatever their names.
     """
     docs = docs.drop("copy", "shuffle_key")
-    names = docs.columns
     rates = source_rates(docs, weights, source_col=source_col, power=power, total=total)
-    rates = rates.select(
-        F.col("source").alias("__source"), poisson_least(F.col("rate")).alias("__least"), poisson_cdf(F.col("rate")).alias("__cdf")
-    )
-    same = F.col(source_col).eqNullSafe(F.col("__source"))
-    if rates.limit(SOURCES_BROADCAST + 1).count() <= SOURCES_BROADCAST:
-        dealt = docs.join(F.broadcast(rates), same)
+    rates = rates.select("source", poisson_least(F.col("rate")).alias("least"), poisson_cdf(F.col("rate")).alias("cdf"))
+    text = F.col(text_col).cast("string") if text_col in docs.columns else F.lit("")
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    packed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("from"), F.concat(F.lit(f"{seed}:"), own).alias("key"))
+    same = F.col("from").eqNullSafe(F.col("source"))
+    bounds = rates.agg(F.count("*"), F.sum(F.size("cdf"))).first()
+    if bounds[0] <= SOURCES_BROADCAST and (bounds[1] or 0) <= SUMS_BROADCAST:
+        dealt = packed.join(F.broadcast(rates), same)
     else:
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = docs.withColumn("__own", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        dealt = own.join(salted, same & (F.col("__own") == F.col("__salt")))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    count = F.col("__least") + F.size(F.filter("__cdf", lambda c: c <= hash_uniform(key)))
-    dealt = dealt.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    dealt = dealt.withColumn("shuffle_key", F.md5(F.concat(key, F.lit(":"), F.col("copy").cast("string"))))
-    return (
-        dealt.select(*names, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
-    )
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = packed.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        dealt = dealt.join(salted, same & (F.col("own") == F.col("salt")))
+    count = F.col("least") + F.size(F.filter("cdf", lambda c: c <= hash_uniform(F.col("key"))))
+    dealt = dealt.withColumn("n", count).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    dealt = dealt.withColumn("shuffle_key", F.md5(F.concat("key", F.lit(":"), F.col("copy").cast("string"))))
+    return dealt.select("row.*", "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -103,24 +103,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-#: The Poisson terms up to 60 suffice for the mean rates that power 0.5 gives over tens of sources.
+#: As many Poisson terms as the largest rate needs, by their logarithms, so that large rates don't underflow.
 _MIXING_SQL = """
 WITH counts AS (SELECT source, count(*) AS n, sqrt(count(*)) AS weight FROM documents GROUP BY source),
 rates AS (
   SELECT source, (SELECT sum(n) FROM counts)::DOUBLE * weight / (SELECT sum(weight) FROM counts) / n AS rate FROM counts
 ),
-terms AS (SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1.0) AS p FROM rates, range(0, 61) AS r(k)),
+reach AS (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 40)::BIGINT AS most FROM rates),
+terms AS (
+  SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p FROM rates, (SELECT unnest(range(0, most)) AS k FROM reach)
+),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-draws AS (
-  SELECT d.*, ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM documents d
+keyed AS (
+  SELECT d.*, '7:' || coalesce(d.doc_id::VARCHAR, 'null:' || md5(coalesce(d.text, ''))) AS key FROM documents d
 ),
+draws AS (SELECT *, ('0x' || substr(md5(key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM keyed),
 dealt AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) FILTER (WHERE c.c <= d.u) AS n
-  FROM draws d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL
+  SELECT d.r, d.doc_id, d.text, d.lang, d.source, d.n_chars, d.key, count(*) FILTER (WHERE c.c <= d.u) AS n
+  FROM (SELECT *, row_number() OVER () AS r FROM draws) d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL
 )
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
-       md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR) AS shuffle_key
+       md5(key || ':' || copy::VARCHAR) AS shuffle_key
 FROM dealt, range(1, n + 1) AS r(copy)
 """
 

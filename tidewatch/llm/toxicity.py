@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import hash_sample, slices, with_unsigned_crc, written
+from tidewatch.llm.common import hash_sample, slices, unused, with_unsigned_crc, written
 
-#: Labelled rows that training reads at most.
+#: Labelled rows that training reads at most, and bytes of their features, 4 for each.
 TRAIN_ROWS = 30_000
+TRAIN_BYTES = 256 << 20
 BITS = 20
 FOLDS, HELD_OUT = 5, 0
 
@@ -40,7 +43,7 @@ _HASHES = _Hashes()
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Distinct hashed features of a whole text: words, word pairs, and pairs with one word between."""
-    words = (text or "").encode().lower().translate(_WORDS).split()
+    words = (text or "").encode(errors="surrogatepass").lower().translate(_WORDS).split()
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     one, two, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(64 - bits)
     parts = [h, h[:-1] * one + h[1:] * two, h[:-2] * two + h[2:] * one + one]
@@ -95,14 +98,19 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     rows: int = TRAIN_ROWS,
+    size: int = TRAIN_BYTES,
     epochs: int = 3,
     bits: int = BITS,
 ) -> Model:
     """Fit on at most about ``rows`` labelled documents outside the held-out fold.
 
     Labels are made unique by id first (1 wins over 0); rows with a null id or label are left
-    out. Features are made where the texts lie; one task then runs the sequential updates over
-    the bounded sample, ordered by a hash. Without any labelled row the model scores 0.5.
+    out. Features are made where the texts lie and written; if they are more than ``size`` bytes,
+    because texts are very long, fewer rows are drawn. One task then runs the sequential updates
+    over the bounded sample, ordered by a hash; it reads each batch once and keeps the rows in a
+    temporary file of its own for the later epochs, so that its memory doesn't grow with the sample.
+    Rows that share an id count one by one with the id's label; null and empty texts have no
+    features. Without any labelled row the model scores 0.5.
     """
     spark = docs.sparkSession
     known = with_unsigned_crc(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()), "__fold", id_col, FOLDS)
@@ -120,12 +128,27 @@ def train(
             )
 
     made = texts.select(F.col("__id").cast("long").alias("__id"), "__y", "__text").mapInArrow(featurize, "id long, y int, x binary")
+    made = written(made, "toxic-features")
+    total = made.agg(F.sum(F.length("x"))).first()[0] or 0
+    if total > size:
+        made = hash_sample(made, int(made.count() * size / total), "id", seed=19)
     made = made.withColumn("o", F.xxhash64(F.lit(3), "id")).repartition(1).sortWithinPartitions("o", "id", "x")
 
     def fit(it):
-        kept = [(x, y) for b in it for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-        pairs = ((np.frombuffer(x, np.int32), y) for _ in range(epochs) for x, y in kept)
-        index, value, bias = ftrl(pairs, bits)
+        with tempfile.TemporaryFile() as kept:
+
+            def again() -> Iterator[tuple[np.ndarray, int]]:
+                for b in slices(it):
+                    for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                        y = int(y > 0)
+                        kept.write(len(x).to_bytes(4, "little") + bytes([y]) + x)
+                        yield np.frombuffer(x, np.int32), y
+                for _ in range(epochs - 1):
+                    kept.seek(0)
+                    while head := kept.read(5):
+                        yield np.frombuffer(kept.read(int.from_bytes(head[:4], "little")), np.int32), head[4]
+
+            index, value, bias = ftrl(again(), bits)
         yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()]), pa.array([value.tobytes()]), pa.array([bias])], ["i", "v", "b"])
 
     got = made.select("y", "x").mapInArrow(fit, "i binary, v binary, b double").collect()
@@ -137,7 +160,8 @@ def train(
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Add the probability of label 1 for each whole text, null texts as empty ones.
 
-    A column of ``docs`` with the score's name is replaced. Scores depend on the text alone.
+    A column of ``docs`` with the score's name is replaced, all others stay. Scores depend on the
+    text alone; equal texts score alike. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.drop(score_col)
@@ -152,7 +176,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], [*b.schema.names[:-1], score_col])
 
     out = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
-    return docs.withColumn("__scored", F.col(text_col).cast("string")).mapInArrow(run, out)
+    return docs.withColumn(unused("__scored", docs.columns), F.col(text_col).cast("string")).mapInArrow(run, out)
 
 
 def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -153,6 +153,20 @@ def test_mixing(spark, docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_and_parts_null_ids(spark):
+    from tidewatch.llm import mixing
+
+    made = [(None, f"text {i % 50}", "s", i) for i in range(200)] + [(i, None, None, i) for i in range(100)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, __n int")
+    df = df.withColumns({c: F.lit(c) for c in ("__source", "__cdf", "n", "key", "row", "own", "salt", "least", "cdf", "from")})
+    out = mixing.mix(df, total=3000.0)
+    assert out.columns == [*df.columns, "copy", "shuffle_key"]
+    got = out.collect()
+    assert {r["__n"] for r in got} <= set(range(200)) and all(r["cdf"] == "cdf" and r["from"] == "from" for r in got)
+    assert len({r.shuffle_key for r in got if r.doc_id is None}) > 100
+    assert abs(len(got) - 3000) < 1200
+
+
 def test_mixing_without_broadcast(docs, monkeypatch):
     from tidewatch.llm import mixing
 
@@ -253,6 +267,21 @@ def test_license_templates(spark):
     assert got[2].labels == ""
 
 
+def test_license_templates_in_wrapped_lines(spark):
+    from tidewatch.llm.licenses import scan
+
+    notice = (
+        "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated\ndocumentation files"
+    )
+    gpl = "it under the terms of the GNU General\n Public License as published by the Free\n Software Foundation, either\n version 3"
+    filler = "some other words of prose stand here and go on\n" * 40
+    half = notice[: notice.index("obtaining")]
+    texts = [filler + notice + "\n" + filler, notice.replace("\n", "\n# "), filler + gpl, filler + half + filler, notice.replace("\n", "\n" + filler)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(5)] == ["mit", "mit", "gpl-3,lgpl-3", "", ""]
+    assert got[0].score == 1.0 and got[0].n_base == 0
+
+
 # 6
 
 
@@ -268,6 +297,45 @@ def test_language(docs, odd):
     assert {(1, "und"), (2, "und"), (3, "und"), (7, "und")} <= told
     assert language.train(docs.limit(0)) is None
     assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
+    assert [language.has_letter(t) for t in ("½ ² ³ ٣ _", "5 ª", "é", "-文", "", None)] == [False, True, True, True, False, False]
+
+
+def test_language_against_plain_kernel_regression(spark):
+    """With every training row a landmark, the model is ridge regression on the plain kernel of n-gram sets."""
+    from tidewatch.llm import language
+
+    rng = random.Random(6)
+    made = []
+    for i in range(90):
+        lang = ("aa", "bb", "cc")[i % 3]
+        letters = {"aa": "abcde", "bb": "cdefg", "cc": "éghix"}[lang]
+        made.append((i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(rng.choice((3, 20, 2500)))), lang))
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language.train(df, rows=1000, landmarks=600, ridge=0.5)
+
+    def grams(t):
+        b = t.lower().encode()
+        return {b[i : i + n] for n in range(1, 5) for i in range(len(b) - n + 1)}
+
+    sets = [grams(t) for _, t, _ in made]
+    kernel = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    known = [i for i, _, _ in made if zlib.crc32(str(i).encode()) % 3 != 1]
+    values, vectors = np.linalg.eigh(kernel[np.ix_(known, known)])
+    keep = values > 1e-6 * values[-1]
+    x = kernel[:, known] @ vectors[:, keep] / np.sqrt(values[keep])
+    x = np.hstack([x, np.ones((len(made), 1))])
+    count = Counter(made[i][2] for i in known)
+    w = np.array([len(known) / 3 / count[made[i][2]] for i in known])[:, None]
+    y = np.array([[1.0 if made[i][2] == k else -1.0 for k in sorted(count)] for i in known])
+    penalty = np.eye(x.shape[1]) * 0.5
+    penalty[-1, -1] = 1e-9
+    solved = np.linalg.solve(x[known].T @ (w * x[known]) + penalty, x[known].T @ (w * y))
+    found = language.Presence(model.cells)
+    got = model.values([t for _, t, _ in made], found, language.placed(model.used, model.cells))
+    assert np.abs(got - x @ solved).max() < 0.05
+    told = {r.doc_id: r for r in language.identify(df, model).collect()}
+    held = [i for i, t, _ in made if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(told[i].lang_pred == sorted(count)[(x @ solved)[i].argmax()] for i in held)
 
 
 # 7
@@ -293,6 +361,61 @@ def test_sharding(spark, docs, odd, tmp_path):
     assert store.vacuum(orphans_s=-60) == 1 and store.read().count() == before
     for df in (odd, odd.limit(0)):
         assert rows(shards.sharded(df)) == rows(df)
+    with pytest.raises(ValueError, match="extra, n_chars"):
+        store.append(docs.drop("n_chars").withColumn("extra", F.lit(1)))
+    with pytest.raises(ValueError, match="n_chars"):
+        store.append(docs.withColumn("n_chars", F.col("n_chars").cast("string")))
+    assert store.append(docs.select(*reversed(docs.columns)).limit(5)) and store.read().count() == before + 5
+
+
+def test_sharding_merges_what_a_plain_plan_merges(spark, docs, tmp_path):
+    from tidewatch.llm import shards
+
+    store = shards.ShardStore(spark, str(tmp_path / "store"), target_bytes=400_000, fan_in=3)
+    for n, files in enumerate(store.write_arrivals(docs.repartition(3), 8)):
+        assert store.append_files(files, docs.schema) == n + 1
+        assert len(store.manifest()["shards"]) == 3 * (n + 1)
+    arrived = store.manifest()["shards"]
+    assert store.full_tiers(store.manifest()) and len(arrived) == 24
+    last = store.compact()
+    seen = set()
+    for v in range(1, last + 1):
+        now, then = store.manifest(v), store.manifest(v - 1)
+        paths = lambda m: {s["path"] for s in m["shards"]}
+        gone, made = paths(then) - paths(now), paths(now) - paths(then)
+        assert not made & seen  # files are never written again
+        seen |= made
+        assert store.read(v).count() == (docs.count() if v >= 8 else store.read(v).count())
+        if gone:
+            sizes = [s["bytes"] for s in then["shards"] if s["path"] in gone]
+            assert len(made) < len(gone) >= 3 and len({store.tier(x) for x in sizes}) == 1 and max(sizes) < 200_000
+    assert last > 8
+    # what is left of a tier is too few to merge, or didn't get fewer by merging
+    assert all(sum(s["bytes"] for s in v) > 200_000 for v in store.full_tiers(store.manifest()).values())
+    assert rows(store.read()) == rows(docs)
+
+
+def test_sharding_of_two_writers(spark, docs, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidewatch.llm import shards
+
+    stores = [shards.ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 20, fan_in=4) for _ in range(4)]
+    few = docs.limit(3).cache()
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda s: [s.append(few) for _ in range(3)], stores))
+    assert sorted(v for each in versions for v in each) == list(range(1, 13))
+    assert stores[0].read().count() == 36
+    # a writer that merges what another has merged changes nothing
+    plain = stores[1]._change
+
+    def later(make, tries=20):
+        stores[2].compact()
+        return plain(make, tries)
+
+    stores[1]._change = later
+    stores[1].compact()
+    assert stores[0].read().count() == 36 and not stores[0].orphans(-60)
 
 
 # 8
@@ -374,7 +497,36 @@ def test_toxicity(spark, docs, odd):
     assert len(told) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in told)
     none = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic").limit(0))
     assert {r.score for r in toxicity.classify(odd, none).collect()} == {0.5}
-    assert set(toxicity.score(odd, model).columns) == set(odd.columns)
+    assert set(toxicity.score(odd.withColumn("__scored", F.lit(1)), model).columns) == {*odd.columns, "__scored"}
+    few = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), size=200_000)
+    assert 0 < len(few.index) < len(model.index)
+
+
+def test_toxicity_against_a_plain_pass():
+    """The vectorised FTRL-proximal updates against the published ones, one coordinate at a time."""
+    from tidewatch.llm import toxicity
+
+    rng = np.random.default_rng(7)
+    pairs = [(np.unique(rng.integers(0, 64, 12)).astype(np.int32), int(rng.random() < 0.4)) for _ in range(400)]
+    index, value, bias = toxicity.ftrl(iter(pairs), bits=6, alpha=0.7, beta=1.0, l1=0.5, l2=0.1)
+    z, n, z0, n0 = [0.0] * 64, [0.0] * 64, 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.5 else -(z[i] - math.copysign(0.5, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.7 + 0.1)
+
+    for idx, y in pairs:
+        w, w0 = {i: weight(i) for i in idx.tolist()}, -z0 / ((1.0 + math.sqrt(n0)) / 0.7)
+        g = 1 / (1 + math.exp(-(sum(w.values()) + w0))) - y
+        for i, wi in w.items():
+            s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7
+            z[i] += g - s * wi
+            n[i] += g * g
+        s = (math.sqrt(n0 + g * g) - math.sqrt(n0)) / 0.7
+        z0 += g - s * w0
+        n0 += g * g
+    want = {i: weight(i) for i in range(64) if weight(i)}
+    assert index.tolist() == sorted(want) and np.allclose(value, [want[i] for i in sorted(want)], atol=1e-5)
+    assert bias == pytest.approx(-z0 / ((1.0 + math.sqrt(n0)) / 0.7))
 
 
 # 10

@@ -104,16 +104,20 @@ def vectors(spark):
     made = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(np.concatenate([base, base + rng.normal(size=base.shape) * 0.05, base[:5]]))]
     nan, inf = float("nan"), float("inf")
     odd = [(200, None, 1), (201, [0.0] * 8, 1), (202, [nan] * 8, 1), (203, [inf] + [1.0] * 7, 1), (204, made[0][1], None), (205, [], 1), (206, [1e300] * 8, 1), (207, [1e-300] * 8, 1), (None, made[0][1], 0), (3, made[3][1], 0), (3, made[3][1], 0)]
+    # different vectors that share an id, near to different others
+    odd += [(300, made[6][1], 0), (300, made[9][1], 0), (300, made[10][1], 1), (301, (np.array(made[6][1]) + 0.001).tolist(), 0), (302, (np.array(made[9][1]) + 0.001).tolist(), 0)]
     return spark.createDataFrame(made + odd, "vec_id long, embedding array<double>, label int")
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,recall", [(1024, 0.98), (16, 0.98), (16, 2.0)])
+def test_embeddings(spark, monkeypatch, block, recall):
+    """With a recall that can't be met the exact way is taken."""
     from tidewatch.llm import embeddings
 
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embeddings, "AUDIT_EVERY", 3)
     df = vectors(spark)
-    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df.withColumn("unit", F.lit(0))).collect())
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df.withColumn("unit", F.lit(0)), min_recall=recall).collect())
     given = [tuple(r) for r in df.collect()]
     fine = [r for r in given if r[0] is not None and r[2] is not None and r[1] and all(np.isfinite(r[1])) and any(r[1])]
 

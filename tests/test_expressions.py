@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,37 +21,57 @@ def lit(text):
     return F.lit(text).cast("string")
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [("", 0), (" 12 ", 12), ("爆", 100), ("X3", -30), ("XX", -100), ("?", None), ("X", None), ("1.5", None), ("XXX", None), (None, None)],
-)
-def test_list_push(spark, text, want):
-    assert value(spark, X.list_push(lit(text))) == want
-
-
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("Wed Oct 07 11:51:41 2026", datetime(2026, 10, 7, 3, 51, 41)), ("Wed Oct  7 11:51:41 2026", datetime(2026, 10, 7, 3, 51, 41)),
-        ("", None), ("Wed Foo 07 11:51:41 2026", None), ("Wed Oct 07 25:51:41 2026", None), ("garbage", None), (None, None),
-    ],
-)
-def test_article_time(spark, text, want):
-    got = value(spark, F.date_format(X.article_time(lit(text)), "yyyy-MM-dd HH:mm:ss"))
-    assert got == (want and want.strftime("%Y-%m-%d %H:%M:%S"))
-
-
-@pytest.mark.parametrize(
-    ("text", "posted", "want"),
-    [
-        ("10/07 12:35", "2026-10-07 04:00:00", "2026-10-07 04:35:00"), ("203.0.113.9 10/07 12:35", "2026-10-07 04:00:00", "2026-10-07 04:35:00"),
-        ("01/01 00:05", "2026-12-31 15:50:00", "2026-12-31 16:05:00"), ("01/01 00:40", "2026-12-31 16:30:00", "2026-12-31 16:40:00"),
-        ("", "2026-10-07 04:00:00", None), ("203.0.113.9", "2026-10-07 04:00:00", None), ("02/30 12:00", "2026-10-07 04:00:00", None),
-    ],
-)
-def test_comment_time(spark, text, posted, want):
-    got = X.comment_time(lit(text), lit(posted).cast("timestamp"))
-    assert value(spark, F.date_format(got, "yyyy-MM-dd HH:mm:ss")) == want
+def test_list_push_follows_its_rule(spark):
+    """Counts as numbers, a full one as 100, X and a digit as that many tens below 0; anything else is unknown."""
+    for n in (0, 3, 47, 99):
+        for text in (str(n), f"  {n}", f"{n}\t"):
+            assert value(spark, X.list_push(lit(text))) == n
+    assert [value(spark, X.list_push(lit(f"X{d}"))) for d in range(1, 10)] == [-10 * d for d in range(1, 10)]
+    full, below = "爆", "XX"  # fixed values: what a list shows at either end
+    assert value(spark, X.list_push(lit(full))) == 100 and value(spark, X.list_push(lit(below))) == -100
+    assert value(spark, X.list_push(lit("  "))) == 0
+    for odd in ("seven", "X1X", "Y4", "4e1", "爆2", None):
+        assert value(spark, X.list_push(lit(odd))) is None
+
+
+def shown(column):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+
+def test_article_time_reads_what_the_clock_wrote(spark):
+    """Times are written eight hours ahead of UTC, the day of the month with or without a blank or nought before it."""
+    for at in (datetime(2025, 2, 3, 23, 5, 9), datetime(2024, 2, 29, 0, 0, 0), datetime(2023, 12, 31, 6, 30, 1)):
+        for day in (f"{at.day:2d}", f"{at.day:02d}"):
+            text = at.strftime(f"%a %b {day} %H:%M:%S %Y")
+            got = value(spark, shown(X.article_time(lit(text))))
+            assert got == (at - timedelta(hours=8)).strftime("%Y-%m-%d %H:%M:%S")
+    for odd in ("no time at all", "Mon Xyz 03 23:05:09 2025", "Mon Feb 03 23:65:09 2025", "Mon Feb 03 23:05:09", " ", None):
+        assert value(spark, X.article_time(lit(odd))) is None
+
+
+def test_comment_time_takes_the_year_from_its_post(spark):
+    """A month before the post's own is the next year's; the address before a time is left out."""
+    for posted, said in (
+        (datetime(2025, 5, 20, 9, 0), datetime(2025, 5, 20, 9, 45)), (datetime(2025, 5, 20, 9, 0), datetime(2025, 7, 1, 0, 1)),
+        (datetime(2025, 11, 30, 20, 0), datetime(2026, 2, 2, 2, 2)), (datetime(2023, 12, 31, 23, 50), datetime(2024, 1, 1, 0, 10)),
+    ):
+        for before in ("", "198.51.100.77 "):
+            post_utc = (posted - timedelta(hours=8)).strftime("%Y-%m-%d %H:%M:%S")
+            got = X.comment_time(lit(before + said.strftime("%m/%d %H:%M")), lit(post_utc).cast("timestamp"))
+            assert value(spark, shown(got)) == (said - timedelta(hours=8)).strftime("%Y-%m-%d %H:%M:%S")
+    for odd in ("198.51.100.77", "13/05 10:10", "04/31 10:10", "noon", " ", None):
+        assert value(spark, shown(X.comment_time(lit(odd), lit("2025-05-20 01:00:00").cast("timestamp")))) is None
+
+
+def test_comment_time_isnt_in_the_future(spark):
+    """More than a day after it was seen a time is the year before's if a year was added, else unknown."""
+    at = lambda text: lit(text).cast("timestamp")
+    told = lambda text, posted, seen: value(spark, shown(X.comment_time(lit(text), at(posted), at(seen))))
+    assert told("03/10 08:30", "2025-03-09 00:00:00", "2025-03-09 23:00:00") == "2025-03-10 00:30:00"
+    assert told("03/11 08:30", "2025-03-09 00:00:00", "2025-03-09 23:00:00") is None
+    # the post is edited after the year's end: its month is later than the comment's, which is this year's
+    assert told("02/01 08:30", "2025-04-01 00:00:00", "2025-04-02 00:00:00") == "2025-02-01 00:30:00"
+    assert told("02/01 08:30", "2024-12-01 00:00:00", "2025-02-02 00:00:00") == "2025-02-01 00:30:00"
 
 
 @pytest.mark.parametrize(("minutes", "wait"), [(59, 5), (60, 10), (359, 10), (360, 60), (1439, 60), (1440, None)])
@@ -93,10 +114,15 @@ def test_known_comparison(spark):
 
 
 def test_confidence_buckets(spark):
-    made = [(0.9, True), (0.65, True), (0.55, False), (0.5, False), (0.45, None), (0.35, True)]
-    got = stats.confidence_buckets(spark.createDataFrame(made, "s double, r boolean"), "s", "r", (0.4, 0.5, 0.6, 0.7)).collect()
-    assert [round(r.below * 6) for r in got] == [1, 2, 4, 5]
-    assert [r.n for r in got] == [4, 4, 2, 1] and [r.accuracy for r in got] == [0.5, 0.5, 1.0, 1.0]
+    rng = random.Random(4)
+    made = [(rng.random(), rng.choice((True, False, None))) for _ in range(60)]
+    df, cuts = spark.createDataFrame(made, "s double, r boolean"), (0.25, 0.5, 0.8, 1.5)
+    for r in stats.confidence_buckets(df, "s", "r", cuts).collect():
+        known = [ok for s, ok in made if s >= r.threshold and ok is not None]
+        assert r.below == pytest.approx(sum(s < r.threshold for s, _ in made) / 60) and r.n == len(known)
+        assert r.accuracy == (pytest.approx(sum(known) / len(known)) if known else None)
+    none = stats.confidence_buckets(df.where("false"), "s", "r", cuts).collect()
+    assert [tuple(r) for r in none] == [(c, 0.0, 0, None) for c in cuts]
 
 
 def test_percentiles_and_ranks(spark):

@@ -97,19 +97,19 @@ def test_windows(spark):
     assert got[2].mean == pytest.approx(11) and got[2].var == pytest.approx(9) and got[2].z == pytest.approx(10)
 
 
-def test_baseline():
-    b = heat.Baseline()
-    b.update([2, 4, 6], 0.1)
-    assert b.mean == 4 and b.second - b.mean**2 == pytest.approx(8 / 3)
-    b = heat.Baseline(5.0, 25.0, 3)
-    b.update([1, 9], 0.1)
-    assert b.mean == 5 and b.second - b.mean**2 == pytest.approx(1.6)
-    b.update([], 0.1)
+def test_baseline_is_a_smoothed_mean_and_square():
+    b, m, q = heat.Baseline(), None, None
+    for values in ([3, 3, 9], [0], [], [7, 1, 1, 1], [12]):
+        b.update(values, 0.25)
+        if values:
+            first, square = sum(values) / len(values), sum(v * v for v in values) / len(values)
+            m, q = (first, square) if m is None else (0.75 * m + 0.25 * first, 0.75 * q + 0.25 * square)
+        assert (b.mean, b.second) == (pytest.approx(m), pytest.approx(q))
     assert b.samples == 4
-    assert heat.Baseline(2.0, 4.01, 1).z(12, 1.0) == pytest.approx(10) and heat.Baseline(2.0, 20.0, 1).z(12, 1.0) == pytest.approx(2.5)
+    assert b.z(m + 6, 0.1) == pytest.approx(6 / (q - m * m) ** 0.5) and b.z(m + 6, 100.0) == pytest.approx(0.06)
 
 
-CONFIG = heat.HeatConfig(warmup_min=5, max_gap_min=100, post_min_count=30)
+CONFIG = heat.SurgeRules(warmup=5, longest_gap=100, least_post=30)
 M0 = 29_000_000
 
 
@@ -119,22 +119,22 @@ def run(events, board=None):
     return [t for p, m in events for t in board.take("b", p, m, m, CONFIG)]
 
 
-def warmed(n=10):
+def calm(n=10):
     return [("quiet", M0 - n + i) for i in range(n)]
 
 
 def test_surges():
-    hot = run(warmed() + [("hot", M0)] * 200 + [("quiet", M0 + 1)])
+    hot = run(calm() + [("hot", M0)] * 200 + [("quiet", M0 + 1)])
     assert [(t[0], t[3]) for t in hot] == [("board", 209), ("post", 200)] and hot[1][6] == ["hot"]
-    board = run(warmed() + [("quiet", M0)] * 15 + [("hot", M0)] * 25 + [("quiet", M0 + 1)])
+    board = run(calm() + [("quiet", M0)] * 15 + [("hot", M0)] * 25 + [("quiet", M0 + 1)])
     assert [(t[0], t[6]) for t in board] == [("board", ["hot", "quiet"])]
-    assert run(warmed() + [("hot", M0)] * 200) == []  # the minute isn't over
-    assert run(warmed() + [("hot", M0)] * 15 + [("quiet", M0 + 1)]) == []
-    assert run(warmed(3) + [("hot", M0)] * 200 + [("quiet", M0 + 1)]) == []
+    assert run(calm() + [("hot", M0)] * 200) == []  # the minute isn't over
+    assert run(calm() + [("hot", M0)] * 15 + [("quiet", M0 + 1)]) == []
+    assert run(calm(3) + [("hot", M0)] * 200 + [("quiet", M0 + 1)]) == []
 
 
 def test_cooldown_and_lateness():
-    first = warmed() + [("hot", M0)] * 200 + [("quiet", M0 + 1)]
+    first = calm() + [("hot", M0)] * 200 + [("quiet", M0 + 1)]
     soon = first + [("hot", M0 + 20)] * 400 + [("quiet", M0 + 21)]
     assert len([t for t in run(soon) if t[0] == "post"]) == 1
     late = first + [("hot", M0 + 40)] * 400 + [("quiet", M0 + 41)]
@@ -159,7 +159,7 @@ def cdc(spark):
 
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     events = cdc(spark)
-    config = heat.HeatConfig(warmup_min=5, min_count=30, post_min_count=30)
+    config = heat.SurgeRules(warmup=5, least_board=30, least_post=30)
     want = sorted(map(tuple, heat.alerts(heat.detect(events, config), config).collect()), key=repr)
     assert {(r[1], r[3]) for r in want} == {("board", "a"), ("post", "a")}
     assert heat.detect(events.withColumn("op", F.lit("u")), config).count() == 0
@@ -175,39 +175,82 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect()), key=repr) == want
 
 
+def plain_triggers(rows, config, cuts=()):
+    """Each comment folded by itself in order of change numbers; the state is stored and loaded at the cuts."""
+    out = []
+    for name in {r.board for r in rows}:
+        board = heat.Board()
+        for n, r in enumerate(sorted((r for r in rows if r.board == name), key=lambda r: (r.lsn, r.minute, r.post_id))):
+            if n in cuts:
+                board = heat.Board.load(board.dump())
+            out += [(name, *t) for t in board.take(name, r.post_id, r.minute, r.minute, config)]
+    return sorted(out, key=repr)
+
+
 def test_surges_of_a_batch_fold_counts(spark, capsys):
     events = cdc(spark)
     events = events.unionAll(events.withColumn("board", F.lit(None).cast("string")))
-    config = heat.HeatConfig(warmup_min=5, min_count=30, post_min_count=30)
-    rows = heat.countable(events, config).collect()
-    want = []
-    for name in ("a", "b", None):
-        board = heat.Board()
-        for r in sorted((r for r in rows if r.board == name), key=lambda r: (r.minute, r.lsn)):
-            want += [(name, *t) for t in board.take(name, r.post_id, r.minute, r.minute, config)]
+    config = heat.SurgeRules(warmup=5, least_board=30, least_post=30)
+    want = plain_triggers(heat.countable(events, config).collect(), config)
     found = heat.detect(events, config)
-    assert want and sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert want and sorted(map(tuple, found.collect()), key=repr) == want
     found.explain()
     assert "FlatMapGroups" not in capsys.readouterr().out  # no board is held as a whole
 
 
+def test_comments_count_in_order_of_arrival(spark, monkeypatch):
+    """Late comments are left out or counted by what had arrived before them, whatever the cuts of batches."""
+    rng = random.Random(9)
+    monkeypatch.setattr(heat, "STRETCH", 40)
+    config = heat.SurgeRules(warmup=5, least_board=12, least_post=8, quiet=6, least_z=1.0, window=4, longest_gap=50)
+    made, minute = [], 100
+    for lsn in range(900):
+        minute += rng.random() < 0.25
+        if 300 < lsn < 420 or 700 < lsn < 780:
+            minute -= rng.random() < 0.2
+        late = rng.choice((0, 0, 0, 0, 1, 2, 3, 9, 18))
+        made.append((rng.choice(("a", "b")), f"p{rng.randrange(3)}", minute - late, lsn, "c", "false"))
+    df = spark.createDataFrame(made, "board string, post_id string, m long, lsn long, op string, deleted string")
+    df = df.withColumn("changed_at", F.timestamp_seconds(F.col("m") * 60)).withColumn("commented_at", F.col("changed_at"))
+    rows = heat.countable(df, config).collect()
+    want = plain_triggers(rows, config)
+    assert len(want) > 4 and want == plain_triggers(rows, config, cuts=(7, 100, 101, 250, 333))
+    assert sorted(map(tuple, heat.detect(df, config).collect()), key=repr) == want
+    by_minute = plain_triggers([r.__class__(**{**r.asDict(), "lsn": r.minute * 1000 + r.lsn}) for r in rows], config)
+    assert by_minute != want  # the order does matter here
+    # eighteen minutes behind the newest is too late, two are not
+    one = heat.arrivals(df.where("lsn < 0").unionAll(spark.createDataFrame(
+        [("a", "p", 118, 1, "c", "false"), ("a", "p", 100, 2, "c", "false"), ("a", "p", 116, 3, "c", "false")], df.drop("changed_at", "commented_at").schema
+    ).withColumn("changed_at", F.timestamp_seconds(F.col("m") * 60)).withColumn("commented_at", F.col("changed_at"))), config)
+    assert sorted((r.stage, r.minute, r.n) for r in one.collect()) == [(118, 116, 1), (118, 118, 1)]
+    assert heat.detect(df, config, now=10_000).count() == 0  # all closed minutes are long past
+
+
 def test_merge_stream_is_idempotent(spark, tmp_path):
-    run_batch = jobs.merge_latest(str(tmp_path / "t"), ["k"], ["lsn"])
+    table = jobs.BucketTable(str(tmp_path / "t"), ["k"], spark.createDataFrame([], "k string, lsn long, v string"), buckets=16)
+    run_batch = jobs.merge_latest(table, ["lsn"])
     rows = lambda *r: spark.createDataFrame(list(r), "k string, lsn long, v string")
-    run_batch(rows(("a", 1, "x"), ("b", 1, "y")), 0)
+    assert table.read(spark).count() == 0
+    run_batch(rows(*[(c, 1, "x") for c in "abcdefgh"]), 0)
     for _ in range(2):  # a batch that is run again
         run_batch(rows(("a", 2, "z"), ("b", 0, "old")), 1)
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / f"{1:010d}")).collect()}
-    assert got == {("a", 2, "z"), ("b", 1, "y")}
+    run_batch(rows(), 2)
+    got = {tuple(r) for r in table.read(spark).collect()}
+    assert got == {("a", 2, "z")} | {(c, 1, "x") for c in "bcdefgh"}
+    folders = {k: sorted(v) for k, v in table._folders(spark).items()}
+    assert len(folders) > 2 and sum(len(v) == 2 for v in folders.values()) <= 2  # others weren't written again
+    assert table.vacuum(spark, keep=1) == sum(len(v) == 2 for v in folders.values()) and {tuple(r) for r in table.read(spark).collect()} == got
 
 
 def test_snapshot_stream(spark, tmp_path):
-    step = jobs.merge_snapshots(str(tmp_path), spark.createDataFrame([], POST))
+    table = jobs.BucketTable(f"{tmp_path}/posts", ["post_id"], spark.createDataFrame([], POST))
+    step = jobs.merge_snapshots(table, f"{tmp_path}/changes")
     step(spark.createDataFrame([post(0)], POST), 0)
-    step(spark.createDataFrame([post(5, "n")], POST), 1)
+    for _ in range(2):
+        step(spark.createDataFrame([post(5, "n")], POST), 1)
     step(spark.createDataFrame([post(5, "n")], POST), 2)
     ops = [[r.op for r in spark.read.parquet(f"{tmp_path}/changes/{n:010d}").collect()] for n in range(3)]
-    assert ops == [["c"], ["u"], []]
+    assert ops == [["c"], ["u"], []] and table.read(spark).count() == 1
 
 
 def test_dead_letters(spark):

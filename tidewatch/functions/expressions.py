@@ -38,7 +38,7 @@ def sentiment_bucket(polarity: Column, score: Column, least: float) -> Column:
 
 def list_push(text: Column) -> Column:
     """The push count of a list entry: empty 0, a number, the boom sign 100, XX -100, Xn -10n, else null."""
-    t = F.trim(text)
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
     return (
         F.when(t == "", F.lit(0))
         .when(t.rlike("^[0-9]+$"), t.try_cast("int"))
@@ -66,17 +66,54 @@ def article_time(text: Column, zone: str = "Asia/Taipei") -> Column:
     return F.to_utc_timestamp(local.cast("timestamp"), zone)
 
 
-def comment_time(text: Column, posted: Column, zone: str = "Asia/Taipei") -> Column:
+#: A time may lie so far after it was seen, for clocks that differ.
+FUTURE_US = 86_400_000_000
+
+
+def comment_time(text: Column, posted: Column, seen: Column | None = None, zone: str = "Asia/Taipei") -> Column:
     """``MM/DD HH:MM`` at the end of a text as an instant not before the post's month; null if invalid.
 
-    The year is the post's local year, or the next one if the month is before the post's.
+    The year is the post's local year, or the next one if the month is before the post's. A time
+    more than a day after ``seen`` goes back to the post's year if it had the next one, and is null
+    if that doesn't help.
     """
     form = r"(\d{2})/(\d{2}) (\d{2}):(\d{2})\s*$"
     num = lambda i: F.regexp_extract(text, form, i).try_cast("int")
     at = F.from_utc_timestamp(posted, zone)
-    year = F.year(at) + F.when(num(1) < F.month(at), 1).otherwise(0)
-    local = F.try_make_timestamp_ntz(year, num(1), num(2), num(3), num(4), F.lit(0).cast("decimal(16,6)"))
-    return F.to_utc_timestamp(local.cast("timestamp"), zone)
+
+    def instant(year: Column) -> Column:
+        local = F.try_make_timestamp_ntz(year, num(1), num(2), num(3), num(4), F.lit(0).cast("decimal(16,6)"))
+        return F.to_utc_timestamp(local.cast("timestamp"), zone)
+
+    later = num(1) < F.month(at)
+    first = instant(F.year(at) + F.when(later, 1).otherwise(0))
+    if seen is None:
+        return first
+    fits = lambda c: F.unix_micros(c) <= F.unix_micros(seen) + FUTURE_US
+    same = instant(F.year(at))
+    return F.when(fits(first), first).when(later & fits(same), same)
+
+
+def number_or(text: Column, default: float) -> Column:
+    """A text as a double, the default if it isn't one."""
+    return F.coalesce(text.try_cast("double"), F.lit(default))
+
+
+def some_time(text: Column) -> Column:
+    """An instant written in any of the usual ways, null if in none of them."""
+    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms])
+
+
+def zoned_time(text: Column) -> Column:
+    """An ISO instant with its offset; null without one, as its zone would be a guess."""
+    return F.when(text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+
+
+def pairing_key(author: Column, text: Column) -> Column:
+    """What the same remark has in two feeds: its author and a digest of its text, white space made even."""
+    even = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\r\f]+", " "))
+    return F.concat_ws("|", author, F.substring(F.sha1(even), 1, 16))
 
 
 def local_day(at: Column, zone: str = "Asia/Taipei") -> Column:

@@ -89,7 +89,7 @@ def confidence_buckets(df: DataFrame, score: str, right: str, thresholds: Sequen
         n = F.count_if(known)
         made.append(
             F.struct(
-                F.lit(t).alias("threshold"), (F.count_if(F.col(score) < t) / F.count("*")).alias("below"), n.alias("n"),
+                F.lit(t).alias("threshold"), F.coalesce(F.try_divide(F.count_if(F.col(score) < t), F.count("*")), F.lit(0.0)).alias("below"), n.alias("n"),
                 F.when(n > 0, F.count_if(known & F.col(right)) / n).alias("accuracy"),
             )
         )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bucket_counts(df: DataFrame, by: Sequence[str], at: Column, seconds: int) -> DataFrame:
@@ -32,23 +35,30 @@ def grid(counts: DataFrame, by: Sequence[str], longest: int) -> DataFrame:
 def ewma(series: DataFrame, by: Sequence[str], value: str, alpha: float, least_std: float) -> DataFrame:
     """Mean and variance after each bucket and the z-score by what was known before it.
 
-    The first value sets the mean. A key's series, one number a bucket, is folded in order; keys
-    run in parallel.
+    The first value sets the mean. A key's series, one number a bucket, is folded in order as it
+    comes in Arrow batches; a task keeps two numbers of it, and keys run in parallel.
     """
-    pairs = F.array_sort(F.collect_list(F.struct("bucket", F.col(value).cast("double").alias("x"))))
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("s"), F.array().cast("array<struct<bucket:bigint,x:double,mean:double,var:double,z:double>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        first = F.size(acc.out) == 0
-        m = F.when(first, p.x).otherwise(acc.m * (1 - alpha) + p.x * alpha)
-        s = F.when(first, p.x * p.x).otherwise(acc.s * (1 - alpha) + p.x * p.x * alpha)
-        before = F.sqrt(F.greatest(acc.s - acc.m * acc.m, F.lit(0.0)))
-        z = F.when(~first, (p.x - acc.m) / F.greatest(before, F.lit(least_std)))
-        row = F.struct(p.bucket.alias("bucket"), p.x.alias("x"), m.alias("mean"), F.greatest(s - m * m, F.lit(0.0)).alias("var"), z.alias("z"))
-        return F.struct(m.alias("m"), s.alias("s"), F.concat(acc.out, F.array(row)).alias("out"))
-
-    folded = series.groupBy(*by).agg(F.aggregate(pairs, start, step, lambda a: a.out).alias("rows"))
-    return folded.select(*by, F.inline("rows"))
+    keys = list(by)
+    ordered = series.select(*keys, "bucket", F.col(value).cast("double").alias("x")).repartition(*keys).sortWithinPartitions(*keys, "bucket")
+
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, m, s = None, 0.0, 0.0
+        for b in it:
+            means, variances, scores = [], [], []
+            for *now, x in zip(*(b.column(c).to_pylist() for c in (*keys, "x"))):
+                if now != key:
+                    key, m, s, now_z = now, x, x * x, None
+                else:
+                    now_z = (x - m) / max(math.sqrt(max(s - m * m, 0.0)), least_std)
+                    m, s = m * (1 - alpha) + x * alpha, s * (1 - alpha) + x * x * alpha
+                means.append(m)
+                variances.append(max(s - m * m, 0.0))
+                scores.append(now_z)
+            cols = [pa.array(v, pa.float64()) for v in (means, variances, scores)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "mean", "var", "z"])
+
+    kinds = [*ordered.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("mean", "var", "z"))]
+    return ordered.mapInArrow(fold, T.StructType(kinds))
 
 
 def bursts(df: DataFrame, by: Sequence[str], at: str, count: int, seconds: int) -> DataFrame:

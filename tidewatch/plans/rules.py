@@ -32,7 +32,7 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FEED_SQL + "SELECT count(*) AS n, count(b) AS matched, 1 - count(b) / count(*) AS unmatched_ratio FROM paired")
 def feed_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired(spark, sf_dir).agg(F.count("*").alias("n"), F.count("b").alias("matched"), (1 - F.count("b") / F.count("*")).alias("unmatched_ratio"))
+    return paired(spark, sf_dir).agg(F.count("*").alias("n"), F.count("b").alias("matched"), (1 - F.try_divide(F.count("b"), F.count("*"))).alias("unmatched_ratio"))
 
 
 @query(_FEED_SQL + "SELECT post_id, floor, i, u, greatest(u - 60, 0) AS l, u - 30 AS e FROM (SELECT *, (epoch_us(b) - epoch_us(date_trunc('minute', a))) / 1e6 AS u FROM paired WHERE b IS NOT NULL)")

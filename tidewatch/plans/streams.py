@@ -57,7 +57,7 @@ def zscore_board_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Thresholds for the driver's thin stream; the defaults suit a busy one.
-HEAT = heat.HeatConfig(window_min=120, max_delay_min=120, min_count=4, post_min_count=2, z_threshold=1.5, cooldown_min=240, warmup_min=240)
+HEAT = heat.SurgeRules(window=120, longest_delay=120, least_board=4, least_post=2, least_z=1.5, quiet=240, warmup=240)
 
 
 @query()

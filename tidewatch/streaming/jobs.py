@@ -43,37 +43,81 @@ def parse_json(raw: DataFrame, schema: str, column: str = "value") -> tuple[Data
     return good, parsed.where(bad).select(F.lit("json").alias("rule"), F.base64(F.col(column).cast("binary")).alias("payload_b64"))
 
 
-def merge_latest(path: str, keys: list[str], version: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keep the newest row of each key in ``path``, one folder a batch number.
+class BucketTable:
+    """A keyed table in hash buckets, of which a batch rewrites those only that its keys fall into.
 
-    A batch reads the folder before its own and writes its own anew, so that running it again
-    gives the same. Readers take the newest folder.
+    A batch writes a folder of its own number with the buckets that it touches; a bucket's newest
+    folder holds it. Running a batch again reads what lay before it and writes the same.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
+    def __init__(self, path: str, keys: list[str], empty: DataFrame, buckets: int = 256):
+        self.path, self.keys, self.empty, self.buckets = path, keys, empty, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _folders(self, spark) -> dict[int, dict[int, str]]:
+        """By bucket the paths of its folders by batch number."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/bucket=*")
+        out: dict[int, dict[int, str]] = {}
+        for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []:
+            at = s.getPath()
+            out.setdefault(int(at.getName()[7:]), {})[int(at.getParent().getName())] = at.toString()
+        return out
+
+    def read(self, spark, before: int | None = None, only: set[int] | None = None) -> DataFrame:
+        """The rows as they are, or as they were before a batch, of some buckets or all."""
+        found = []
+        for k, by in self._folders(spark).items():
+            numbers = [n for n in by if before is None or n < before]
+            if numbers and (only is None or k in only):
+                found.append(by[max(numbers)])
+        return spark.read.schema(self.empty.schema).parquet(*found) if found else self.empty
+
+    def change(self, batch: DataFrame, number: int, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Write what ``make`` gives for the rows of the buckets that the batch's keys fall into."""
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{path}/{number - 1:010d}").unionByName(batch)
-        latest.latest_by(rows, keys, version).write.mode("overwrite").parquet(f"{path}/{number:010d}")
+        touched = {r[0] for r in batch.select(self.bucket()).distinct().collect()}  # as many as buckets at most
+        old = self.read(spark, number, touched)
+        made = make(old).select(*self.empty.columns).withColumn("bucket", self.bucket())
+        made.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{number:010d}")
+
+    def vacuum(self, spark, keep: int = 2) -> int:
+        """Delete the folders of a bucket but the newest ``keep``, which a batch that runs again may need."""
+        gone = 0
+        for by in self._folders(spark).values():
+            for n in sorted(by)[:-keep]:
+                where = spark._jvm.org.apache.hadoop.fs.Path(by[n])
+                gone += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+        return gone
+
+
+def merge_latest(table: BucketTable, version: list[str]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: keep the newest row of each key."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        table.change(batch, number, lambda old: latest.latest_by(old.unionByName(batch), table.keys, version))
 
     return run
 
 
-def merge_snapshots(path: str, empty: DataFrame) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: merge page snapshots into posts, with the batch's change rows beside them."""
+def merge_snapshots(table: BucketTable, changes: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: merge page snapshots into posts, and write the batch's change rows to a folder of its own."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/posts/{number - 1:010d}") if number else empty
-        merged = merge.merge_posts(old, merge.newest_snapshots(batch).select(*old.columns))
-        merged.drop("action").write.mode("overwrite").parquet(f"{path}/posts/{number:010d}")
-        merge.change_rows(merged, ["post_id"]).write.mode("overwrite").parquet(f"{path}/changes/{number:010d}")
+        columns = table.empty.columns
+
+        def make(old: DataFrame) -> DataFrame:
+            merged = merge.merge_posts(old, merge.newest_snapshots(batch).select(*columns))
+            merge.change_rows(merged, ["post_id"]).write.mode("overwrite").parquet(f"{changes}/{number:010d}")
+            return merged
+
+        table.change(batch, number, make)
 
     return run
 
 
-def alert_stream(comments: DataFrame, config: heat.HeatConfig) -> DataFrame:
+def alert_stream(comments: DataFrame, config: heat.SurgeRules) -> DataFrame:
     """Alerts of a comment stream. Ids repeat on a replay, so that a sink can drop what it has."""
     return heat.alerts(heat.stream(comments, config), config)
 

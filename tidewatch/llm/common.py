@@ -48,6 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a frame that ``written`` gave, once nothing reads it any more."""
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        forget(df.sparkSession, name)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared folder through Hadoop's file system API, if the driver's JVM still runs."""
     with contextlib.suppress(Exception):

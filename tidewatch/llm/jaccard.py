@@ -26,8 +26,11 @@ BUCKET_ROWS = 500_000
 BLOCK_ROWS = 20_000
 #: Sets with a shingle, by the sample's telling, beyond which it is dealt over all buckets.
 HOT_ROWS = 100_000
-#: Bits of a set's parity sketch.
+#: Bits of a set's parity sketch in a bucket; a wide one has twice as many bits as elements, as a power of two up to WIDE_MOST.
 SKETCH_BITS = 512
+WIDE_MOST = 1 << 16
+#: Buckets of so many rows at most are compared all at once.
+SMALL_BUCKET = 16
 #: Words of 64 bits in the filter that leaves out texts that are in no pair.
 FILTER_WORDS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,19 +70,31 @@ def set_print(found: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > found.size, bitorder="little").view("<u8")[0])
 
 
-def parity(found: np.ndarray) -> bytes:
-    """For each of SKETCH_BITS cells whether an odd number of the set's hashes fall into it.
+def parity(found: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """For each of so many cells, a power of two, whether an odd number of the set's hashes fall into it.
 
     The sketches of two sets differ in as many bits at most as the sets have elements not in common.
     """
-    cells = (found * _MIX >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
-    return np.packbits(np.bincount(cells, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    cells = (found * _MIX >> np.uint64(40)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(cells, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def wide_parity(found: np.ndarray) -> bytes:
+    return parity(found, min(max(SKETCH_BITS, 1 << (2 * found.size).bit_length()), WIDE_MOST))
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider one is folded, as cells are numbered by their last bits."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    n = min(x.size, y.size)
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n)) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def signatures(
     docs: DataFrame, often: tuple[np.ndarray, np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, digest, node, n, fp, sketch, prefix) of every row; equal sets have the same node, equal texts the same digest.
+    """(doc_id, digest, node, n, fp, sketch, wide, prefix) of every row; equal sets have the same node, equal texts the same digest.
 
     The prefix holds the rarest shingles of the set, of which two sets of similarity 0.8 share one:
     they are ordered by their count in a bounded sample, then by value. The order only decides how
@@ -103,16 +118,16 @@ def signatures(
                     if c.any():
                         p = s[np.argsort(c, kind="stable")[:most]]
                 node = np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64)
-                made.append((int(node), s.size, int(np.uint64(set_print(s)).astype(np.int64)), parity(s), p.tobytes()))
-            cols = zip(*made) if made else [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                made.append((int(node), s.size, int(np.uint64(set_print(s)).astype(np.int64)), parity(s), wide_parity(s), p.tobytes()))
+            cols = zip(*made) if made else [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [b.column(2), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                ["doc_id", "digest", "node", "n", "fp", "sketch", "prefix"],
+                ["doc_id", "digest", "node", "n", "fp", "sketch", "wide", "prefix"],
             )
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"), digest(text_col).alias("digest"), F.col(id_col).cast("long").alias("doc_id"))
-    return texts.mapInArrow(run, "doc_id long, digest string, node long, n int, fp long, sketch binary, prefix binary")
+    return texts.mapInArrow(run, "doc_id long, digest string, node long, n int, fp long, sketch binary, wide binary, prefix binary")
 
 
 def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, float]:
@@ -155,10 +170,14 @@ def packed_prefixes(signs: DataFrame, buckets: int, hot: np.ndarray) -> DataFram
             tokens, own = np.concatenate([p for _, _, p in new]), np.repeat(np.arange(k.size), k)
             node = np.array([x for x, _, _ in new], np.int64)[own]
             where = ((tokens * _MIX) >> np.uint64(33)).astype(np.int64) % buckets
+            # within a bucket half of a shingle's bits tell it well enough: others cost a comparison, none is lost
+            short = tokens.astype("<u4")
             if hot.size:
                 very = np.isin(tokens, hot)
                 where[very] = -1 - ((tokens[very] ^ node[very].view(np.uint64)) * _MIX >> np.uint64(33)).astype(np.int64) % buckets
-            cols = tokens, node, np.array([n for _, n, _ in new], np.int32)[own], (np.arange(own.size) - (np.cumsum(k) - k)[own]).astype(np.int32)
+                short[very] = np.searchsorted(hot, tokens[very])
+            at = np.minimum(np.arange(own.size) - (np.cumsum(k) - k)[own], 0xFFFF).astype("<u2")
+            cols = short, node, np.array([n for _, n, _ in new], np.int32)[own], at
             order = np.argsort(where, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=where[order[0]] - 1)), order.size)
             parts = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
@@ -179,19 +198,21 @@ def shared_rows(signs: DataFrame, total: int, often: tuple[np.ndarray, np.ndarra
 
     def run(t: pa.Table) -> pa.Table:
         blobs, b = t.column("blob").to_pylist(), t.column("b")[0].as_py()
-        m = [len(x) // 24 for x in blobs]
-        kinds = ("<u8", 0), ("<i8", 8), ("<i4", 16), ("<i4", 20)
+        m = [len(x) // 18 for x in blobs]
+        kinds = ("<u4", 0), ("<i8", 4), ("<i4", 12), ("<u2", 16)
         token, node, n, at = (np.concatenate([np.frombuffer(x, kind, k, place * k) for x, k in zip(blobs, m)]) for kind, place in kinds)
         order = np.lexsort((node, token))
-        order = order[np.append(True, (np.diff(token[order]) != 0) | (np.diff(node[order]) != 0))]
+        order = order[np.append(True, (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1]))]
         token = token[order]
         heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         sizes = np.diff(np.append(heads, token.size))
         # below 0 there is a share of the rows of each shingle
-        blocks = -(-(sizes if b >= 0 else rows_of[np.searchsorted(hot, token[heads])]) // BLOCK_ROWS)
+        blocks = -(-(sizes if b >= 0 else rows_of[token[heads]]) // BLOCK_ROWS)
         keep = np.repeat((sizes > 1) | (b < 0), sizes)
         k = np.repeat(blocks, sizes)[keep].astype(np.int32)
-        cols = [token.view(np.int64)[keep], *(c[order][keep] for c in (node, n, at)), k]
+        # a bucket's shingles apart from those of others, and very frequent ones the same in all
+        shingle = token[keep].astype(np.int64) + ((b + 1 << 32) if b >= 0 else 0)
+        cols = [shingle, node[order][keep], n[order][keep], at[order][keep].astype(np.int32), k]
         return pa.table(list(map(pa.array, cols)), ["shingle", "node", "n", "at", "k"])
 
     packed = packed_prefixes(signs, max(1, total // BUCKET_ROWS), hot)
@@ -242,42 +263,45 @@ def candidates(shared: DataFrame, nodes: DataFrame, group: DataFrame, *, every:
     rows = rows.withColumn("key", F.when(F.col("k") > 1, pair).otherwise(F.col("shingle"))).withColumn("own", cross)
     rows = rows.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "node", "n", "at", "component", "own", "sketch")
 
-    def pairs(n, at, component, own, sketch, a: int, z: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def large(n, at, component, own, sketch, a: int, z: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # sets in order of size: a set's partners end where they are a quarter larger
         ends = np.searchsorted(4 * n[a:z].astype(np.int64), 5 * n[a:z].astype(np.int64), "right") + a
-        first, second, held = [], [], 0
         for i in range(a, z - 1):
             j = np.arange(i + 1, ends[i - a])
             j = j[(component[j] != component[i]) & ((own[i] < 0) | (own[j] != own[i]))]
-            mine = np.full(j.size, i)
-            keep = may_link(n, at, sketch, mine, j)
-            first.append(mine[keep])
-            second.append(j[keep])
-            held += first[-1].size
-            if held > 1 << 16:
-                yield np.concatenate(first), np.concatenate(second)
-                first, second, held = [], [], 0
-        if held:
-            yield np.concatenate(first), np.concatenate(second)
+            if j.size:
+                mine = np.full(j.size, i)
+                keep = may_link(n, at, sketch, mine, j)
+                yield mine[keep], j[keep]
+
+    def pairs(key, n, at, component, own, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(heads, key.size))
+        small = np.repeat(sizes <= SMALL_BUCKET, sizes)
+        for lag in range(1, min(SMALL_BUCKET, key.size)):
+            i = np.flatnonzero(small[:-lag] & (key[lag:] == key[:-lag]))
+            if not i.size:
+                break
+            j = i + lag
+            keep = (component[i] != component[j]) & ((own[i] < 0) | (own[i] != own[j])) & (4 * n[j].astype(np.int64) <= 5 * n[i].astype(np.int64))
+            i, j = i[keep], j[keep]
+            keep = may_link(n, at, sketch, i, j)
+            yield i[keep], j[keep]
+        for a, z in zip(heads[sizes > SMALL_BUCKET].tolist(), (heads + sizes)[sizes > SMALL_BUCKET].tolist()):
+            if (component[a:z] != component[a]).any():
+                yield from large(n, at, component, own, sketch, a, z)
 
     def run(it):
         for key, node, n, at, component, own, raw in whole_buckets(it):
             sketch = np.frombuffer(b"".join(raw), "<u8").reshape(key.size, -1)
-            root = np.unique(component, return_inverse=True)[1]
-            first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), key.size]):
-                if (root[a:z] == root[a]).all():
-                    continue
-                found = pairs(n, at, component, own, sketch, a, z)
-                if not every:
-                    found = iter([spanning(z - a, ((i - a, j - a) for i, j in found), start=root[a:z])])
-                    found = ((i + a, j + a) for i, j in found)
-                for i, j in found:
-                    first.append(i)
-                    second.append(j)
-            i, j = np.concatenate(first), np.concatenate(second)
-            x, y = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            names, first, place = np.unique(node, return_index=True, return_inverse=True)
+            found = ((place[i], place[j]) for i, j in pairs(key, n, at, component, own, sketch))
+            if every:
+                both = [np.zeros((2, 0), np.int64), *map(np.array, found)]
+                i, j = np.concatenate(both, axis=1)
+            else:
+                i, j = spanning(names.size, found, start=component[first])
+            x, y = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
             new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: x.size]
@@ -346,15 +370,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of 0.8 or more, by all their shingles."""
-    pairs = written(pairs, "pairs")
+    """The pairs whose sets have a Jaccard similarity of 0.8 or more, by all their shingles.
+
+    Wide sketches leave out first what can't have it, so that few sets are made again and sent.
+    """
+
+    def may(it):
+        for b in it:
+            n, m = (b.column(k).to_numpy() for k in (2, 4))
+            apart = [sketches_differ(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist())]
+            yield b.filter(pa.array(9 * np.array(apart, np.int64) <= n.astype(np.int64) + m)).select(["a", "b"])
+
+    told = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("wide").alias("x")), "a")
+    told = told.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y")), "b")
+    pairs = written(told.select("a", "b", "n", "x", "m", "y").mapInArrow(may, "a long, b long"), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
     sets = written(_sets(docs, written(named, "named"), text_col), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(it):
-        for b in it:
+        for b in slices(it):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")

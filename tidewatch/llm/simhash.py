@@ -234,22 +234,22 @@ def _similar_sets(docs: DataFrame, id_col: str, text_col: str, radius: int) -> t
     """(doc_id, digest, node) of all rows, and (node, first, component) of each different set."""
     often = jaccard.frequent(docs, text_col)
     signs = written(jaccard.signatures(docs, often, id_col=id_col, text_col=text_col), "signatures")
-    least = {c: F.min(c).alias(c) for c in ("digest", "n", "fp", "sketch")}
+    least = {c: F.min(c).alias(c) for c in ("digest", "n", "fp", "sketch", "wide")}
     nodes = written(signs.groupBy("node").agg(F.min("doc_id").alias("first"), *least.values()), "nodes")
     total = nodes.agg(F.sum(F.expr("n div 5 + 1"))).first()[0] or 0
     shared = written(jaccard.shared_rows(signs, total, often), "shared")
     # only sets that share a shingle of their prefixes can be similar
-    met = written(nodes.join(shared.select("node").distinct(), "node"), "met")
+    met = written(nodes.join(shared.select("node").distinct(), "node").select("node", "fp", "sketch"), "met")
     by_print = written(met.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
     close = near_pairs(by_print.select("fp"), radius=radius)
     for side in ("a", "b"):
         close = close.join(by_print.select(F.col("fp").alias(side), F.col("lead").alias(f"node_{side}")), side)
     close = close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     same = met.join(by_print, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = jaccard.verified(close.unionAll(same), docs, met, text_col=text_col)
+    links = jaccard.verified(close.unionAll(same), docs, nodes, text_col=text_col)
     for every in (False, True):
         pairs = jaccard.candidates(shared, met, components(links), every=every)
-        links = links.unionAll(jaccard.verified(pairs, docs, met, text_col=text_col))
+        links = links.unionAll(jaccard.verified(pairs, docs, nodes, text_col=text_col))
     group = components(links).withColumnRenamed("node", "__n")
     placed = nodes.join(group, F.col("node") == F.col("__n"), "left")
     rows = signs.select("doc_id", "digest", "node")

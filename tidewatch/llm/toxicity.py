@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import hash_sample, slices, unused, with_unsigned_crc, written
+from tidewatch.llm.common import dropped, hash_sample, slices, unused, with_unsigned_crc, written
 
 #: Labelled rows that training reads at most, and bytes of their features, 4 for each.
 TRAIN_ROWS = 30_000
@@ -128,7 +128,7 @@ def train(
             )
 
     made = texts.select(F.col("__id").cast("long").alias("__id"), "__y", "__text").mapInArrow(featurize, "id long, y int, x binary")
-    made = written(made, "toxic-features")
+    made = kept_features = written(made, "toxic-features")
     total = made.agg(F.sum(F.length("x"))).first()[0] or 0
     if total > size:
         made = hash_sample(made, int(made.count() * size / total), "id", seed=19)
@@ -152,6 +152,7 @@ def train(
         yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()]), pa.array([value.tobytes()]), pa.array([bias])], ["i", "v", "b"])
 
     got = made.select("y", "x").mapInArrow(fit, "i binary, v binary, b double").collect()
+    dropped(kept_features)
     if not got:
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, bits)
     return Model(np.frombuffer(got[0].i, np.int32), np.frombuffer(got[0].v, np.float32), got[0].b, bits)

@@ -64,7 +64,7 @@ def forget(spark: SparkSession, path: str) -> None:
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into pieces of about so many rows and bytes at most, as rows may hold whole texts.
 
-    Spark itself bounds the bytes of a batch; the session's settings stay as they are.
+    Spark itself bounds the bytes of a batch.
     """
     for b in batches:
         step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
@@ -72,6 +72,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 8 <<
             yield b.slice(at, step)
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """The frame, after bounding the rows of its session's Arrow batches, as rows here hold whole texts.
+
+    Batches of 10,000 texts took several hundred MB more of an executor. The setting is read when a
+    query runs, so it has to stay in the session; a smaller one is left as it is.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores before it as long as a column has it."""
     taken = {c.lower() for c in columns}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import hash_sample, slices, written
+from tidewatch.llm.common import hash_sample, slices, small_batches, written
 
 WORDS = 5
 SEED = 42
@@ -138,7 +138,7 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, fl
             found = [np.zeros(0, "<u8"), *map(shingles, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("<i8"))], ["shingle"])
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(text_col).cast("string").alias("text"))
     rows = texts.count()
     drawn = hash_sample(texts, ORDER_SAMPLE, "text")
     found = drawn.mapInArrow(run, "shingle long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import hash_sample, slices, with_unsigned_crc, written
+from tidewatch.llm.common import hash_sample, slices, small_batches, with_unsigned_crc, written
 
 #: Rows that training reads at most, and landmarks among them.
 TRAIN_ROWS = 12_000
@@ -120,7 +120,7 @@ def train(
     equations of one-versus-rest ridge regression on the Nyström features, and the driver
     solves them, whose size is that of the landmarks. None if there is nothing to learn from.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     known = with_unsigned_crc(docs, "__fold", id_col, FOLDS).where(
         F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.coalesce("__fold", F.lit(HELD_OUT)) != HELD_OUT)
     )
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     and its softmax as score. Only the text decides. Rows that share an id stay rows of their
     own; a null id isn't held out; other columns are not looked at.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(it):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.archive import FORMAT, ArchiveSource, qualified
-from tidewatch.llm.common import scratch_path, slices
+from tidewatch.llm.common import scratch_path, slices, small_batches
 
 #: Samples of a row; payloads are padded to whole rows with PAD, a byte that UTF-8 never has.
 WIDTH = 576
@@ -69,7 +69,7 @@ def feature(samples: bytes, width: int) -> str:
 
 def store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write one image a row to archives below ``path``; members are named by id and number."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     spark.dataSource.register(ArchiveSource)
 
     def run(it):
@@ -111,7 +111,7 @@ def describe(media: DataFrame) -> DataFrame:
             cols = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return media.mapInArrow(
+    return small_batches(media).mapInArrow(
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string",

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, written
+from tidewatch.llm.common import slices, small_batches, written
 
 SEQUENCE = 4096
 END_ID = 1
@@ -142,7 +142,7 @@ def pieces(
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(texts).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: Iterable[int], capacity: int = SEQUENCE, open_bins: int = OPEN_BINS) -> Iterator[tuple[int, int]]:

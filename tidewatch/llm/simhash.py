@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import jaccard
-from tidewatch.llm.common import components, hash_sample, slices, written
+from tidewatch.llm.common import components, hash_sample, slices, small_batches, written
 
 WORDS = 4
 RADIUS = 4
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    return small_batches(texts).mapInArrow(run, "doc_id long, fp long")
 
 
 @dataclass
@@ -154,8 +154,9 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarr
     for d in np.unique(da):
         lo, hi = np.searchsorted(db, [d - radius, d + radius + 1])
         rows = np.flatnonzero(da == d)
-        for at in range(0, rows.size, 256):
-            part = rows[at : at + 256]
+        step = max(1, (1 << 20) // max(1, hi - lo))
+        for at in range(0, rows.size, step):
+            part = rows[at : at + step]
             i, j = np.nonzero(np.bitwise_count(a[part, None] ^ b[None, lo:hi]) <= radius)
             yield part[i], order[lo + j]
 

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import slices, unused, written
+from tidewatch.llm.common import slices, small_batches, unused, written
 
 #: A window of this many bytes counts as repeated; each is filed under its smallest 16-gram hash.
 WINDOW = 50
 GRAM = 16
 #: Bytes of text that a group of documents and a bucket of windows stand for, about.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 #: Windows of a run at most, and bytes that the shallow sort looks at.
 RUN = 64
@@ -215,6 +215,7 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
     Whole copies of an earlier document are told by id and digest and stay out of all this. Rows
     with a null id and texts under 50 bytes lose nothing and go to ``finish`` where they lie.
     """
+    small_batches(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     takes_part = F.col(id_col).isNotNull() & (F.octet_length(text) >= WINDOW)
     told = written(

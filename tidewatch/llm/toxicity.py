@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import dropped, hash_sample, slices, unused, with_unsigned_crc, written
+from tidewatch.llm.common import dropped, hash_sample, slices, small_batches, unused, with_unsigned_crc, written
 
 #: Labelled rows that training reads at most, and bytes of their features, 4 for each.
 TRAIN_ROWS = 30_000
@@ -112,7 +112,7 @@ def train(
     Rows that share an id count one by one with the id's label; null and empty texts have no
     features. Without any labelled row the model scores 0.5.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     known = with_unsigned_crc(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()), "__fold", id_col, FOLDS)
     known = known.where(F.col("__fold") != HELD_OUT).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     # the sample's size is bounded, and so is what is broadcast here
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     A column of ``docs`` with the score's name is replaced, all others stay. Scores depend on the
     text alone; equal texts score alike. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     docs = docs.drop(score_col)
     shared = spark.sparkContext.broadcast((model.index, model.value, model.bias, model.bits))
 

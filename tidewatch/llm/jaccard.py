@@ -22,7 +22,7 @@ SEED = 42
 ORDER_SAMPLE = 10_000
 FREQUENT = 100_000
 #: Prefix rows that a bucket stands for, about, and rows of one shingle that a task compares at once.
-BUCKET_ROWS = 500_000
+BUCKET_ROWS = 250_000
 BLOCK_ROWS = 20_000
 #: Sets with a shingle, by the sample's telling, beyond which it is dealt over all buckets.
 HOT_ROWS = 100_000

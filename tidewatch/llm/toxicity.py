@@ -23,7 +23,7 @@ FOLDS, HELD_OUT = 5, 0
 #: ASCII but letters and digits separates words; bytes of other scripts belong to words.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _CACHE: dict[bytes, int] = {}
-_CACHE_MOST = 500_000
+_CACHE_MOST = 50_000
 
 
 class _Hashes(dict):

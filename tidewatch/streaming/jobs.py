@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import heat, latest, merge
+from tidewatch.operators import heat, inference, latest, merge
 
 POST_ID = r"^[A-Za-z0-9_-]+\.M\.[0-9]+\.A\.[0-9A-F]{3}$"
 
@@ -74,11 +74,14 @@ class BucketTable:
                 found.append(by[max(numbers)])
         return spark.read.schema(self.empty.schema).parquet(*found) if found else self.empty
 
+    def before(self, batch: DataFrame, number: int) -> DataFrame:
+        """The buckets that a batch's keys fall into, as they were before it."""
+        touched = {r[0] for r in batch.select(self.bucket()).distinct().collect()}  # as many as buckets at most
+        return self.read(batch.sparkSession, number, touched)
+
     def change(self, batch: DataFrame, number: int, make: Callable[[DataFrame], DataFrame]) -> None:
         """Write what ``make`` gives for the rows of the buckets that the batch's keys fall into."""
-        spark = batch.sparkSession
-        touched = {r[0] for r in batch.select(self.bucket()).distinct().collect()}  # as many as buckets at most
-        old = self.read(spark, number, touched)
+        old = self.before(batch, number)
         made = make(old).select(*self.empty.columns).withColumn("bucket", self.bucket())
         made.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{number:010d}")
 
@@ -117,6 +120,32 @@ def merge_snapshots(table: BucketTable, changes: str) -> Callable[[DataFrame, in
     return run
 
 
+def append_once(table: BucketTable) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: add the rows whose keys the table lacks, such as alerts by their ids."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates(table.keys)
+        table.change(batch, number, lambda old: old.unionByName(rows.join(old.select(*table.keys), table.keys, "left_anti")))
+
+    return run
+
+
+def infer_posts(known: BucketTable, classify: Callable[[Column], Column], publish: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: classify the posts whose text is new, publish, then note the texts of all posts seen.
+
+    ``known`` has (post_id, text_hash). A batch that fails before its end notes nothing, so that it
+    publishes the same when it runs again; ``publish`` gets its number to tell.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        told = inference.to_infer(batch, known.before(batch, number))
+        publish(told.where("infer").select("post_id", "text_hash", classify(F.col("text")).alias("scores")), number)
+        seen = told.select("post_id", "text_hash")
+        known.change(batch, number, lambda old: old.join(seen, "post_id", "left_anti").unionByName(seen))
+
+    return run
+
+
 def alert_stream(comments: DataFrame, config: heat.SurgeRules) -> DataFrame:
     """Alerts of a comment stream. Ids repeat on a replay, so that a sink can drop what it has."""
     return heat.alerts(heat.stream(comments, config), config)

@@ -27,7 +27,9 @@ SHALLOW = 24
 SALTS = 8
 #: Bytes of a SHA-256 that tell a copy.
 DIGEST = 16
-_SLICE = 1 << 20
+#: Windows hashed at once, and bytes of documents that are hashed together; both fit a core's cache.
+_SLICE = 1 << 15
+_TOGETHER = 1 << 18
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -50,22 +52,47 @@ def window_keys(raw: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of windows with one key: their keys, mixed, and first and last windows."""
-    keys = window_keys(raw)
-    if not keys.size:
-        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    last = np.append(first[1:], keys.size) - 1
-    while (last - first >= RUN).any():
-        long = last - first >= RUN
-        cut = first[long] + RUN
-        first, last = np.concatenate([first, cut]), np.concatenate([np.where(long, first + RUN - 1, last), last[long]])
-        order = np.argsort(first, kind="stable")
-        first, last = first[order], last[order]
+def _runs_together(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    size = np.fromiter(map(len, raws), np.int64, len(raws))
+    count = np.maximum(size - WINDOW + 1, 0)
+    from_, n = np.cumsum(count) - count, int(count.sum())
+    if not n:
+        yield from ((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in raws)
+        return
+    keys = window_keys(b"".join(raws))
+    if len(raws) > 1:  # without the windows that cross from one document into the next
+        keys = keys[np.repeat(np.cumsum(size) - size - from_, count) + np.arange(n)]
+    starts = np.concatenate(([True], keys[1:] != keys[:-1]))
+    starts[from_[count > 0]] = True
+    first = np.flatnonzero(starts)
+    last = np.append(first[1:], n) - 1
+    pieces = (last - first) // RUN + 1
+    last = np.repeat(last, pieces)
+    first = np.repeat(first, pieces) + (np.arange(last.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN
+    last = np.minimum(first + RUN - 1, last)
     z = keys[first] * _M1
     z = (z ^ (z >> np.uint64(29))) * _M2
-    return z ^ (z >> np.uint64(32)), first, last
+    z ^= z >> np.uint64(32)
+    cuts = np.append(np.searchsorted(first, from_), first.size).tolist()
+    for at, a, b in zip(from_.tolist(), cuts, cuts[1:]):
+        yield z[a:b], first[a:b] - at, last[a:b] - at
+
+
+def runs_of(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By text the stretches of windows with one key: their keys, mixed, and first and last windows.
+
+    Short texts are hashed together, which gives what each gives alone.
+    """
+    batch: list[bytes] = []
+    held = 0
+    for raw in raws:
+        if batch and held + len(raw) > _TOGETHER:
+            yield from _runs_together(batch)
+            batch, held = [], 0
+        batch.append(raw)
+        held += len(raw)
+    if batch:
+        yield from _runs_together(batch)
 
 
 def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -125,7 +152,11 @@ def deep_shallow(buf: bytes, pos: np.ndarray) -> np.ndarray:
     todo, group = np.arange(pos.size), np.zeros(pos.size, np.int64)
     for at in range(0, SHALLOW, 8):
         char = w[pos[todo] + at]
-        order = np.lexsort((char, group)) if at else np.argsort(char, kind="stable")
+        order = np.argsort(char)
+        if at:  # by group and then by the character's rank
+            rank = np.empty(char.size, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([0], char[order[1:]] != char[order[:-1]])))
+            order = np.argsort(group * char.size + rank)
         todo, group, char = todo[order], group[order], char[order]
         new = np.concatenate(([True], (char[1:] != char[:-1]) | (group[1:] != group[:-1])))[: todo.size]
         alone = new & np.append(new[1:], True)[: todo.size]
@@ -142,7 +173,9 @@ def deep_shallow(buf: bytes, pos: np.ndarray) -> np.ndarray:
     plain = np.logical_and.reduceat(same, heads)
     classes[todo] = np.repeat(np.arange(heads.size), sizes)
     fresh = heads.size
-    for g in np.flatnonzero(~plain).tolist():
+    # two that differ have nothing left to sort
+    classes[todo[np.repeat(~plain & (sizes == 2), sizes)]] = -1
+    for g in np.flatnonzero(~plain & (sizes > 2)).tolist():
         members = todo[heads[g] : heads[g] + sizes[g]].tolist()
         for equal in blind_trie([buf[p + SHALLOW : p + WINDOW] for p in pos[members].tolist()]):
             for k in equal:
@@ -168,7 +201,7 @@ def _rows(t: pa.Table, id_col: str, text_col: str, copies: Copies) -> Iterator[t
 
 def _group_keys(found: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, list]:
     """Distinct keys of a group's documents in order, whether several have it, and each document's runs."""
-    each = [(d, raw, *runs(raw)) for d, raw in found]
+    each = [(d, raw, *r) for (d, raw), r in zip(found, runs_of([raw for _, raw in found]))]
     if not each:
         return np.zeros(0, np.uint64), np.zeros(0, bool), []
     keys = [np.unique(e[2]) for e in each]
@@ -323,7 +356,8 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
             take = np.flatnonzero(np.isin(keys, useful))
             take = take[np.argsort(keys[take], kind="stable")]
             if take.size:
-                at = np.concatenate([np.arange(from_[k], from_[k] + count[k]) for k in numbers[take].tolist()])
+                many = count[numbers[take]]
+                at = np.repeat(from_[numbers[take]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 blob = np.array([take.size], "<u8").tobytes() + keys[take].astype("<u8").tobytes() + doc[at].astype("<i8").tobytes()
                 made.append((g, b, zlib.compress(blob, 1)))
         cols = list(zip(*made)) if made else [()] * 3
@@ -331,8 +365,8 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
 
     def mark(rows: pa.Table, notes: pa.Table) -> pa.Table:
         copies_here = _copies(notes)
-        each = [(d, raw, *runs(raw)) for d, raw in _rows(rows, id_col, text_col, copies_here)]
-        edges = [np.zeros(len(e[1]) + 1, np.int32) for e in each]
+        looked = list(_rows(rows, id_col, text_col, copies_here))
+        each = [(d, raw, *r) for (d, raw), r in zip(looked, runs_of([raw for _, raw in looked]))]
         answers = []
         for b, blob in zip(notes.column("b").to_pylist(), notes.column("blob").to_pylist()):
             if b >= 0:
@@ -341,19 +375,27 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
                 answers.append((np.frombuffer(blob, "<u8", n, 8), np.frombuffer(blob, "<i8", -1, 8 + 8 * n)))
         wanted = np.unique(np.concatenate([k for k, _ in answers])) if answers else np.zeros(0, np.uint64)
         found = _distinct_runs(each, wanted)
+        # one more place than bytes, as what covers the last byte ends there
+        begin = np.cumsum([0] + [len(raw) + 1 for _, raw in looked])
+        edges = np.zeros(int(begin[-1]), np.int32)
         for keys, lowest in answers:
-            at = 0
+            at, spots = 0, []
             for key in dict.fromkeys(keys.tolist()):
                 for content, places in found[key].items():
                     n = len(content) - WINDOW + 1
-                    low = lowest[at : at + n]
+                    spots += [(k, a, n, at) for k, a in places]
                     at += n
-                    for k, a in places:
-                        covered = np.flatnonzero(low < each[k][0]) + a
-                        if covered.size:
-                            edges[k][covered] += 1
-                            edges[k][covered + WINDOW] -= 1
-        masks = iter([np.cumsum(e[:-1]) > 0 for e in edges])
+            if spots:
+                k, a, n, low = np.array(spots, np.int64).T
+                before = np.cumsum(n) - n
+                step = np.arange(int(n.sum()))
+                ids = np.array([d for d, _ in looked], np.int64)[k]
+                covers = lowest[np.repeat(low - before, n) + step] < np.repeat(ids, n)
+                where = (np.repeat(begin[k] + a - before, n) + step)[covers]
+                # a window of a document is in one run only
+                edges[where] += 1
+                edges[where + WINDOW] -= 1
+        masks = (np.cumsum(edges[a:z]) > 0 for a, z in zip(begin[:-1].tolist(), (begin[1:] - 1).tolist()))
         removed: list[np.ndarray | None] = []
         for d, text in zip(rows.column(id_col).to_pylist(), rows.column(text_col).to_pylist()):
             raw = text.encode(errors="surrogatepass")

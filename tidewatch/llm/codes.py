@@ -21,7 +21,7 @@ SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Scaled components lie within 2^24 on both sides of zero, so that sums of squares stay whole numbers of 64 bits.
 MOST = 1 << 24
 #: Entries of a leaf.
-LEAF = 8
+LEAF = 32
 #: Vectors that are looked up together.
 ROWS = 4096
 
@@ -56,9 +56,21 @@ class KdTree:
         gap = np.maximum(np.maximum(self.low[node] - q, q - self.high[node]), 0)
         return np.einsum("ij,ij->i", gap, gap)
 
+    def _apart(self, rows: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Squared distances of queries from entries, exact as whole numbers."""
+        if self.exact:
+            # below 2^53 doubles hold every whole number, so that products of matrices round nothing
+            held = self.entries[held].astype(float)
+            q = self.queries[rows].astype(float)
+            return np.einsum("ij,ij->i", q, q)[:, None] - 2 * (q @ held.T) + np.einsum("ij,ij->i", held, held)
+        gap = self.queries[rows, None, :] - self.entries[held]
+        return np.einsum("ijk,ijk->ij", gap, gap)
+
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of each query's nearest entry, the lowest index of equally near ones."""
         self.queries = queries
+        most = max((int(np.abs(x).max()) for x in (queries, self.entries) if x.size), default=0)
+        self.exact = 4 * queries.shape[1] * most * most < 1 << 53
         self.best = np.full(len(queries), np.iinfo(np.int64).max)
         self.index = np.full(len(queries), len(self.entries))
         if len(queries):
@@ -68,10 +80,9 @@ class KdTree:
     def _visit(self, node: int, rows: np.ndarray) -> None:
         below = self.below[node]
         if isinstance(below, np.ndarray):
-            gap = self.queries[rows, None, :] - self.entries[below]
-            apart = np.einsum("ijk,ijk->ij", gap, gap)
+            apart = self._apart(rows, below)
             at = apart.argmin(axis=1)
-            apart, index = apart[np.arange(len(rows)), at], below[at]
+            apart, index = apart[np.arange(len(rows)), at].astype(np.int64), below[at]
             nearer = (apart < self.best[rows]) | ((apart == self.best[rows]) & (index < self.index[rows]))
             self.best[rows[nearer]], self.index[rows[nearer]] = apart[nearer], index[nearer]
             return

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tidewatch.operators import heat, latest, merge, sampling, windows
 from tidewatch.streaming import jobs
+from tidewatch.streaming.feed import ChangeFeed
 
 T0 = datetime(2026, 10, 7, 4)
 POST = "post_id string, board string, author string, title string, content string, url string, push_count int, boo_count int, comment_count int, created_at timestamp, crawled_at timestamp, is_deleted boolean"
@@ -244,13 +245,15 @@ def test_merge_stream_is_idempotent(spark, tmp_path):
 
 def test_snapshot_stream(spark, tmp_path):
     table = jobs.BucketTable(f"{tmp_path}/posts", ["post_id"], spark.createDataFrame([], POST))
-    step = jobs.merge_snapshots(table, f"{tmp_path}/changes")
+    feed = ChangeFeed(f"{tmp_path}/changes", ["post_id"])
+    step = jobs.merge_snapshots(table, feed)
     step(spark.createDataFrame([post(0)], POST), 0)
     for _ in range(2):
         step(spark.createDataFrame([post(5, "n")], POST), 1)
     step(spark.createDataFrame([post(5, "n")], POST), 2)
-    ops = [[r.op for r in spark.read.parquet(f"{tmp_path}/changes/{n:010d}").collect()] for n in range(3)]
-    assert ops == [["c"], ["u"], []] and table.read(spark).count() == 1
+    told = sorted((r.change, r.batch, r.op, r.before and r.before.title, r.after.title) for r in feed.read(spark).collect())
+    assert told == [(0, 0, "c", None, post(0)[3]), (1, 1, "u", post(0)[3], "n")] and table.read(spark).count() == 1
+    assert feed.ranges(spark) == {0: (0, 1), 1: (1, 1), 2: (2, 0)}
 
 
 def test_dead_letters(spark):

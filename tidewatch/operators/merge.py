@@ -16,8 +16,8 @@ def newest_snapshots(snapshots: DataFrame, order: str = "crawled_at") -> DataFra
     return snapshots.groupBy("post_id").agg(best.alias("s")).select("post_id", "s.*")
 
 
-def merge_posts(posts: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """All posts after the merge, with ``action``: insert, update, delete or keep.
+def merge_posts(posts: DataFrame, snapshots: DataFrame, before: str | None = None) -> DataFrame:
+    """All posts after the merge, with ``action``: insert, update, delete or keep, and on wish the row ``before`` as a struct.
 
     A snapshot counts if it is newer than what it meets. A live one updates if a changing column
     differs or the post was deleted, and brings it back; author, board, url and creation time stay. A
@@ -49,7 +49,8 @@ def merge_posts(posts: DataFrame, snapshots: DataFrame) -> DataFrame:
         else:
             taken = written if c in CHANGING else fresh
             columns.append(F.when(taken, F.col(f"s_{c}")).otherwise(F.col(c)).alias(c))
-    return both.select(*columns, "action")
+    image = [F.when(F.col("p"), F.struct(*posts.columns)).alias(before)] if before else []
+    return both.select(*columns, "action", *image)
 
 
 def sync_targets(merged: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import chat, checks, compare, feeds, more, panels, rules, streams  # noqa: F401
+from tidewatch.plans import chat, checks, compare, consumed, feeds, more, panels, rules, streams  # noqa: F401
 from tidewatch.plans.common import ORACLE_SQL, QUERIES  # noqa: F401

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import heat, inference, latest, merge
+from tidewatch.streaming.feed import ChangeFeed, images
 
 POST_ID = r"^[A-Za-z0-9_-]+\.M\.[0-9]+\.A\.[0-9A-F]{3}$"
 
@@ -46,8 +47,9 @@ def parse_json(raw: DataFrame, schema: str, column: str = "value") -> tuple[Data
 class BucketTable:
     """A keyed table in hash buckets, of which a batch rewrites those only that its keys fall into.
 
-    A batch writes a folder of its own number with the buckets that it touches; a bucket's newest
-    folder holds it. Running a batch again reads what lay before it and writes the same.
+    A batch writes a folder of its own number with the buckets that it touches, an empty one where no
+    row is left; a bucket's newest folder holds it. Running a batch again reads what lay before it
+    and writes the same.
     """
 
     def __init__(self, path: str, keys: list[str], empty: DataFrame, buckets: int = 256):
@@ -74,16 +76,24 @@ class BucketTable:
                 found.append(by[max(numbers)])
         return spark.read.schema(self.empty.schema).parquet(*found) if found else self.empty
 
+    def touched(self, batch: DataFrame) -> set[int]:
+        """The buckets that a batch's keys fall into, of which there are no more than buckets."""
+        return {r[0] for r in batch.select(self.bucket()).distinct().collect()}
+
     def before(self, batch: DataFrame, number: int) -> DataFrame:
         """The buckets that a batch's keys fall into, as they were before it."""
-        touched = {r[0] for r in batch.select(self.bucket()).distinct().collect()}  # as many as buckets at most
-        return self.read(batch.sparkSession, number, touched)
+        return self.read(batch.sparkSession, number, self.touched(batch))
 
     def change(self, batch: DataFrame, number: int, make: Callable[[DataFrame], DataFrame]) -> None:
         """Write what ``make`` gives for the rows of the buckets that the batch's keys fall into."""
-        old = self.before(batch, number)
-        made = make(old).select(*self.empty.columns).withColumn("bucket", self.bucket())
-        made.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{number:010d}")
+        spark, touched = batch.sparkSession, self.touched(batch)
+        made = make(self.read(spark, number, touched)).select(*self.empty.columns).withColumn("bucket", self.bucket())
+        folder = f"{self.path}/{number:010d}"
+        made.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(folder)
+        for k in touched - {k for k, by in self._folders(spark).items() if number in by}:
+            # without a folder of its own the bucket's rows of an earlier batch would come back
+            mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/bucket={k}/_empty")
+            mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
 
     def vacuum(self, spark, keep: int = 2) -> int:
         """Delete the folders of a bucket but the newest ``keep``, which a batch that runs again may need."""
@@ -104,15 +114,19 @@ def merge_latest(table: BucketTable, version: list[str]) -> Callable[[DataFrame,
     return run
 
 
-def merge_snapshots(table: BucketTable, changes: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: merge page snapshots into posts, and write the batch's change rows to a folder of its own."""
+def merge_snapshots(table: BucketTable, changes: ChangeFeed) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: merge page snapshots into posts, and add what changes to a feed, before the posts are written.
+
+    A batch that runs again meets the posts as they were before it, so that its changes, their
+    numbers and their images are the same.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         columns = table.empty.columns
 
         def make(old: DataFrame) -> DataFrame:
-            merged = merge.merge_posts(old, merge.newest_snapshots(batch).select(*columns))
-            merge.change_rows(merged, ["post_id"]).write.mode("overwrite").parquet(f"{changes}/{number:010d}")
+            merged = merge.merge_posts(old, merge.newest_snapshots(batch).select(*columns), before="before")
+            changes.write(images(merged, table.keys, columns), number)
             return merged
 
         table.change(batch, number, make)
@@ -124,8 +138,9 @@ def append_once(table: BucketTable) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: add the rows whose keys the table lacks, such as alerts by their ids."""
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(table.keys)
-        table.change(batch, number, lambda old: old.unionByName(rows.join(old.select(*table.keys), table.keys, "left_anti")))
+        rows = batch.dropDuplicates(table.keys).persist()
+        table.change(rows, number, lambda old: old.unionByName(rows.join(old.select(*table.keys), table.keys, "left_anti")))
+        rows.unpersist()
 
     return run
 
@@ -138,10 +153,12 @@ def infer_posts(known: BucketTable, classify: Callable[[Column], Column], publis
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # it is looked at three times
         told = inference.to_infer(batch, known.before(batch, number))
         publish(told.where("infer").select("post_id", "text_hash", classify(F.col("text")).alias("scores")), number)
         seen = told.select("post_id", "text_hash")
         known.change(batch, number, lambda old: old.join(seen, "post_id", "left_anti").unionByName(seen))
+        batch.unpersist()
 
     return run
 

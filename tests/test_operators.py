@@ -11,7 +11,7 @@ from tidewatch.operators import heat, latest, merge, sampling, windows
 from tidewatch.streaming import jobs
 from tidewatch.streaming.feed import ChangeFeed
 
-T0 = datetime(2026, 10, 7, 4)
+T0 = datetime(2023, 5, 14, 21, 30)
 POST = "post_id string, board string, author string, title string, content string, url string, push_count int, boo_count int, comment_count int, created_at timestamp, crawled_at timestamp, is_deleted boolean"
 
 
@@ -110,50 +110,57 @@ def test_baseline_is_a_smoothed_mean_and_square():
     assert b.z(m + 6, 0.1) == pytest.approx(6 / (q - m * m) ** 0.5) and b.z(m + 6, 100.0) == pytest.approx(0.06)
 
 
-CONFIG = heat.SurgeRules(warmup=5, longest_gap=100, least_post=30)
-M0 = 29_000_000
+RULES = heat.SurgeRules(window=4, warmup=6, longest_gap=50, least_board=12, least_post=9, least_z=2.5, quiet=7, grace=1)
+START = 1_234_567
 
 
-def run(events, board=None):
-    """Triggers of (post, minute) events in order."""
+def fold(steps, board=None):
+    """Triggers of (minute after the start, post, comments) in order."""
     board = board or heat.Board()
-    return [t for p, m in events for t in board.take("b", p, m, m, CONFIG)]
+    return [t for m, p, n in steps for t in board.take("b", p, START + m, START + m, RULES, n)]
 
 
-def calm(n=10):
-    return [("quiet", M0 - n + i) for i in range(n)]
+CALM = [(m, "calm", 1) for m in range(9)]
 
 
-def test_surges():
-    hot = run(calm() + [("hot", M0)] * 200 + [("quiet", M0 + 1)])
-    assert [(t[0], t[3]) for t in hot] == [("board", 209), ("post", 200)] and hot[1][6] == ["hot"]
-    board = run(calm() + [("quiet", M0)] * 15 + [("hot", M0)] * 25 + [("quiet", M0 + 1)])
-    assert [(t[0], t[6]) for t in board] == [("board", ["hot", "quiet"])]
-    assert run(calm() + [("hot", M0)] * 200) == []  # the minute isn't over
-    assert run(calm() + [("hot", M0)] * 15 + [("quiet", M0 + 1)]) == []
-    assert run(calm(3) + [("hot", M0)] * 200 + [("quiet", M0 + 1)]) == []
+@pytest.mark.parametrize(
+    ("steps", "want"),
+    [
+        ([(9, "loud", 17), (10, "calm", 1)], [("board", 20, ["loud", "calm"]), ("post", 17, ["loud"])]),
+        ([(9, "loud", 8), (9, "calm", 7), (10, "calm", 1)], [("board", 18, ["calm", "loud"]), ("post", 10, ["calm"])]),
+        ([(9, "loud", 8), (9, "other", 8), (10, "calm", 1)], [("board", 19, ["loud", "other", "calm"])]),
+        ([(9, "loud", 17)], []),  # its minute isn't over
+        ([(9, "loud", 5), (10, "calm", 1)], []),
+    ],
+)
+def test_windows_that_stand_out(steps, want):
+    assert [(t[0], t[3], t[6]) for t in fold(CALM + steps)] == want
+
+
+def test_no_surge_before_the_warmup():
+    assert fold(CALM[:4] + [(4, "loud", 90), (5, "calm", 1)]) == []
+
+
+@pytest.mark.parametrize(("again", "posts"), [(14, 1), (17, 2)])
+def test_a_unit_is_quiet_for_a_while(again, posts):
+    found = fold(CALM + [(9, "loud", 40), (10, "calm", 1), (again, "loud", 300), (again + 1, "calm", 1)])
+    assert sum(t[0] == "post" for t in found) == posts
 
 
-def test_cooldown_and_lateness():
-    first = calm() + [("hot", M0)] * 200 + [("quiet", M0 + 1)]
-    soon = first + [("hot", M0 + 20)] * 400 + [("quiet", M0 + 21)]
-    assert len([t for t in run(soon) if t[0] == "post"]) == 1
-    late = first + [("hot", M0 + 40)] * 400 + [("quiet", M0 + 41)]
-    assert len([t for t in run(late) if t[0] == "post"]) == 2
-    b = heat.Board()
-    run([("p", M0), ("p", M0 - 2), ("p", M0 - 3)], b)
-    assert {m: sum(p.values()) for m, p in b.minutes.items()} == {M0: 1, M0 - 2: 1}
-    b = heat.Board()
-    run([("p", M0), ("p", M0 + 10_000)], b)
-    assert b.board.samples == 100
-    run([("p", M0 + 10_010)], b)
-    assert list(b.minutes) == [M0 + 10_000, M0 + 10_010]
+def test_minutes_too_far_back_and_long_gaps():
+    board = heat.Board()
+    fold([(5, "p", 2), (4, "p", 1), (3, "p", 1), (5, "q", 1)], board)
+    assert board.minutes == {START + 5: {"p": 2, "q": 1}, START + 4: {"p": 1}}
+    fold([(5_000, "p", 1)], board)
+    assert board.board.samples == RULES.longest_gap and board.minutes == {START + 5_000: {"p": 1}}
+    fold([(5_002, "p", 1)], board)
+    assert sorted(board.minutes) == [START + 5_000, START + 5_002] and board.board.samples == RULES.longest_gap + 2
 
 
 def cdc(spark):
-    start = "2026-10-07 04:00:00"
+    start = "2023-05-14 21:30:00"
     calm = jobs.surge(start, "a", 3, 1, 30, spark)
-    busy = jobs.surge("2026-10-07 04:40:00", "a", 1, 60, 2, spark).withColumn("lsn", F.col("lsn") + 1000)
+    busy = jobs.surge("2023-05-14 22:10:00", "a", 1, 60, 2, spark).withColumn("lsn", F.col("lsn") + 1000)
     other = jobs.surge(start, "b", 2, 2, 20, spark)
     return calm.unionAll(busy).unionAll(other)
 
@@ -183,7 +190,8 @@ def plain_triggers(rows, config, cuts=()):
         board = heat.Board()
         for n, r in enumerate(sorted((r for r in rows if r.board == name), key=lambda r: (r.lsn, r.minute, r.post_id))):
             if n in cuts:
-                board = heat.Board.load(board.dump())
+                counts = [(m, p, k) for m, posts in board.minutes.items() for p, k in posts.items()]
+                board = heat.Board.restored(board.figures(), counts, dict(board.alerted))
             out += [(name, *t) for t in board.take(name, r.post_id, r.minute, r.minute, config)]
     return sorted(out, key=repr)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -27,6 +28,71 @@ def scores(load: Callable[[], Classifier], classes: Sequence[str]) -> Callable[[
     return run
 
 
+class Exhausted(Exception):
+    """A classifier has used up what it may do for now."""
+
+
+class AllExhausted(Exception):
+    """No classifier is left; the first may be asked again after so many seconds."""
+
+    def __init__(self, after_s: float):
+        super().__init__(f"all classifiers are exhausted for {after_s:.0f} s")
+        self.retry_after_s = after_s
+
+
+class Fallback:
+    """Classifiers asked one after the other; one that is exhausted isn't asked again until it has cooled down.
+
+    Of a batch of texts those that a classifier answered before it was exhausted keep its answers. It
+    may say how many by the second argument of ``Exhausted``: ``Exhausted("quota", answers)``.
+    """
+
+    def __init__(self, classifiers: Sequence[tuple[str, Classifier]], cool_s: float = 3600.0, clock: Callable[[], float] = time.monotonic):
+        if not classifiers:
+            raise ValueError("a fallback needs one classifier at least")
+        self.classifiers, self.cool_s, self.clock = list(classifiers), cool_s, clock
+        self.open_until = dict.fromkeys((name for name, _ in classifiers), 0.0)
+
+    def __call__(self, texts: Sequence[str]) -> list[tuple[str, dict[str, float]]]:
+        """The name of the one that answered and its shares, for each text."""
+        out: list[tuple[str, dict[str, float]]] = []
+        for name, classify in self.classifiers:
+            left = texts[len(out) :]
+            if not left:
+                break
+            if self.open_until[name] > self.clock():
+                continue
+            try:
+                out += [(name, told) for told in classify(left)]
+            except Exhausted as e:
+                out += [(name, told) for told in (e.args[1] if len(e.args) > 1 else [])]
+                self.open_until[name] = self.clock() + self.cool_s
+        if len(out) < len(texts):
+            raise AllExhausted(max(0.0, min(self.open_until.values()) - self.clock()))
+        return out
+
+
+def scores_with_fallback(
+    load: Callable[[], Sequence[tuple[str, Classifier]]], classes: Sequence[str], cool_s: float = 3600.0, clock: Callable[[], float] = time.monotonic
+) -> Callable[[Column], Column]:
+    """A function of a text column to the name of the classifier that answered and its shares.
+
+    Which classifiers are exhausted is kept by a task for its batches of texts. If all are, the task
+    fails and with it the query or micro-batch, which is to be tried again later; nothing is lost.
+    """
+    names = list(classes)
+
+    @F.pandas_udf("labeler string, scores map<string, double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ask = Fallback(load(), cool_s, clock)
+        for texts in batches:
+            told = ask([t or "" for t in texts])
+            shares = [{c: float(one.get(c, 0.0)) for c in names} for _, one in told]
+            yield pd.DataFrame({"labeler": [name for name, _ in told], "scores": pd.Series(shares, dtype=object)})
+
+    return run
+
+
 def top_class(told: Column, classes: Sequence[str]) -> Column:
     """The class with the largest share; the first of ``classes`` if several have it."""
     shares = F.transform(F.array(*map(F.lit, classes)), lambda c: F.element_at(told, c))

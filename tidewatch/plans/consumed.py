@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.plans import feeds
-from tidewatch.plans.common import POSTS_SQL, posts, query
+from tidewatch.plans.common import ORACLE_SQL, POSTS_SQL, posts, query
 from tidewatch.sources import logs
 from tidewatch.sources.scratch import scratch_path
-from tidewatch.sources.tables import duckdb_ctes, table
+from tidewatch.sources.tables import driver_table, duckdb_ctes, table
 from tidewatch.sources.topics import to_messages
-from tidewatch.streaming import jobs
+from tidewatch.streaming import counters, fetches, jobs, notify
 from tidewatch.streaming.consumer import Consumer, read_dead_letters
 from tidewatch.streaming.feed import ChangeFeed
 
@@ -59,8 +59,9 @@ def topic_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a stream written to a topic as keyed messages, and read back from it."""
     logs.register(spark)
     folder = scratch_path(spark, "written")
-    path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a pattern, as a stream of files doesn't take one file's name
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
     sent = to_messages(events, "events", F.col("user_id"), F.col("user_id") % 12, ["event_id", "event_type"])
     out = sent.writeStream.format("topic_log").option("path", f"{folder}/topic").option("checkpointLocation", f"{folder}/checkpoint")
     out.trigger(availableNow=True).start().awaitTermination()
@@ -112,3 +113,73 @@ def merge_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col(f"before.{c}").alias(f"{n}_before") for c, n in (("title", "title"), ("push_count", "push"), ("is_deleted", "deleted"))],
         *[F.col(f"after.{c}").alias(f"{n}_after") for c, n in (("title", "title"), ("push_count", "push"), ("is_deleted", "deleted"), ("crawled_at", "crawled"))],
     )
+
+
+_OUTCOME = "CASE WHEN chat_id % 11 = 0 THEN 'forbidden' WHEN chat_id % 7 = 0 THEN 'refused' ELSE 'sent' END"
+
+
+# a stream sends every version of an alert to those who want it, not the last one only
+@query(f"SELECT DISTINCT alert_id, chat_id, {_OUTCOME} AS outcome FROM ({ORACLE_SQL['recipients'].replace('WHERE r = 1)', ')')})")
+def alert_fan_out_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sending a stream of alerts to those who want them comes to, each message once.
+
+    At the first attempt of a batch a third of the chats can't be reached, so that every batch is
+    sent in part and tried again.
+    """
+    logs.register(spark)
+    folder = scratch_path(spark, "notified")
+    alerts = table(spark, sf_dir, "alerts")
+    schema = alerts.schema
+    told = alerts.select(F.col("alert_id").alias("key"), F.to_json(F.struct(*alerts.columns)).alias("value"), F.col("created_at").alias("timestamp"))
+    told.repartition("key").sortWithinPartitions("key", "timestamp").write.format("topic_log").options(path=f"{folder}/topic", partitions="4").mode("append").save()
+    read = F.from_json(F.col("value").cast("string"), schema)
+    stream = spark.readStream.format("topic_log").option("path", f"{folder}/topic").load().select(read.alias("a")).select("a.*")
+    allowed = table(spark, sf_dir, "subscriptions").where("chat_id <= 60")
+    wanted = lambda a: notify.recipients(a, allowed, table(spark, sf_dir, "chat_settings"), table(spark, sf_dir, "muted_posts"))
+
+    def send(rows: list[dict], attempt: int) -> list[str]:
+        late = lambda c: attempt == 0 and c % 3 == 0
+        return ["again" if late(c) else "forbidden" if c % 11 == 0 else "refused" if c % 7 == 0 else "sent" for c in (r["chat_id"] for r in rows)]
+
+    log = jobs.BucketTable(f"{folder}/log", notify.KEYS, spark.createDataFrame([], notify.SENT), buckets=8)
+    sender = notify.retried(notify.Sender(log, f"{folder}/attempts", send), 3, lambda s: None)
+    out = notify.messages(stream, wanted).writeStream.foreachBatch(sender).option("checkpointLocation", f"{folder}/checkpoint")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return log.read(spark)
+
+
+@query(duckdb_ctes("comments_cdc") + """
+SELECT board, make_timestamp(w * 21600000000) AS "start", make_timestamp(w * 21600000000 + 86400000000) AS "end", count(*) AS n
+FROM (SELECT board, unnest(range(epoch_us(changed_at) // 21600000000 - 3, epoch_us(changed_at) // 21600000000 + 1)) AS w FROM comments_cdc WHERE op = 'c') GROUP BY ALL""")
+def window_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New comments of each board by days that start every six hours, counted by a stream under a watermark.
+
+    The stream comes in four batches and changes its counts as they grow; the newest are kept.
+    """
+    logs.register(spark)
+    folder = scratch_path(spark, "counted")
+    new = table(spark, sf_dir, "comments_cdc").where("op = 'c'")
+    told = new.select(F.col("board").alias("key"), F.lit("").alias("value"), F.col("changed_at").alias("timestamp"))
+    told.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.format("topic_log").options(path=f"{folder}/topic", partitions="4").mode("append").save()
+    waiting = sum(logs.Log(f"{folder}/topic").ends().values())
+    options = {"path": f"{folder}/topic", "limit": str(waiting // 4 + 1), "progress": f"{folder}/progress"}
+    rows = spark.readStream.format("topic_log").options(**options).load().select(F.col("key").cast("string").alias("board"), F.col("timestamp").alias("changed_at"))
+    # the partitions of the topic are read at one pace, by counts, so that they drift apart by some days at most
+    counted = counters.sliding_counters(rows, ["board"], width="24 hours", step="6 hours", delay="60 days")
+    kept = jobs.BucketTable(f"{folder}/counts", ["board", "start"], spark.createDataFrame([], "board string, start timestamp, end timestamp, n long"), buckets=4)
+    out = counted.writeStream.outputMode("update").foreachBatch(jobs.merge_latest(kept, ["n"])).option("checkpointLocation", f"{folder}/checkpoint")
+    running = out.start()
+    running.processAllAvailable()
+    running.stop()
+    return kept.read(spark)
+
+
+_FETCHES = "SELECT event_type AS site, event_id AS seq, user_id % 4 <> 0 AS failed FROM {events}"
+
+
+@query(f"""WITH f AS ({_FETCHES.format(events="events")}), g AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY site ORDER BY seq) - CASE WHEN failed THEN 0 ELSE 1 END AS k FROM f),
+n AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY site, k ORDER BY seq) AS c FROM g)
+SELECT site, seq, CASE WHEN failed THEN 'unreachable' ELSE 'recovered' END AS change, c AS failures FROM n WHERE CASE WHEN failed THEN c = 5 ELSE c >= 5 END""")
+def fetch_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where five fetches of a site have failed in a row, and where a success ends such a streak."""
+    return fetches.streaks(spark.sql(_FETCHES, events=driver_table(spark, sf_dir, "events")), 5)

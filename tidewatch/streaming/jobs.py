@@ -163,9 +163,9 @@ def infer_posts(known: BucketTable, classify: Callable[[Column], Column], publis
     return run
 
 
-def alert_stream(comments: DataFrame, config: heat.SurgeRules) -> DataFrame:
-    """Alerts of a comment stream. Ids repeat on a replay, so that a sink can drop what it has."""
-    return heat.alerts(heat.stream(comments, config), config)
+def alert_stream(comments: DataFrame, config: heat.SurgeRules, live: bool = False) -> DataFrame:
+    """Alerts of a comment stream, of what is new by the clock if it is live. Ids repeat on a replay, so that a sink can drop what it has."""
+    return heat.alerts(heat.stream(comments, config, live), config)
 
 
 def surge(start: str, board: str, posts: int, per_minute: int, minutes: int, spark) -> DataFrame:

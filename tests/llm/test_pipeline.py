@@ -38,3 +38,48 @@ def test_stages_against_brute_force(spark):
     for df in (calm, single, cut, mixed):
         assert df.columns == columns
     assert p.run(spark, SMALL).count() == packed.count()
+
+
+ODD = [
+    (1, "", "en", "a", 0), (2, None, None, None, None), (None, "the word is out and about here now", "en", "a", 15), (3, " \n\t ", "en", None, 4),
+    (4, "the same line of words " * 9, "en", "a", 1), (4, "the same line of words " * 9, "en", "a", 1), (5, "the same line of words " * 9, "fr", "b", 1),
+    (6, "été " * 40_000, "fr", "b", 1), (7, "12 34 --", "de", "c", 8), (8, None, "en", "a", 0),
+]
+CLASHING = {"copy": 99, "shuffle_key": "mine", "__toxicity": 0.25, "a.b": 1, "score": "s", "c0": True, "node": None, "component": 7}
+
+
+def odd_tables(spark, folder, rows):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({k: F.lit(v).cast("string") if v is None else F.lit(v) for k, v in CLASHING.items()})
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(1, 0, 0), (4, 1, None), (None, 0, 1), (7, 0, 1), (7, 0, 0)] if rows else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as p
+    from tidewatch.llm.common import written
+
+    odd_tables(spark, tmp_path / "odd", ODD)
+    docs = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    given, ids = docs.columns, []
+    for name, stage in p.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path / "odd")), name)
+        assert docs.columns == given
+        kept = docs.collect()
+        assert all(r[c] == v for r in kept for c, v in CLASHING.items())
+        ids.append(sorted(map(str, (r.doc_id for r in kept))))
+    # equal texts and those without words are one each
+    assert ids[1] == sorted(["1", "4", "6", "7", "None"]) and ids[2] == ids[1]
+    assert p.STAGES[-1][1](spark, docs, "").where("piece = 0").count() == docs.count()
+
+
+def test_run_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    odd_tables(spark, tmp_path / "odd", ODD)
+    odd_tables(spark, tmp_path / "none", [])
+    assert p.run(spark, str(tmp_path / "odd")).count() > 0
+    assert p.run(spark, str(tmp_path / "none")).count() == 0

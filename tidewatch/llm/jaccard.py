@@ -7,6 +7,8 @@ what lies within its radius and takes from here the exact way for the rest: pref
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import hash_sample, slices, small_batches, written
+from tidewatch.llm.common import hash_sample, small_batches, written
+from tidewatch.llm.common import slices as _slices
 
 WORDS = 5
 SEED = 42
@@ -36,6 +39,23 @@ FILTER_WORDS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def given_back(it: Iterator) -> Iterator:
+    """The same items; what the worker's allocators hold unused goes back to the machine at the end.
+
+    Workers are used again by later stages and sit beside those that run then.
+    """
+    try:
+        yield from it
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    return given_back(_slices(batches, rows, size))
+
+
 def shingles(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
     """The distinct XXH64 of a whole text's shingles in order.
 
@@ -292,7 +312,7 @@ def candidates(shared: DataFrame, nodes: DataFrame, group: DataFrame, *, every:
                 yield from large(n, at, component, own, sketch, a, z)
 
     def run(it):
-        for key, node, n, at, component, own, raw in whole_buckets(it):
+        for key, node, n, at, component, own, raw in given_back(whole_buckets(it)):
             sketch = np.frombuffer(b"".join(raw), "<u8").reshape(key.size, -1)
             names, first, place = np.unique(node, return_index=True, return_inverse=True)
             found = ((place[i], place[j]) for i, j in pairs(key, n, at, component, own, sketch))
@@ -356,9 +376,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 
     def run(it):
         done: set[str] = set()
-        for b in it:
+        for b in given_back(it):
             s = b.column(2).to_numpy()
-            for part in slices([b.filter(pa.array((shared.value[s // 64] >> (s % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))]):
+            for part in _slices([b.filter(pa.array((shared.value[s // 64] >> (s % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))]):
                 new = [(d, t) for t, d in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if not (d in done or done.add(d))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d for d, _ in new], pa.string()), pa.array([shingles(t).tobytes() for _, t in new], pa.binary())], ["digest", "shingles"]
@@ -376,7 +396,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, *, text_col: s
     """
 
     def may(it):
-        for b in it:
+        for b in given_back(it):
             n, m = (b.column(k).to_numpy() for k in (2, 4))
             apart = [sketches_differ(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist())]
             yield b.filter(pa.array(9 * np.array(apart, np.int64) <= n.astype(np.int64) + m)).select(["a", "b"])

@@ -310,20 +310,55 @@ def test_files(spark, tmp_path):
 def test_text_model(spark):
     from tidewatch.operators import textmodel
 
-    made = [(i, "good fine nice" if i % 3 else "bad sad mad", "positive" if i % 3 else "negative") for i in range(60)]
-    df = spark.createDataFrame(made, "id long, text string, polarity string")
-    got = textmodel.fit_predict(df, df).collect()
-    assert all(r.predicted == r.polarity and abs(sum(r.scores.values()) - 1) < 1e-6 for r in got)
+    made = [(i, "the same words " * 40 + ("good fine nice" if i % 3 else "bad sad mad"), "positive" if i % 3 else "negative") for i in range(60)]
+    odd = [(100, None, None), (101, "", None), (102, "good nice", None), (103, "sad mad", None), (None, "zzz", None)]
+    df = spark.createDataFrame(made + odd, "id long, text string, polarity string").withColumns({c: F.lit(7) for c in ("row", "term", "features", "a.b")})
+    got = {r.id: r for r in textmodel.held_out(df, "id").collect()}
+    assert len(got) == 65 and all(got[i].predicted == p for i, _, p in made) and (got[102].predicted, got[103].predicted) == ("positive", "negative")
+    assert all(abs(sum(r.scores.values()) - 1) < 1e-6 and set(r.scores) == {"positive", "negative"} and r["a.b"] == 7 for r in got.values())
+    assert textmodel.VOCABULARY == 200_000
+    none = df.where("false")
+    assert textmodel.held_out(none, "id").count() == 0 and textmodel.fit_predict(none, df).where("predicted IS NULL AND scores IS NULL").count() == 65
+    only = df.where("polarity = 'positive' AND id < 9")
+    assert {(r.predicted, r.scores["positive"]) for r in textmodel.fit_predict(only, df).collect()} == {("positive", 1.0)}
+
 
+def test_text_model_against_a_dense_solve(spark):
+    """Weights and coefficients, by counting in plain Python and by descending the whole gradient."""
+    import math
+    from collections import Counter
 
-def test_text_model_reads_whole_texts(spark):
-    from pyspark.ml.linalg import Vectors
+    import numpy as np
     from tidewatch.operators import textmodel
 
-    made = [(i, "the same words " * 40 + ("good fine nice" if i % 3 else "bad sad mad"), "positive" if i % 3 else "negative") for i in range(60)]
-    df = spark.createDataFrame(made, "id long, text string, polarity string")
-    assert all(r.predicted == r.polarity for r in textmodel.fit_predict(df, df).collect())
-    counts = spark.createDataFrame([(Vectors.sparse(5, [1, 3], [1.0, 20.0]),)], ["n"])
-    got = counts.select(textmodel.sublinear("n").alias("tf")).first().tf
-    assert got.indices.tolist() == [1, 3] and got.values.tolist() == pytest.approx([1, 3.995732], abs=1e-6)
-    assert textmodel.VOCABULARY == 200_000
+    texts = [("ab ab c", "p"), ("ab d", "p"), ("c c c d", "n"), ("d e ab", "n"), ("e", "q"), ("e ab e", "q"), ("c", "p")]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "row long, t string, label string")
+    counts = textmodel.term_counts(rows, "t").cache()
+
+    def grams(text):
+        return Counter(g for w in text.split() for n in (1, 2, 3) for g in ((" " + w + " ")[i : i + n] for i in range(len(w) + 3 - n)))
+
+    told = [grams(t) for t, _ in texts]
+    assert {(r.row, r.term): r.n for r in counts.collect()} == {(i, g): n for i, c in enumerate(told) for g, n in c.items()}
+    df = Counter(g for c in told for g in c)
+    terms = sorted((g for g in df if df[g] > 1), key=lambda g: (-sum(c[g] for c in told), g))
+    x = np.array([[(1 + math.log(c[g])) * math.log((len(texts) + 1) / (df[g] + 1)) if c[g] else 0.0 for g in terms] for c in told])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    known = textmodel.vocabulary(counts, len(texts)).cache()
+    assert [r.term for r in known.orderBy("at").collect()] == terms
+    made = textmodel.vectors(rows, textmodel.weights(counts, known), len(terms))
+    assert np.allclose([r.features.toArray() for r in made.orderBy("row").collect()], x)
+
+    classes = ["n", "p", "q"]
+    model = textmodel.fit(made.join(rows, "row").select("features", "label"), classes, "label", regularisation=0.1, rounds=200)
+    y = np.array([[c == t[1] for c in classes] for t in texts], float)
+    share = (len(texts) / (len(classes) * y.sum(axis=0)))[y.argmax(axis=1)]
+    w, b = np.zeros((len(classes), len(terms))), np.zeros(len(classes))
+    for _ in range(20_000):
+        p = np.exp(x @ w.T + b)
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - y) * share[:, None] / share.sum()
+        w, b = w - 2.0 * (g.T @ x + 0.1 * w), b - 2.0 * g.sum(axis=0)
+    assert np.abs(model.coefficientMatrix.toArray() - w).max() < 1e-3
+    centred = model.interceptVector.toArray()
+    assert np.abs(centred - centred.mean() - (b - b.mean())).max() < 1e-3

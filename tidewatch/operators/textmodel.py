@@ -1,63 +1,143 @@
-"""A baseline text classifier: character n-grams, smoothed TF-IDF with sublinear TF, balanced logistic regression."""
+"""A baseline text classifier: character n-grams, smoothed TF-IDF with sublinear TF, balanced logistic regression.
+
+Term weights are rows (text, term, weight) that Spark counts; a text's rows are gathered into a
+sparse vector as Parquet stores one, so that no Python runs between the texts and the model.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.sources.scratch import scratch_path
 
 VOCABULARY = 200_000
+#: Texts that a term occurs in at least.
+LEAST_TEXTS = 2
+#: How a sparse vector lies in a file.
+_SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+SCORED = "predicted string, scores map<string, double>"
 
 
 def char_grams(text: Column) -> Column:
     """1- to 3-grams of characters inside words that are padded with a space on either side."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
+    def some(padded: Column, n: int) -> Column:
+        # a function of one argument, as a second one would be the place in the array
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))
+
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = [
-            F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substr(padded, i, F.lit(n)))
-            for n in (1, 2, 3)
-        ]
-        return F.concat(*parts)
+        return F.concat(*[some(padded, n) for n in (1, 2, 3)])
 
     return F.flatten(F.transform(words, grams))
 
 
-def _sublinear(counts):
-    return Vectors.sparse(counts.size, counts.indices, 1 + np.log(counts.values))
+def term_counts(rows: DataFrame, text: str) -> DataFrame:
+    """(row, term, n) of the rows' texts; counts of a text are made where it lies, before anything is sent."""
+    return rows.select("row", F.explode(char_grams(F.col(text))).alias("term")).groupBy("row", "term").agg(F.count("*").alias("n"))
+
+
+def vocabulary(counts: DataFrame, texts: int, most: int = VOCABULARY) -> DataFrame:
+    """(term, at, idf) of the terms of several texts, the ``most`` that occur most often, numbered from 0.
 
+    The inverse document frequency is ln((texts + 1) / (texts with the term + 1)). The table is
+    bounded by ``most``.
+    """
+    totals = counts.groupBy("term").agg(F.sum("n").alias("all"), F.count("*").alias("df")).where(F.col("df") >= LEAST_TEXTS)
+    chosen = totals.orderBy(F.desc("all"), "term").limit(most)
+    at = (F.row_number().over(Window.orderBy(F.desc("all"), "term")) - 1).cast("int")  # over the bounded table
+    return chosen.select("term", at.alias("at"), F.log((F.lit(texts) + 1) / (F.col("df") + 1)).alias("idf"))
 
-#: 1 + ln of each count of a term.
-sublinear = F.udf(_sublinear, VectorUDT()).asNondeterministic()
+
+def weights(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, at, weight): (1 + ln n) * idf of the known terms, each row scaled to length 1."""
+    told = counts.join(F.broadcast(terms), "term").select("row", "at", ((1 + F.log("n")) * F.col("idf")).alias("w")).where("w <> 0")
+    length = told.groupBy(F.col("row").alias("__r")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return told.join(length, F.col("row") == F.col("__r")).select("row", "at", (F.col("w") / F.col("length")).alias("weight"))
+
+
+def vectors(rows: DataFrame, weighted: DataFrame, size: int) -> DataFrame:
+    """(row, features) of all ``rows``: their weights as sparse vectors, written and read again as what they are."""
+    cells = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "weight"))))
+    sparse = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.transform("cells", lambda c: c["at"]).alias("indices"), F.transform("cells", lambda c: c["weight"]).alias("values"),
+    )
+    path = scratch_path(weighted.sparkSession, "vectors")
+    rows.select("row").join(weighted, "row", "left").groupBy("row").agg(cells.alias("cells")).select("row", sparse.cast(_SPARSE).alias("features")).write.parquet(path)
+    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("features", VectorUDT())])
+    return weighted.sparkSession.read.schema(kind).parquet(path)
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight`` = rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     every = Window.partitionBy()  # over one row a class
-    weights = counts.withColumn("weight", F.sum("__n").over(every) / (F.count("*").over(every) * F.col("__n"))).drop("__n")
-    return df.join(F.broadcast(weights), label)
-
-
-def fit_predict(train: DataFrame, rows: DataFrame, text: str = "text", label: str = "polarity") -> DataFrame:
-    """Fit on ``train`` and add ``predicted`` and ``scores``, a map of classes, to ``rows``."""
-    gram = lambda df: df.withColumn("__grams", char_grams(F.col(text)))
-    weighted = gram(balanced(train, label))
-    names = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(weighted)
-    terms = CountVectorizer(inputCol="__grams", outputCol="__n", minDF=2, vocabSize=VOCABULARY).fit(weighted)
-    # exploded, so that Spark can't move the call into expressions of the estimators, where Python isn't called
-    count = lambda df: terms.transform(df).withColumn("__tf", F.explode(F.array(sublinear("__n"))))
-    idf = IDF(inputCol="__tf", outputCol="__w").fit(count(weighted))
-    norm = Normalizer(inputCol="__w", outputCol="features")
-    prepare = lambda df: norm.transform(idf.transform(count(df)))
-    model = LogisticRegression(labelCol="__y", weightCol="weight", maxIter=20).fit(prepare(names.transform(weighted)))
-    shares = vector_to_array("probability")
-    scored = model.transform(prepare(gram(rows)))
-    scores = F.map_from_arrays(F.array(*map(F.lit, names.labels)), shares)
-    best = F.element_at(F.array(*map(F.lit, names.labels)), (F.col("prediction") + 1).cast("int"))
-    return scored.select(*rows.columns, best.alias("predicted"), scores.alias("scores"))
+    shares = counts.withColumn("weight", F.sum("__n").over(every) / (F.count("*").over(every) * F.col("__n"))).drop("__n")
+    return df.join(F.broadcast(shares), label)
+
+
+def fit(features: DataFrame, classes: list[str], label: str, *, regularisation: float = 0.0, rounds: int = 20) -> LogisticRegressionModel:
+    """A balanced multinomial model of ``features(features, label)``; Spark adds up gradients by trees."""
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1
+    rows = balanced(features, label).withColumn("__y", number.cast("double"))
+    lr = LogisticRegression(labelCol="__y", weightCol="weight", maxIter=rounds, regParam=regularisation, family="multinomial", standardization=False)
+    return lr.fit(rows)
+
+
+def fit_predict(train: DataFrame, rows: DataFrame, text: str = "text", label: str = "polarity", regularisation: float = 0.0) -> DataFrame:
+    """Fit on ``train`` and add ``predicted`` and ``scores``, a map of classes, to all ``rows``.
+
+    Rows whose label is null aren't learnt from. Null and empty texts, and those of unknown terms
+    alone, have no weights and are scored by the model's intercepts. With one class every row is
+    that class; without any, ``predicted`` and ``scores`` are null. Columns of those names are replaced.
+    """
+    spark = rows.sparkSession
+    keep = [c for c in rows.columns if c not in ("predicted", "scores")]
+    known = train.where(F.col(label).isNotNull())
+    tally = known.groupBy(label).count().collect()  # a row for each class
+    classes = sorted(r[0] for r in tally)
+    if len(classes) < 2:
+        only = F.lit(classes[0] if classes else None).cast("string")
+        sure = F.create_map(only, F.lit(1.0)) if classes else F.lit(None).cast("map<string, double>")
+        return rows.select(*[F.col(f"`{c}`") for c in keep], only.alias("predicted"), sure.alias("scores"))
+
+    def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+        # written, as the numbers of rows hang on their partitions
+        path = scratch_path(spark, name)
+        df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r")).write.parquet(path)
+        return spark.read.parquet(path)
+
+    learnt = numbered(known, [text, label], "learnt")
+    counts_path = scratch_path(spark, "counts")
+    term_counts(learnt.select("row", F.col("r").getField(text).alias("t")), "t").write.parquet(counts_path)
+    counts = spark.read.parquet(counts_path)
+    terms_path = scratch_path(spark, "terms")
+    vocabulary(counts, sum(r[1] for r in tally)).write.parquet(terms_path)
+    terms = spark.read.parquet(terms_path)
+    size = max(terms.count(), 1)
+    made = vectors(learnt, weights(counts, terms), size).join(learnt.select("row", F.col("r").getField(label).alias(label)), "row")
+    model = fit(made.select("features", label), classes, label, regularisation=regularisation)
+
+    asked = numbered(rows, keep, "asked")
+    own = term_counts(asked.select("row", F.col("r").getField(text).alias("t")), "t")
+    scored = model.transform(vectors(asked, weights(own, terms), size).join(asked, "row"))
+    names = F.array(*map(F.lit, classes))
+    best = F.element_at(names, (F.col("prediction") + 1).cast("int"))
+    return scored.select("r.*", best.alias("predicted"), F.map_from_arrays(names, vector_to_array("probability")).alias("scores"))
+
+
+def held_out(rows: DataFrame, id_col: str, text: str = "text", label: str = "polarity", folds: int = 2) -> DataFrame:
+    """Every row scored by a model that hasn't seen it: rows are dealt to folds by their id's CRC, a null id to the first."""
+    fold = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
+    dealt, out = rows.withColumn("__fold", fold), None
+    for k in range(folds):
+        mine = fit_predict(dealt.where(F.col("__fold") != k), dealt.where(F.col("__fold") == k), text, label).drop("__fold")
+        out = mine if out is None else out.unionByName(mine)
+    return out

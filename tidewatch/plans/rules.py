@@ -206,21 +206,6 @@ def pending_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.join(done, (F.col("post_id") == F.col("p")) & (F.col("crawled_at") > F.col("next_crawl_at")), "left_anti").select("post_id")
 
 
-_METRICS = "(VALUES ('a', 'fp32', 0.612::DOUBLE, 25.8::DOUBLE), ('a', 'int8', 0.572, 23.2), ('b', 'fp32', 0.571, 70.7), ('b', 'int8', 0.564, 23.1)) AS m(model, kind, f1, seconds)"
-
-
-@query(f"""SELECT f.model, CASE WHEN f.f1 - i.f1 <= 0.02 AND i.seconds < f.seconds THEN 'int8' ELSE 'fp32' END AS kind,
-  CASE WHEN f.f1 - i.f1 <= 0.02 AND i.seconds < f.seconds THEN i.f1 ELSE f.f1 END AS f1
-FROM (SELECT * FROM {_METRICS} WHERE kind = 'fp32') f JOIN (SELECT * FROM {_METRICS} WHERE kind = 'int8') i ON i.model = f.model""")
-def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By model the small kind if it loses at most 0.02 of F1 and is faster, else the exact one."""
-    rows = [("a", "fp32", 0.612, 25.8), ("a", "int8", 0.572, 23.2), ("b", "fp32", 0.571, 70.7), ("b", "int8", 0.564, 23.1)]
-    m = spark.createDataFrame(rows, "model string, kind string, f1 double, seconds double")
-    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
-    small = (of("fp32", "f1") - of("int8", "f1") <= 0.02) & (of("int8", "seconds") < of("fp32", "seconds"))
-    return m.groupBy("model").agg(F.when(small, "int8").otherwise("fp32").alias("kind"), F.when(small, of("int8", "f1")).otherwise(of("fp32", "f1")).alias("f1"))
-
-
 @query()
 def page_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, headings, links and text of all pages; HTML can't be parsed in SQL."""
@@ -229,8 +214,8 @@ def page_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tfidf_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The baseline classifier, fitted on labelled documents and applied to all of them."""
+    """The baseline classifier over all documents, each scored by a model of the other half's labelled ones."""
     label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
-    known = _read(spark, sf_dir, "labels").select("doc_id", label.alias("polarity"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").join(known, "doc_id")
-    return textmodel.fit_predict(docs, docs).select("doc_id", "polarity", "predicted", "scores")
+    known = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(label).alias("polarity"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").join(known, "doc_id", "left")
+    return textmodel.held_out(docs, "doc_id").select("doc_id", "polarity", "predicted", "scores")

@@ -56,7 +56,7 @@ def post_text(title: Column, content: Column, most: int) -> Column:
 
 
 def article_time(text: Column, zone: str = "Asia/Taipei") -> Column:
-    """``Wed Oct 07 11:51:41 2026`` in a zone as an instant, null if it isn't a time."""
+    """``Sat Feb 03 08:09:10 2024`` in a zone as an instant, null if it isn't a time."""
     p = F.regexp_extract
     form = r"^\w{3}\s+(\w{3})\s+(\d{1,2})\s+(\d{1,2}):(\d{2}):(\d{2})\s+(\d{4})$"
     months = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()

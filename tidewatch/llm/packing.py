@@ -205,8 +205,8 @@ def pack(
     order = ["__h", "doc_id", "piece", "start", "length", "ids_crc32"]
     # a document's pieces may lie in different tasks; only the lengths matter to the packing
     dealt = made.withColumn("__h", F.xxhash64(F.lit(11), "doc_id", "piece", "ids_crc32"))
-    dealt = dealt.withColumn("__task", F.pmod("__h", F.lit(tasks)).cast("int"))
-    # equal rows hash alike; spread over the tasks they stay together, but are counted by length only
+    # equal rows hash alike; their places deal them to all tasks
+    dealt = dealt.withColumn("__task", F.pmod(F.xxhash64("__h", F.monotonically_increasing_id()), F.lit(tasks)).cast("int"))
     dealt = dealt.repartition(tasks, "__task").sortWithinPartitions("__task", *order)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,6 +140,45 @@ def test_embeddings(spark, monkeypatch, block, recall):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_count_what_any_shard_finds(spark, monkeypatch, tmp_path):
+    """Searches that miss about half of their pairs, each others: all that some shard found is counted, once."""
+    from tidewatch.llm import embeddings
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 8))
+    made = [v for c in base for v in c + rng.normal(size=(8, 8)) * 0.05]
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(made)], "vec_id long, embedding array<double>, label string")
+    search, folder = embeddings.range_search, str(tmp_path)
+
+    def lossy(queries, u, near, starts, threshold, beam):
+        q, v = search(queries, u, near, starts, threshold, beam)
+        # the same for both directions of a pair, and different in each graph
+        keep = (np.abs(queries[q].sum(axis=1) + u[v].sum(axis=1)) * 1e6 + abs(u.sum()) * 1e3).astype(np.int64) % 2 == 0
+        q, v = q[keep], v[keep]
+        np.save(f"{folder}/{os.getpid()}-{time.time_ns()}.npy", np.stack([queries[q], u[v]]))
+        return q, v
+
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(embeddings, "range_search", lossy)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, min_recall=0.0).collect()}
+    pairs = {frozenset((x.tobytes(), y.tobytes())) for f in tmp_path.iterdir() for x, y in zip(*np.load(f)) if x.tobytes() != y.tobytes()}
+    ends = Counter(x for pair in pairs for x in pair)
+    assert sorted(n for n in got.values() if n) == sorted(ends.values())
+    units = np.array(made) / np.linalg.norm(made, axis=1, keepdims=True)
+    assert 0 < len(pairs) < ((units @ units.T >= 0.98).sum() - len(units)) / 2
+
+
+def test_embeddings_without_audited_links(spark, caplog):
+    """Recall comes from other vectors if none that is asked for has a link."""
+    from tidewatch.llm import embeddings
+
+    df = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [1.0, 0.001], "x"), (100, [0.0, 1.0], "x")], "vec_id long, embedding array<double>, label string")
+    with caplog.at_level("INFO", logger=embeddings.__name__):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 100: (0, 100)}
+    assert "recall 1.0" in caplog.text
+
+
 # 3
 
 
@@ -202,7 +243,6 @@ def test_packing(docs, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     for df, tasks in ((docs, packing.TASK_TOKENS), (odd, 5000)):
         got = packing.pack(df, vocabulary(), task_tokens=tasks).collect()
         want = Counter()
@@ -226,6 +266,16 @@ def test_packing(docs, odd):
     assert packing.pack(odd.limit(0), vocabulary()).count() == 0
 
 
+def test_packing_deals_equal_rows_to_all_tasks(spark):
+    from tidewatch.llm import packing
+    from tidewatch.llm.queries import vocabulary
+
+    df = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.pack(df, vocabulary(), task_tokens=5_000).collect()
+    tasks = Counter(r.sequence_id >> 40 for r in got)
+    assert len(got) == 40_000 and len(tasks) == 8 and max(tasks.values()) < 7_500
+
+
 def test_packing_of_special_tokens(spark):
     from tidewatch.llm import packing
     from tidewatch.llm.queries import vocabulary

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import islice
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,15 @@ SLACK = 0.08
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 32
 #: Edges of each vector to others drawn at random, which lead into and out of dense groups.
 LONG = 6
-#: The audit asks for every row whose id this divides, so many at a time; under that recall the search is made again, wider.
+#: The audit asks for every row whose id this divides, and compares blocks of so many rows; if none of them has links,
+#: for so many drawn by a hash (all of a smaller table). Under that recall the search is made again, wider.
 AUDIT_EVERY = 100
-AUDIT_BLOCK = 4_096
+AUDIT_ROWS = 16_384
+AUDIT_DRAWN = 8_192
 MIN_RECALL = 0.98
 
+_log = logging.getLogger(__name__)
+
 
 def unit_vectors(vectors: DataFrame, *, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(vec_id, label, unit, key): components of length 1 in double precision, and their digest.
@@ -231,8 +235,46 @@ def _starts(ids: np.ndarray, lists: list[list[int]], asking: np.ndarray, entries
     return out
 
 
+def _mix(node: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of each node's number, as signed ones."""
+    x = node.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _homes(shards: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shard that each pair shares, and its shared shards, padded with -1."""
+    x, y = shards[a], shards[b]
+    both = np.where((x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0), x, -1)
+    return np.where(both >= 0, both, np.iinfo(np.int64).max).min(axis=1), both
+
+
+def _account(a: np.ndarray, mark: np.ndarray, home: np.ndarray, both: np.ndarray, shard: int) -> np.ndarray:
+    """(place, home, via, n, mark) of pairs that this shard found and another shares.
+
+    A home counts them down for each of the other shards, those count them up for the home, so that
+    sums of n, and exclusive ors of the marks of pairs, are zero where both found the same ones.
+    """
+    own = home == shard
+    i, k = np.nonzero(own[:, None] & (both >= 0) & (both != shard))
+    j = np.flatnonzero(~own)
+    rows = np.stack([np.concatenate([a[i], a[j]]), np.concatenate([home[i], home[j]]), np.concatenate([both[i, k], np.full(j.size, shard)])], axis=1)
+    keys, at = np.unique(rows, axis=0, return_inverse=True)
+    n, marks = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    np.add.at(n, at.ravel(), np.concatenate([np.full(i.size, -1), np.ones(j.size, np.int64)]))
+    np.bitwise_xor.at(marks, at.ravel(), np.concatenate([mark[i], mark[j]]))
+    return np.column_stack([keys, n, marks])
+
+
 def _links(nodes: DataFrame, threshold: float, overlap: int, slack: float, beam: int) -> DataFrame:
-    """(node, links, root) of nodes with links: so many vectors, and a node that they lead to."""
+    """(node, links, root) of nodes with links: so many vectors, and a node that they lead to.
+
+    A pair is counted in the first shard that it shares, its home. Shards tell no pairs, but the
+    number and a digest of those of each node that they share with another. Where two don't agree,
+    both tell theirs, and what the home missed is counted as well, so that no pair is lost that any
+    search found.
+    """
     placed = _place(nodes, overlap, slack)
     names = ["label", "shard", "k", "own", "node", "copies", "unit", "shards"]
 
@@ -246,16 +288,15 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, slack: float, beam:
     schema = "label string, shard int, k int, own int, node long, copies long, unit array<double>, shards array<int>"
     built = placed.select(*names).groupBy("label", "shard", "own").applyInArrow(build, f"{schema}, near array<long>, medoid boolean")
     built = written(built, "graph")
-    # a node is in a bounded number of shards, and so are its lists
-    union = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    # a node is in a bounded number of shards, and so are its lists; sorted, so that a search made again takes the same way
+    union = built.groupBy("node").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
     dealt = built.drop("near").join(union, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = dealt.select("label", "shard", "i", "j", "own", "node", "copies", "unit", "shards", "near", "medoid")
 
-    def search(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        node, own, copies = (t.column(c).to_numpy() for c in ("node", "own", "copies"))
+    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
         u = _matrix(t.column("unit"))
-        shards, shard = t.column("shards").to_pylist(), t.column("shard")[0].as_py()
         cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
         medoid = t.column("medoid").to_numpy(zero_copy_only=False)
         lists = t.column("near").to_pylist()
@@ -275,22 +316,63 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, slack: float, beam:
             found.append((asking[q], inside[v]))
         q, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         q, v = q[q != v], v[q != v]
-        # found from either end; a pair that meets in several shards counts in the first of them
-        pairs = np.unique(np.minimum(q, v) * len(node) + np.maximum(q, v))
-        a, b = np.divmod(pairs, len(node))
-        width = max(map(len, shards))
-        s = np.array([x + [-1 - i] * (width - len(x)) for i, x in enumerate(shards)])
-        first = np.zeros(a.size, bool)
+        # found from either end
+        return np.divmod(np.unique(np.minimum(q, v) * len(node) + np.maximum(q, v)), len(node))
+
+    def shared(t: pa.Table, a: np.ndarray, b: np.ndarray):
+        """(slice of the pairs, homes, shared shards), a bounded number of pairs at a time."""
+        lists = t.column("shards").to_pylist()
+        width = max(map(len, lists))
+        s = np.array([x + [-1] * (width - len(x)) for x in lists])
         for at in range(0, a.size, 1 << 17):
-            x, y = s[a[at : at + (1 << 17)]], s[b[at : at + (1 << 17)]]
-            both = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
-            first[at : at + (1 << 17)] = np.where(both, x, np.iinfo(np.int64).max).min(axis=1) == shard
-        return _counted(node, copies, a[first], b[first])
-
-    columns = ["label", "shard", "i", "j", "own", "node", "copies", "unit", "shards", "near", "medoid"]
-    return dealt.select(*columns).groupBy("label", "shard", "i", "j").applyInArrow(search, LINKS)
-
+            some = slice(at, at + (1 << 17))
+            yield some, *_homes(s, a[some], b[some])
 
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        node, copies, shard = t.column("node").to_numpy(), t.column("copies").to_numpy(), t.column("shard")[0].as_py()
+        a, b = pairs_of(t)
+        first, told = np.zeros(a.size, bool), [np.zeros((0, 5), np.int64)]
+        for some, home, both in shared(t, a, b):
+            first[some] = home == shard
+            told.append(_account(a[some], _mix(node[b[some]]), home, both, shard))
+        told = np.concatenate(told)
+        links, none = _counted(node, copies, a[first], b[first]), pa.nulls(len(told), pa.int64())
+        told = pa.table([pa.array(node[told[:, 0]]), none, none, *(pa.array(told[:, i]) for i in range(1, 5))], FOUND)
+        return pa.concat_tables([pa.table([*links.columns, *(pa.nulls(len(links), pa.int64()) for _ in range(4))], FOUND), told])
+
+    def tell(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        node, copies, shard = t.column("node").to_numpy(), t.column("copies").to_numpy(), t.column("shard")[0].as_py()
+        a, b = pairs_of(t)
+        again = t.column("again").to_pylist()
+        keep, own = np.zeros(a.size, bool), np.zeros(a.size, bool)
+        for some, home, _ in shared(t, a, b):
+            own[some] = home == shard
+            keep[some] = [h in (again[p] or ()) for p, h in zip(a[some].tolist(), home.tolist())]
+        a, b, own = a[keep], b[keep], own[keep]
+        return pa.table({"a": node[a], "b": node[b], "more_a": copies[b], "more_b": copies[a], "counted": own})
+
+    by = ["label", "shard", "i", "j"]
+    found = written(dealt.groupBy(*by).applyInArrow(search, ", ".join(f"{c} long" for c in FOUND)), "found")
+    links = found.where("home IS NULL").select("node", "links", "root")
+    odd = found.where("home IS NOT NULL").groupBy("node", "home", "via").agg(F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"))
+    odd = written(odd.where("n <> 0 OR mark <> 0"), "odd")
+    if odd.isEmpty():
+        return links
+    again = odd.groupBy("node").agg(F.collect_set("home").alias("again"))
+    at = odd.select("node", F.explode(F.array("home", "via")).alias("shard")).distinct()
+    groups = dealt.select(*by, "node").join(at, ["node", "shard"]).select(*by).distinct()
+    told = dealt.join(groups, by, "left_semi").join(again, "node", "left").groupBy(*by)
+    told = told.applyInArrow(tell, "a long, b long, more_a long, more_b long, counted boolean").groupBy("a", "b")
+    lost = told.agg(F.max("counted").alias("counted"), F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b")).where("NOT counted")
+    ends = [F.struct(F.col(c).alias("node"), F.col(f"more_{c}").alias("links")) for c in ("a", "b")]
+    lost = lost.select("a", F.explode(F.array(*ends)).alias("x"))
+    return links.unionAll(lost.select("x.node", "x.links", F.col("a").alias("root")))
+
+
+#: Columns of what a search of two blocks gives: links, or its account of pairs that other shards share.
+FOUND = ["node", "links", "root", "home", "via", "n", "mark"]
 LINKS = "node long, links long, root long"
 
 
@@ -328,42 +410,37 @@ def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("label", "i", "j").applyInArrow(compare, LINKS)
 
 
-def _audit(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, audited): the links of the nodes that are asked for, by comparing them with every vector.
+def _audit(nodes: DataFrame, threshold: float, asked: str) -> DataFrame:
+    """(node, audited): the links of the nodes that are asked for, by comparing them with every vector of their label.
 
-    The queries pass through the driver in blocks of bounded size, and each block is broadcast.
+    Questions and vectors are dealt to blocks of bounded size, and each pair of blocks is a task's.
     """
-    spark, told = nodes.sparkSession, None
-    vectors = nodes.select("label", "node", "copies", "unit")
-
-    def compare(block):
-        def run(it):
-            total: dict[int, int] = {}
-            for b in it:
-                labels, node, copies = np.array(b.column("label").to_pylist(), object), b.column("node").to_numpy(), b.column("copies").to_numpy()
-                for label, (ids, units) in block.value.items():
-                    at = np.flatnonzero(labels == label)
-                    if at.size:
-                        u = np.vstack(_rows(b.column("unit").take(pa.array(at))))
-                        hit = (units @ u.T >= threshold) & (ids[:, None] != node[at][None, :])
-                        for k, n in zip(ids.tolist(), (hit * copies[at]).sum(axis=1).tolist()):
-                            total[k] = total.get(k, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "n"])
-
-        return run
-
-    asked = nodes.where("asked").select("label", "node", "unit").toLocalIterator()
-    while some := list(islice(asked, AUDIT_BLOCK)):
-        by: dict[str, tuple] = {}
-        for r in some:
-            ids, units = by.setdefault(r["label"], ([], []))
-            ids.append(r["node"])
-            units.append(r["unit"])
-        block = spark.sparkContext.broadcast({k: (np.array(i), np.array(x)) for k, (i, x) in by.items()})
-        found = vectors.mapInArrow(compare(block), "node long, n long").groupBy("node").agg(F.sum("n").alias("audited"))
-        found = written(found, "audit")
-        told = found if told is None else told.unionAll(found)
-    return spark.createDataFrame([], "node long, audited long") if told is None else told
+
+    def dealt(side: DataFrame, k: str, k_other: str, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.lit(37), "node"), F.col(k)).cast("int")
+        out = side.join(sizes, "label").withColumn(own, place)
+        out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(k_other) - 1)))
+        # columns of their own, as both sides are of one table
+        return out.select(*[F.col(c).alias(c) for c in ("label", "p", "b", "node", "copies", "unit")])
+
+    asks = F.count(F.when(F.expr(asked), 1))
+    blocks = lambda n: F.ceil(n / AUDIT_ROWS).cast("int")
+    sizes = nodes.groupBy("label").agg(blocks(F.count("*")).alias("kb"), blocks(asks).alias("kp")).where("kp > 0")
+    questions, vectors = dealt(nodes.where(asked), "kp", "kb", "p", "b"), dealt(nodes, "kb", "kp", "b", "p")
+
+    def compare(q: pa.Table, v: pa.Table) -> pa.Table:
+        total = np.zeros(len(q), np.int64)
+        if len(q) and len(v):
+            x, u = _matrix(q.column("unit")), _matrix(v.column("unit"))
+            ids, node, copies = q.column("node").to_numpy(), v.column("node").to_numpy(), v.column("copies").to_numpy()
+            for at in range(0, len(q), 256):
+                hit = (x[at : at + 256] @ u.T >= threshold) & (ids[at : at + 256, None] != node)
+                total[at : at + 256] = hit @ copies
+        return pa.table({"node": q.column("node"), "n": total})
+
+    by = ["label", "p", "b"]
+    told = questions.groupBy(*by).cogroup(vectors.groupBy(*by)).applyInArrow(compare, "node long, n long")
+    return written(told.groupBy("node").agg(F.sum("n").alias("audited")), "audit")
 
 
 def near_duplicates(
@@ -387,8 +464,9 @@ def near_duplicates(
     shard's blocks is searched in a task, along the united lists as far as they lie in it, so that
     no shard, however large, meets in one. Recall is the mean over audited vectors with links of
     the share that was found. If it is below ``min_recall``, shards overlap more and the search is
-    wider; if that doesn't help either, all blocks of each label are compared. Without any audited
-    vector that has links there is no recall to go by, and the first search stands.
+    wider; if that doesn't help either, all blocks of each label are compared. If no vector asked
+    for has links, recall is taken from AUDIT_DRAWN others, which are all of a small table; if none
+    of those has any either, the first search stands. The recall is logged.
 
     What links with nothing (see unit_vectors) gets 0 links and itself as component. Rows that
     share an id are vectors of their own, each with its own links and component; a null id links
@@ -402,13 +480,19 @@ def near_duplicates(
     # numbers of their own, as different vectors may share an id
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bare = nodes.select("label", "node", "copies", "unit")
-    audit = _audit(nodes, threshold)
+    audit = _audit(nodes, threshold, "asked")
+    linked = audit.where("audited > 0")
+    if linked.isEmpty():
+        drawn = hash_sample(nodes, AUDIT_DRAWN, "node", seed=41)
+        marked = nodes.join(drawn.select("node", F.lit(True).alias("drawn")), "node", "left")
+        linked = _audit(marked, threshold, "drawn").where("audited > 0")
     for attempt in range(3):
         found = _links(bare, threshold, overlap + 2 * attempt, slack * 2**attempt, beam * 2**attempt) if attempt < 2 else _all_links(bare, threshold)
         links = written(found, "links")
         counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-        told = audit.where("audited > 0").join(counts, "node", "left")
+        told = linked.join(counts, "node", "left")
         recall = told.agg(F.avg(F.least(F.coalesce("links", F.lit(0)) / F.col("audited"), F.lit(1.0)))).first()[0]
+        _log.info("search %d of embeddings: recall %s", attempt + 1, recall)
         if recall is None or recall >= min_recall:
             break
     group = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,20 +13,38 @@ def subscribed(commands: DataFrame) -> DataFrame:
 
     subscribe and unsubscribe set a unit, toggle turns it, and forget, whose unit is null, drops all
     that a chat had before. A toggle's outcome hangs on what came last before it that set the unit,
-    and on how many toggles followed: one aggregation by unit finds both.
+    and on how many toggles followed; both are counted, so that no unit's commands are gathered.
     """
+    by = ["chat_id", "unit_key"]
     wiped = commands.where("command = 'forget'").groupBy("chat_id").agg(F.max("seq").alias("wiped"))
     own = commands.where("command <> 'forget'").join(wiped, "chat_id", "left")
-    own = own.where(F.col("wiped").isNull() | (F.col("seq") > F.col("wiped")))
-    setting = F.col("command") != "toggle"
-    by = ["chat_id", "unit_key"]
-    last = own.groupBy(*by).agg(
-        F.max_by("command", F.when(setting, F.col("seq"))).alias("set_to"), F.max(F.when(setting, F.col("seq"))).alias("at"),
-        F.sort_array(F.collect_set(F.when(~setting, F.col("seq")))).alias("turns"),
-    )
-    after = F.size(F.filter("turns", lambda s: s > F.coalesce(F.col("at"), F.lit(-1))))
-    on = (F.coalesce(F.col("set_to") == "subscribe", F.lit(False)).cast("int") + after) % 2 == 1
-    return last.where(on).select(*by)
+    own = own.where(F.col("wiped").isNull() | (F.col("seq") > F.col("wiped"))).select(*by, "command", "seq")
+    last = own.where("command <> 'toggle'").groupBy(*by).agg(F.max_by("command", "seq").alias("set_to"), F.max("seq").alias("at"))
+    turns = own.where("command = 'toggle'").join(last, by, "left").where("at IS NULL OR seq > at").groupBy(*by).agg(F.count("*").alias("n"))
+    states = last.select(*by, (F.col("set_to") == "subscribe").cast("long").alias("n")).unionAll(turns)
+    return states.groupBy(*by).agg(F.sum("n").alias("n")).where("n % 2 = 1").select(*by)
+
+
+def muted(commands: DataFrame) -> DataFrame:
+    """(chat_id, post_id, muted_at) after ``commands(chat_id, post_id, command, seq, at)`` in order of seq.
+
+    unmute takes a post off the list, mute puts it on it; one that is there already keeps its time.
+    """
+    by = ["chat_id", "post_id"]
+    off = commands.where("command = 'unmute'").groupBy(*by).agg(F.max("seq").alias("off"))
+    on = commands.where("command = 'mute'").join(off, by, "left").where("off IS NULL OR seq > off")
+    return on.groupBy(*by).agg(F.min_by("at", "seq").alias("muted_at"))
+
+
+def purged(muted: DataFrame, before: Column) -> DataFrame:
+    """What is left of ``muted`` after all older than ``before`` is dropped; a row of that very time stays."""
+    return muted.where(F.col("muted_at") >= before)
+
+
+def preferences(toggles: DataFrame) -> DataFrame:
+    """(chat_id, post_alerts, board_alerts) of chats with ``toggles(chat_id, unit_type)``: both kinds are on at first."""
+    even = lambda kind: F.count_if(F.col("unit_type") == kind) % 2 == 0
+    return toggles.groupBy("chat_id").agg(even("post").alias("post_alerts"), even("board").alias("board_alerts"))
 
 
 def board_requests(requests: DataFrame, boards: DataFrame) -> DataFrame:

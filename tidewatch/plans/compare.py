@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import stats
-from tidewatch.operators import sampling
-from tidewatch.plans.common import POSTS_SQL, posts, query
+from tidewatch.operators import reports, sampling
+from tidewatch.plans.common import ORACLE_SQL, POSTS_SQL, posts, query
 from tidewatch.sources.tables import duckdb_ctes, table
 
 _PICK_SQL = """, {n} AS (SELECT post_id, polarity, greatest(positive, negative, neutral) AS score FROM (
@@ -256,3 +256,52 @@ def annotation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sample_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stable twentieth of the posts by checksum of the id; DuckDB has no CRC-32."""
     return posts(spark, sf_dir).where(sampling.in_percent(F.col("post_id"), 5)).select("post_id")
+
+
+def _stacked_sql(section: str, scope: str, measures: str, sql: str) -> str:
+    cells = ", ".join(f"{{'measure': '{m}', 'value': CAST({m} AS DOUBLE)}}" for m in measures.split())
+    return f"SELECT '{section}' AS section, {scope} AS scope, unnest([{cells}], recursive := true) FROM ({sql})"
+
+
+_AGREE, _F1 = "n accuracy kappa", "f1_positive f1_negative f1_neutral macro_f1"
+_BUCKETS_SQL = ORACLE_SQL["confidence_buckets"]
+_BY_BOARD_SQL = _ALL + f"SELECT board, t.c AS truth, g.c AS guess, count(*) FILTER (WHERE polarity_a = t.c AND polarity_b = g.c) AS n FROM pairs, {_GRID} t(c), {_GRID} g(c) GROUP BY ALL"
+_LABELS_SQL = _ALL + f"SELECT {_KAPPA_OUT} FROM (SELECT {_KAPPA_SQL} FROM pairs WHERE label IS NOT NULL)"
+_COMPARED = [
+    ("agreement", "'all'", _AGREE, ORACLE_SQL["model_kappa"]), ("agreement", "board", _AGREE, ORACLE_SQL["model_kappa_by_board"]),
+    ("confusion", "'all/' || truth || '/' || guess", "n", f"SELECT truth, guess, sum(n) AS n FROM ({_BY_BOARD_SQL}) GROUP BY ALL"),
+    ("confusion", "board || '/' || truth || '/' || guess", "n", _BY_BOARD_SQL),
+    ("latency", "'a'", "n p50 p95 max", ORACLE_SQL["inference_latency_summary"]),
+    ("confidence", "'b/' || threshold", "below n accuracy", _BUCKETS_SQL),
+    ("confidence", "'a/' || threshold", "below n accuracy", _BUCKETS_SQL.replace("score_b", "score_a").replace("polarity_b)", "polarity_a)")),
+    *[("labels", f"'{m}'", _AGREE, _LABELS_SQL.format(a="label", b=f"polarity_{m}")) for m in "ab"],
+    *[("f1", f"'{m}'", _F1, _f1_sql(f"polarity_{m}", "")) for m in "ab"],
+]
+
+
+@query(" UNION ALL ".join(_stacked_sql(*s) for s in _COMPARED))
+def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of the report that compares two models."""
+    seconds = latencies(spark, sf_dir).withColumn("model", F.lit("a"))
+    return reports.stacked(reports.comparison(pairs(spark, sf_dir), seconds))
+
+
+_EVALUATED = [
+    ("posts", "'all'", "n few", _ALL + "SELECT count(*) AS n, 0 AS few FROM pairs WHERE label IS NOT NULL"),
+    ("posts", "board", "n few", _ALL + "SELECT board, count(*) AS n, (count(*) < 30)::INT AS few FROM pairs WHERE label IS NOT NULL GROUP BY board"),
+    ("f1", "'all'", _F1, _f1_sql("polarity_b", "")), ("f1", "board", _F1, _f1_sql("polarity_b", "board, ")),
+    ("confusion", "truth || '/' || guess", "n", ORACLE_SQL["model_confusion"].replace("polarity_a = g.c", "polarity_b = g.c")),
+    ("annotators", "'all'", _AGREE, _ALL + f"SELECT {_KAPPA_OUT} FROM (SELECT {_KAPPA_SQL.format(a='first', b='second')} FROM cross_check)"),
+]
+
+
+@query(" UNION ALL ".join(_stacked_sql(*s) for s in _EVALUATED))
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of the report on one model against the labels."""
+    return reports.stacked(reports.evaluation(pairs(spark, sf_dir), "polarity_b", cross_checked(spark, sf_dir)))
+
+
+@query(" UNION ALL ".join([_stacked_sql("quartiles", "polarity", "n p25 median p75", ORACLE_SQL["quartiles_by_class"]), _stacked_sql("correlation", "board", "n rho", ORACLE_SQL["spearman_push_ratio"])]))
+def push_ratio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of the report on votes and classes."""
+    return reports.stacked(reports.push_ratio(push_ratios(spark, sf_dir)))

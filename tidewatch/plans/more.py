@@ -52,6 +52,32 @@ def subscription_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.subscribed(spark.sql(_COMMANDS, events=driver_table(spark, sf_dir, "events")))
 
 
+_MUTES = """SELECT user_id % 40 AS chat_id, CAST(event_id % 23 AS VARCHAR(20)) AS post_id,
+  CASE WHEN event_id % 4 = 1 THEN 'unmute' ELSE 'mute' END AS command, event_id AS seq, ts AS at FROM {events}"""
+
+
+@query(f"""WITH log AS ({_MUTES.format(events='events')}),
+gone AS (SELECT chat_id, post_id, max(seq) AS s FROM log WHERE command = 'unmute' GROUP BY 1, 2)
+SELECT l.chat_id, l.post_id, arg_min(l.at, l.seq) AS muted_at FROM log l LEFT JOIN gone g ON g.chat_id = l.chat_id AND g.post_id = l.post_id
+WHERE command = 'mute' AND (g.s IS NULL OR l.seq > g.s) GROUP BY 1, 2 HAVING arg_min(l.at, l.seq) >= (SELECT max(ts) FROM events) - INTERVAL '7 days'""")
+def muted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts that chats muted, after all commands and the drop of what is a week older than the newest event."""
+    events = driver_table(spark, sf_dir, "events")
+    newest = events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] or 0
+    log = spark.sql(_MUTES, events=events).withColumn("at", F.col("at").cast("timestamp"))
+    return commands.purged(commands.muted(log), F.timestamp_micros(F.lit(newest - 7 * 86_400_000_000)))
+
+
+_TOGGLES = "SELECT user_id % 40 AS chat_id, CASE WHEN event_id % 3 = 0 THEN 'post' ELSE 'board' END AS unit_type FROM {events} WHERE event_type = 'click'"
+
+
+@query(f"""SELECT chat_id, count(*) FILTER (WHERE unit_type = 'post') % 2 = 0 AS post_alerts, count(*) FILTER (WHERE unit_type = 'board') % 2 = 0 AS board_alerts
+FROM ({_TOGGLES.format(events='events')}) GROUP BY chat_id""")
+def notification_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which kinds of alerts chats left on."""
+    return commands.preferences(spark.sql(_TOGGLES, events=driver_table(spark, sf_dir, "events")))
+
+
 _REQUESTS = """SELECT event_id AS request_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'b' || CAST(user_id % 97 AS VARCHAR(20)) END AS board,
   CASE WHEN event_id % 3 = 0 THEN 'create' ELSE 'patch' END AS kind FROM {events} WHERE event_id % 10 < 5"""
 

@@ -42,6 +42,28 @@ def rows(df):
 # 1
 
 
+def plain_png(raw, n_bytes):
+    """The stored form, chunk by chunk and row by row."""
+
+    def chunk(kind, body):
+        return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+    lines = b"".join(b"\0" + raw[i : i + 576] for i in range(0, len(raw), 576))
+    head = (576).to_bytes(4, "big") + (len(raw) // 576).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    parts = [(b"IHDR", head), (b"unPd", n_bytes.to_bytes(8, "big")), (b"IDAT", zlib.compress(lines, 1)), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(chunk(*p) for p in parts)
+
+
+def plain_feature(raw):
+    n, lines = len(raw), [raw[i : i + 576] for i in range(0, len(raw), 576)]
+    mean = sum(raw) / n
+    std = math.sqrt(sum((x - mean) ** 2 for x in raw) / n)
+    steps = [abs(a - b) for line in lines for a, b in zip(line, line[1:])]
+    bands = [1000 * sum(64 * k <= x < 64 * (k + 1) for x in raw) // n for k in range(4)]
+    shown = ",".join(map(str, bands))
+    return f"576x{len(lines)};mean={mean:.3f};std={std:.3f};step={sum(steps) / len(steps):.3f};bands={shown}"
+
+
 def test_media_round_trip(spark, docs, odd):
     from tidewatch.llm import media
 
@@ -56,6 +78,9 @@ def test_media_round_trip(spark, docs, odd):
             assert len(raw) % 576 == 0 and raw.rstrip(b"\xff") == (t.text or "").encode()
             same = [r for r in got[t.doc_id] if r.payload_sha256 == hashlib.sha256(raw).hexdigest()]
             assert same and same[0].n_bytes == len((t.text or "").encode()) and same[0].tail_crc32 == zlib.crc32(raw[-32:])
+            png = plain_png(raw, same[0].n_bytes)
+            assert (same[0].media_bytes, same[0].media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+            assert same[0].feature == plain_feature(raw)
     assert media.media_columns(odd.limit(0)).count() == 0
 
 
@@ -411,6 +436,41 @@ def test_language_against_plain_kernel_regression(spark):
     assert all(told[i].lang_pred == sorted(count)[(x @ solved)[i].argmax()] for i in held)
 
 
+def test_language_with_few_landmarks(spark):
+    """Fewer landmarks than rows, one of them thinned: the regression on the kernel with just these, by dense algebra."""
+    from tidewatch.llm import language
+
+    rng = random.Random(16)
+    made = []
+    for i in range(120):
+        letters = ("abcdef", "cdefgh")[i % 2]
+        made.append((i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(rng.choice((5, 30, 400)))), letters[0]))
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language.train(df, rows=1000, landmarks=16, ridge=0.5, mark_cells=900)
+    found = language.Presence(model.cells)
+    cells = [set(found.cells(t).tolist()) for _, t, _ in made]
+    known = [i for i, _, _ in made if zlib.crc32(str(i).encode()) % 3 != 1]
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("lang", "text").alias("h")).collect()}
+    marks = []
+    for lang in "ac":
+        first = sorted((i for i in known if made[i][2] == lang), key=lambda i: (hashes[i], made[i][1]))[:8]
+        for i in first:
+            c = sorted(cells[i])
+            marks.append(set(c[:: -(-len(c) // 900)]))
+    assert any(len(cells[i]) > 900 for i in known) and max(map(len, marks)) <= 900
+    kernel = lambda a, b: np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in b] for x in a])
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    keep = values > 1e-6 * values[-1]
+    x = np.hstack([kernel(cells, marks) @ vectors[:, keep] / np.sqrt(values[keep]), np.ones((len(made), 1))])
+    w = np.array([len(known) / 2 / sum(made[j][2] == made[i][2] for j in known) for i in known])[:, None]
+    y = np.array([[1.0 if made[i][2] == k else -1.0 for k in "ac"] for i in known])
+    penalty = np.eye(x.shape[1]) * 0.5
+    penalty[-1, -1] = 1e-9
+    solved = np.linalg.solve(x[known].T @ (w * x[known]) + penalty, x[known].T @ (w * y))
+    got = model.values([t for _, t, _ in made], found, language.placed(model.used, model.cells))
+    assert np.abs(got - x @ solved).max() < 0.01
+
+
 # 7
 
 
@@ -427,7 +487,7 @@ def test_sharding(spark, docs, odd, tmp_path):
     assert store.read(1).count() == docs.count()
     stale = store.manifest(1)
     with pytest.raises(shards.ManifestConflict):
-        store._commit(stale, [], None)
+        store._commit(stale, [], [], None)
     assert store.vacuum() > 0 and store.read().count() == before
     store._write(docs.limit(3))  # a writer that fails before its commit
     assert store.read().count() == before and len(store.orphans(-60)) == 1 and not store.orphans(3600)
@@ -468,6 +528,45 @@ def test_sharding_merges_what_a_plain_plan_merges(spark, docs, tmp_path):
     assert rows(store.read()) == rows(docs)
 
 
+def test_shard_versions_are_changes(spark, docs, tmp_path):
+    """A version's file is as large as its change; bases give what the changes give, with or without vacuums."""
+    import json
+
+    from tidewatch.llm import shards
+
+    few, root = docs.limit(5).coalesce(1).cache(), tmp_path / "store"
+    store = shards.ShardStore(spark, str(root), target_bytes=1 << 20, fan_in=4, base_every=3, merge_most=5)
+    model = []
+    for _ in range(8):
+        store.append(few)
+        model.append({s["path"] for s in store.manifest()["shards"]})
+    kept = root / "manifests"
+    assert sorted(p.name for p in kept.glob("b*.json")) == ["b00000003.json", "b00000006.json"]
+    sizes = [p.stat().st_size for p in sorted(kept.glob("v*.json"))]
+    assert max(sizes[1:]) - min(sizes[1:]) < 10 and json.loads((kept / "v00000008.json").read_text())["schema"] is None
+    for v, paths in enumerate(model, 1):
+        assert {s["path"] for s in store.manifest(v)["shards"]} == paths and len(paths) == v
+        assert store.read(v).count() == 5 * v
+    # a lost base costs nothing but more reading
+    (kept / "b00000006.json").unlink()
+    assert [len(store.manifest(v)["shards"]) for v in range(9)] == list(range(9))
+    assert [len(m) for m in store.merges(store.manifest())] == [5]  # eight of a tier, the other three wait
+    last = store.compact()
+    change = json.loads((kept / f"v{9:08d}.json").read_text())
+    assert len(change["removed"]) == 5 and len(change["added"]) == 1
+    # the file that they became is of the same tier as the three
+    assert last == 10 and [len(store.manifest(v)["shards"]) for v in (8, 9, 10)] == [8, 4, 1]
+    assert {store.read(v).count() for v in (8, 9, 10)} == {40}
+    # two versions stay; a vacuum made again finds nothing
+    assert store.vacuum(keep=2) == 5 and store.vacuum(keep=2) == 0 and store.versions() == [9, 10]
+    assert [len(store.manifest(v)["shards"]) for v in (9, 10)] == [4, 1] and store.read(9).count() == 40
+    with pytest.raises(ValueError, match="no version 8"):
+        store.manifest(8)
+    assert store.vacuum() == 4 and store.vacuum() == 0 and store.versions() == [10] and store.read().count() == 40
+    assert not store.orphans(-60) and len(list((root / "data").rglob("*.parquet"))) == 1
+    assert store.append(few) == 11 and store.read().count() == 45 and store.manifest()["schema"] == few.schema.json()
+
+
 def test_sharding_of_two_writers(spark, docs, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 

@@ -15,6 +15,8 @@ from tidewatch.llm.common import hash_sample, slices, small_batches, with_unsign
 #: Rows that training reads at most, and landmarks among them.
 TRAIN_ROWS = 12_000
 LANDMARKS = 240
+#: Cells of a landmark at most; all landmarks together are LANDMARKS times four times that in bytes, 16 MB.
+MARK_CELLS = 1 << 14
 #: Cells that n-grams are hashed into: so many that even long texts fill a small part of them.
 CELLS = 1 << 20
 LONGEST = 4
@@ -113,10 +115,13 @@ def train(
     landmarks: int = LANDMARKS,
     cells: int = CELLS,
     ridge: float = 1e-2,
+    mark_cells: int = MARK_CELLS,
 ) -> Model | None:
     """Fit on at most about ``rows`` rows outside the held-out fold with a language and a letter.
 
-    Landmarks are a bounded draw from them, as many for each language. Tasks sum the normal
+    Landmarks are a bounded draw from them, as many for each language; one with more than
+    ``mark_cells`` cells stands for every second, third and so on of them, so that what comes to the
+    driver and is broadcast has a bound whatever the texts' lengths. Tasks sum the normal
     equations of one-versus-rest ridge regression on the Nyström features, and the driver
     solves them, whose size is that of the landmarks. None if there is nothing to learn from.
     """
@@ -136,7 +141,8 @@ def train(
     def present(it):
         found = Presence(cells)
         for b in slices(it):
-            raw = [found.cells(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
+            marks = [found.cells(t) for t in b.column(2).to_pylist()]
+            raw = [np.sort(m)[:: max(1, -(-m.size // mark_cells))].astype("<i4").tobytes() for m in marks]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["lang", "k", "cells"])
 
     # the landmarks' cells come to the driver, not their texts

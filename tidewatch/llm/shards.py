@@ -22,6 +22,10 @@ TARGET_BYTES = 128 << 20
 FAN_IN = 4
 #: Arrivals that the query deals a table to.
 ARRIVALS = 8
+#: Versions from one full listing of the shards to the next; those between say only what changed.
+BASE_EVERY = 16
+#: Shards that one job merges at most.
+MERGE_MOST = 10_000
 SMALLEST = 64 << 10
 
 
@@ -30,56 +34,103 @@ class ManifestConflict(RuntimeError):
 
 
 class ShardStore:
-    """A table of immutable shards. Readers see the shards that the newest manifest lists.
-
-    Data files are written below ``data`` under new names and count only once a manifest names
-    them. A manifest is written aside and then renamed to its version's name by the file system's
-    own rename without overwriting, which is refused if that exists; a failed or lost writer
-    leaves files that no manifest names. A store whose file system can't refuse that needs one
-    writer at a time. A change that another writer came before is made again on what it left.
+    """A table of immutable shards. Readers see the shards that the newest version lists.
+
+    Data files are written below ``data`` under new names and count only once a version names
+    them. A version is a file with the shards that it adds and removes, so that a commit writes as
+    much as it changes whatever the table's size. The file is written aside and then renamed to its
+    version's name by the file system's own rename without overwriting, which is refused if that
+    exists; a failed or lost writer leaves files that no version names. A store whose file system
+    can't refuse that needs one writer at a time. A change that another writer came before is made
+    again on what it left. Every ``base_every`` versions all shards are listed in a base beside
+    them. It follows from the versions, so that any writer may write it, and one that is lost
+    before it did costs readers more files to read, until the next.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        *,
+        target_bytes: int = TARGET_BYTES,
+        fan_in: int = FAN_IN,
+        base_every: int = BASE_EVERY,
+        merge_most: int = MERGE_MOST,
+    ):
         self.spark, self.root = spark, root.rstrip("/")
         self.target_bytes, self.fan_in = target_bytes, fan_in
+        self.base_every, self.merge_most = base_every, max(merge_most, fan_in)
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/manifests"))
 
     # manifests
 
-    def versions(self) -> list[int]:
+    def _numbers(self, kind: str) -> list[int]:
         found = self._fs.listStatus(self._path(f"{self.root}/manifests"))
         names = [s.getPath().getName() for s in found]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return sorted(int(n[1:-5]) for n in names if n.startswith(kind) and n.endswith(".json"))
+
+    def versions(self) -> list[int]:
+        return self._numbers("v")
 
     def manifest(self, version: int | None = None) -> dict:
-        """The manifest of a version, the newest if not given; version 0 is the empty table."""
+        """All shards of a version, of the newest if not given; version 0 is the empty table.
+
+        It is the last base that isn't newer, with the changes since. A version that was vacuumed
+        raises ValueError.
+        """
+        found = self.versions()
         if version is None:
-            version = max(self.versions(), default=0)
-        if not version:
-            return {"version": 0, "parent": None, "schema": None, "shards": []}
-        stream = self._fs.open(self._path(self._manifest_name(version)))
+            version = found[-1] if found else 0
+        if version and version not in found:
+            raise ValueError(f"there is no version {version}")
+        base = max((b for b in self._numbers("b") if b <= version), default=0)
+        now = self._load("b", base) if base else {"schema": None, "shards": []}
+        shards, schema = {s["path"]: s for s in now["shards"]}, now["schema"]
+        for v in range(base + 1, version + 1):
+            change = self._load("v", v)
+            for path in change["removed"]:
+                del shards[path]
+            shards |= {s["path"]: s for s in change["added"]}
+            schema = change["schema"] or schema
+        return {"version": version, "schema": schema, "shards": list(shards.values())}
+
+    def _name(self, kind: str, version: int) -> str:
+        return f"{self.root}/manifests/{kind}{version:08d}.json"
+
+    def _load(self, kind: str, version: int) -> dict:
+        stream = self._fs.open(self._path(self._name(kind, version)))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _manifest_name(self, version: int) -> str:
-        return f"{self.root}/manifests/v{version:08d}.json"
-
-    def _commit(self, parent: dict, shards: list[dict], schema: str | None) -> int:
-        version = parent["version"] + 1
+    def _save(self, kind: str, version: int, body: dict) -> bool:
+        """Write a file of the manifest at once; False if there is one."""
         aside = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(aside, False)
-        body = {"version": version, "parent": parent["version"], "schema": schema, "shards": shards}
         out.write(bytearray(json.dumps(body).encode()))
         out.close()
-        if not self._rename(aside, self._path(self._manifest_name(version))):
+        if not self._rename(aside, self._path(self._name(kind, version))):
             self._fs.delete(aside, False)
+            return False
+        return True
+
+    def _commit(self, parent: dict, added: list[dict], removed: list[str], schema: str | None) -> int:
+        version = parent["version"] + 1
+        # the schema is kept where it is new
+        told = schema if schema != parent["schema"] else None
+        if not self._save("v", version, {"version": version, "schema": told, "added": added, "removed": removed}):
             raise ManifestConflict(f"version {version} exists")
+        if version % self.base_every == 0:
+            self._base(version)
         return version
 
+    def _base(self, version: int) -> None:
+        if version not in self._numbers("b"):
+            self._save("b", version, self.manifest(version))
+
     def _rename(self, source, target) -> bool:
         """Rename unless the target exists; where files are local, a hard link refuses that and rename doesn't."""
         jvm = self.spark._jvm
@@ -105,8 +156,8 @@ class ShardStore:
             return False
         return True
 
-    def _change(self, make: Callable[[dict], tuple[list[dict], str | None] | None], tries: int = 20) -> int:
-        """Commit what ``make`` gives for the newest manifest, again if another writer came before; None is no change."""
+    def _change(self, make: Callable[[dict], tuple[list[dict], list[str], str | None] | None], tries: int = 20) -> int:
+        """Commit what ``make`` adds and removes, again if another writer came before; None is no change."""
         for _ in range(tries):
             now = self.manifest()
             made = make(now)
@@ -151,9 +202,9 @@ class ShardStore:
     def append_files(self, files: list[dict], schema: T.StructType) -> int:
         """Add shards that lie below the root already."""
 
-        def make(now: dict) -> tuple[list[dict], str]:
+        def make(now: dict) -> tuple[list[dict], list[str], str]:
             self._conform(schema, now["schema"])
-            return now["shards"] + files, now["schema"] or schema.json()
+            return files, [], now["schema"] or schema.json()
 
         return self._change(make)
 
@@ -179,20 +230,28 @@ class ShardStore:
                 tiers.setdefault(self.tier(s["bytes"]), []).append(s)
         return {k: v for k, v in tiers.items() if len(v) >= self.fan_in}
 
+    def merges(self, manifest: dict) -> list[list[dict]]:
+        """What can be merged: the full tiers' shards by size, smallest tier first, as many as a job takes at a time."""
+        out = []
+        for _, shards in sorted(self.full_tiers(manifest).items()):
+            by_size = sorted(shards, key=lambda s: (s["bytes"], s["path"]))
+            out += [by_size[i : i + self.merge_most] for i in range(0, len(by_size), self.merge_most)]
+        return [m for m in out if len(m) >= self.fan_in]
+
     def compact(self) -> int:
         """Merge runs of similar size until no tier below the target holds ``fan_in`` that can be merged.
 
-        A tier is merged in one job without a shuffle: Spark packs its files into read splits of
-        the target size, and each split becomes one file. Each merge leaves fewer shards, so that
-        this ends. A tier whose merge doesn't is left as it is, and the others go on.
+        Shards of a tier are merged in one job without a shuffle, at most ``merge_most`` of them:
+        Spark packs their files into read splits of the target size, and each split becomes one
+        file. Each merge leaves fewer shards, so that this ends. Shards whose merge doesn't are left
+        as they are, and the others go on.
         """
         stuck: set[frozenset[str]] = set()
         while True:
             now = self.manifest()
-            full = {k: v for k, v in self.full_tiers(now).items() if frozenset(s["path"] for s in v) not in stuck}
-            if not full:
+            merged = next((m for m in self.merges(now) if frozenset(s["path"] for s in m) not in stuck), None)
+            if merged is None:
                 return now["version"]
-            merged = full[min(full)]
             gone = {s["path"] for s in merged}
             with self._splits(merged):
                 made = self._write(self._read([s["path"] for s in merged], now["schema"]))
@@ -201,10 +260,10 @@ class ShardStore:
                 stuck.add(frozenset(gone))
                 continue
 
-            def make(now: dict) -> tuple[list[dict], str | None] | None:
+            def make(now: dict) -> tuple[list[dict], list[str], str | None] | None:
                 if not gone <= {s["path"] for s in now["shards"]}:
                     return None  # another writer merged some of them
-                return [s for s in now["shards"] if s["path"] not in gone] + made, now["schema"]
+                return made, sorted(gone), now["schema"]
 
             self._change(make)
             if not {s["path"] for s in made} <= {s["path"] for s in self.manifest()["shards"]}:
@@ -232,8 +291,10 @@ class ShardStore:
         return sum(bool(self._fs.delete(self._path(f"{self.root}/{s['path']}"), False)) for s in shards)
 
     def orphans(self, older_than_s: float) -> list[dict]:
-        """Data files that no manifest names, from writers that failed at least so long ago."""
-        named = {s["path"] for v in self.versions() for s in self.manifest(v)["shards"]}
+        """Data files that no version names, from writers that failed at least so long ago."""
+        versions = self.versions()
+        named = {s["path"] for v in versions[:1] for s in self.manifest(v)["shards"]}
+        named |= {s["path"] for v in versions[1:] for s in self._load("v", v)["added"]}
         before, found = (time.time() - older_than_s) * 1000, []
         data = self._path(f"{self.root}/data")
         for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
@@ -246,13 +307,23 @@ class ShardStore:
         return found
 
     def vacuum(self, keep: int = 1, orphans_s: float = 86_400) -> int:
-        """Delete what none of the newest ``keep`` versions names, older manifests, and old orphans."""
-        versions = self.versions()
-        stay = {s["path"] for v in versions[-keep:] for s in self.manifest(v)["shards"]}
-        gone = self._delete(self.orphans(orphans_s))
-        for v in versions[:-keep]:
-            gone += self._delete([s for s in self.manifest(v)["shards"] if s["path"] not in stay])
-            self._fs.delete(self._path(self._manifest_name(v)), False)
+        """Delete what none of the newest ``keep`` versions names, older versions, and old orphans.
+
+        The oldest version that stays gets a base before the changes that led to it go, and those go
+        oldest first, so that a vacuum that is lost can be made again.
+        """
+        gone, versions = self._delete(self.orphans(orphans_s)), self.versions()
+        if not versions:
+            return gone
+        first = versions[-keep:][0]
+        self._base(first)
+        for v in [v for v in versions if v <= first]:
+            # a shard's name is never used again, so what a version removes is in none that stays
+            gone += self._delete([{"path": p} for p in self._load("v", v)["removed"]])
+            if v < first:
+                self._fs.delete(self._path(self._name("v", v)), False)
+        for b in [b for b in self._numbers("b") if b < first]:
+            self._fs.delete(self._path(self._name("b", b)), False)
         return gone
 
     # reading

@@ -625,6 +625,56 @@ def test_repeats_small(spark, odd):
     assert kept[5] == "" and kept[4] == "the same line of words " * 9 and kept[2] is None
 
 
+def test_runs_of_a_key_are_in_one_order_for_all_orders_of_documents():
+    from tidewatch.llm.suffixes import _distinct_runs, _group_keys
+
+    shared = "a line that ends in one way or in another, as documents do"
+    found = [(d, f"{x * 40} {shared} {x.upper() * 40}".encode()) for d, x in enumerate("bcdefg")]
+    orders = []
+    for given in (found, found[::-1], found[3:] + found[:3]):
+        keys, _, each = _group_keys(given)
+        runs = _distinct_runs(each, keys)
+        orders.append({key: [(c, sorted((each[k][0], a) for k, a in places)) for c, places in contents.items()] for key, contents in runs.items()})
+    assert max(map(len, orders[0].values())) > 1
+    assert orders[0] == orders[1] == orders[2]
+
+
+def test_repeats_on_several_executors(tmp_path):
+    """Blocks of a shuffle come from other executors in any order, which differs between the looks at a group."""
+    import json
+    import subprocess
+    import sys
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(400)) for _ in range(20)]
+    made = []
+    for i in range(1600):
+        t, u = rng.choice(base), rng.choice(base)
+        a, b = rng.randrange(300), rng.randrange(300)
+        made.append([i, t[a : a + rng.randint(55, 200)] + f" {i} " + u[b : b + rng.randint(55, 200)]])
+    (tmp_path / "made.json").write_text(json.dumps(made))
+    script = """
+import json, sys
+from pyspark.sql import SparkSession
+folder = sys.argv[1]
+spark = (
+    SparkSession.builder.master("local-cluster[2,2,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+    .config("spark.local.dir", folder + "/local").config("spark.checkpoint.dir", folder + "/shared").config("spark.sql.warehouse.dir", folder + "/warehouse")
+    .getOrCreate()
+)
+from tidewatch.llm.suffixes import repeats
+df = spark.createDataFrame(spark.sparkContext.parallelize(json.load(open(folder + "/made.json")), 16), "doc_id long, text string")
+got = [[tuple(r) for r in repeats(df, group_bytes=100_000, bucket_bytes=50_000).collect()] for _ in range(2)]
+json.dump(got, open(folder + "/got.json", "w"))
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", script, str(tmp_path)], cwd=tmp_path, capture_output=True, text=True, timeout=300, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    want = brute.repeats([tuple(r) for r in made])
+    for got in json.loads((tmp_path / "got.json").read_text()):
+        assert sorted(map(tuple, got), key=repr) == want
+
+
 def test_deep_shallow_finds_classes():
     from tidewatch.llm.suffixes import blind_trie, deep_shallow
 

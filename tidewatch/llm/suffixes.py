@@ -225,7 +225,11 @@ def _copies(notes: pa.Table) -> Copies:
 
 
 def _distinct_runs(each: list, wanted: np.ndarray) -> dict[int, dict[bytes, list]]:
-    """By key the contents of its runs, in order, with where they are: [(number of the document, first window)]."""
+    """By key the contents of its runs, sorted, with where they are: [(number of the document, first window)].
+
+    Answers go by this order, so that it must not depend on that of the documents: blocks of a
+    shuffle come in another order each time that a group is looked at on another executor.
+    """
     out: dict[int, dict[bytes, list]] = {}
     for k, (_, raw, keys, first, last) in enumerate(each):
         at = np.searchsorted(wanted, keys)
@@ -233,7 +237,7 @@ def _distinct_runs(each: list, wanted: np.ndarray) -> dict[int, dict[bytes, list
         hit = np.flatnonzero(wanted[at] == keys) if wanted.size else np.zeros(0, np.int64)
         for key, a, z in zip(keys[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
             out.setdefault(key, {}).setdefault(raw[a : z + WINDOW], []).append((k, a))
-    return out
+    return {key: dict(sorted(contents.items())) if len(contents) > 1 else contents for key, contents in out.items()}
 
 
 def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str, text_col: str, group_bytes: int, bucket_bytes: int) -> DataFrame:
@@ -352,7 +356,7 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
         b, made = t.column("b")[0].as_py(), []
         for g, numbers, keys, most in sent:
             useful = np.unique(keys[lowest_of_run[numbers] < most])
-            # all runs of a useful key go back, by key and then in the order in which they came
+            # all runs of a useful key go back, by key and then in the order in which they came, that of their bytes
             take = np.flatnonzero(np.isin(keys, useful))
             take = take[np.argsort(keys[take], kind="stable")]
             if take.size:

@@ -315,6 +315,39 @@ def test_packing_of_special_tokens(spark):
     assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
 
 
+def test_packing_looks_up_each_chunk_once_a_batch():
+    import pyarrow as pa
+    from tidewatch.llm.packing import TOGETHER_BYTES, WordCache, _together
+    from tidewatch.llm.queries import vocabulary
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    rng = random.Random(6)
+    odd = [None, "", " ", "  \n", " a\x0b b\x1c c\x85 ", "\ufeffA É é.", "x, y. .. ,", "<|EndOfText|> a b", "don't 'S  x", "\x00 a\x00b", "İ ß"]
+    texts = odd + [" ".join(rng.choice(["word", "Word,", "été.", "x2", " "]) + rng.choice(["", "s", "\t"]) for _ in range(50)) for _ in range(400)]
+    cache = WordCache(vocabulary())
+    want = [np.array(cache.full.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    cache.known = Counted(cache.known)
+    assert cache.ids(pa.array(texts, pa.string())) == want
+    assert cache.known.asked < 200 and cache.ids(pa.array([], pa.string())) == []
+    # a cache that is emptied again and again
+    small = WordCache(vocabulary(), most=5)
+    assert [x for at in range(0, len(texts), 7) for x in small.ids(pa.array(texts[at : at + 7], pa.string()))] == want
+    # batches of 500 rows are looked at together, in order
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 500)), pa.array(["x" * 1000] * 500)], ["i", "t"]) for k in range(0, 6000, 500)]
+    got = list(_together(batches))
+    assert [i for ids, _ in got for i in ids.to_pylist()] == list(range(6000)) and len(got) == 2 and got[0][1].nbytes >= TOGETHER_BYTES
+
+
 def test_best_fit_closes_the_fullest():
     from tidewatch.llm.packing import best_fit
 

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from tidewatch.llm.common import slices, small_batches, written
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 2048
+#: Bytes of texts whose chunks are looked up together, about.
+TOGETHER_BYTES = 4 << 20
 #: Tokens that one packing task deals with, about.
 TASK_TOKENS = 1 << 27
 
@@ -52,7 +55,7 @@ class WordCache:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: set[bytes]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         known, plain, marked, other = self.known, {}, [], []
         if len(known) + len(chunks) > self.most:
             known.clear()
@@ -78,33 +81,43 @@ class WordCache:
         for c in marked:
             known[c] = known[c[:-1]] + self.marks[c[-1:]]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers.
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; none for a null text.
 
-        A text with a special token's literal, in whatever case, goes to the full tokenizer as it is.
+        Arrow splits the texts and numbers their distinct chunks, so that each is looked up once a batch. A text
+        with a special token's literal, in whatever case, goes to the full tokenizer as it is.
         """
-        lower = [(t or "").encode(errors="surrogatepass").lower() for t in texts]
-        whole = [i for i, t in enumerate(lower) if any(a in t for a in self.added)]
-        for i in whole:
-            lower[i] = b""
-        split = [t.split() for t in lower]
-        get, out, late = self.known.get, [], []
-        for chunks in split:
-            got = list(map(get, chunks))
-            out.append(got)
-            if None in got:
-                late.append(len(out) - 1)
-        new = {c for i in late for c, v in zip(split[i], out[i]) if v is None}
-        # what the texts with new chunks also hold stays known if the cache is emptied now
-        if len(self.known) + len(new) > self.most:
-            new.update(c for i in late for c in split[i])
-        if new:
-            self.learn(new)
-        for i in late:
-            out[i] = map(self.known.__getitem__, split[i])
-        ids = list(map(b"".join, out))
-        if whole:
-            for i, raw in zip(whole, self._encode([texts[i] for i in whole])):
+        lower = pc.ascii_lower(pc.fill_null(texts, ""))
+        whole = np.zeros(len(lower), bool)
+        for token in self.added:
+            whole |= pc.match_substring(lower, token.decode()).to_numpy(zero_copy_only=False)
+        if whole.any():
+            lower = pc.if_else(pa.array(whole), "", lower)
+        split = pc.ascii_split_whitespace(lower)
+        chunks = split.flatten().dictionary_encode()
+        length = pc.binary_length(chunks.dictionary).to_numpy()
+        stop = np.cumsum(length)
+        held = chunks.dictionary.buffers()[2].to_pybytes() if length.any() else b""
+        words = list(map(held.__getitem__, map(slice, (stop - length).tolist(), stop.tolist())))
+        # white space before and behind a text leaves empty chunks
+        self.known[b""] = b""
+        got = list(map(self.known.get, words))
+        late = [i for i, v in enumerate(got) if v is None]
+        if late:
+            self.learn([words[i] for i in late])
+            for i in late:
+                got[i] = self.known[words[i]]
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        start, place = np.cumsum(size) - size, chunks.indices.to_numpy()
+        many = size[place]
+        ends = np.cumsum(many)
+        at = np.repeat(start[place] - (ends - many), many) + np.arange(many.sum())
+        raw = np.frombuffer(b"".join(got), "<u4")[at].tobytes()
+        cuts = np.append(0, 4 * ends)[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))].tolist()
+        ids = [raw[a:z] for a, z in zip(cuts, cuts[1:])]
+        special = np.flatnonzero(whole).tolist()
+        if special:
+            for i, raw in zip(special, self._encode([texts[i].as_py() for i in special])):
                 ids[i] = raw
         return ids
 
@@ -120,6 +133,20 @@ def tokenizer(path: str) -> WordCache:
     return _CACHES[path]
 
 
+def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of several batches at a time, as larger ones share more chunks."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= TOGETHER_BYTES:
+            yield pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held])
+            held, size = [], 0
+    if held:
+        yield pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held])
+
+
 def pieces(
     docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end_id: int = END_ID
 ) -> DataFrame:
@@ -128,9 +155,9 @@ def pieces(
 
     def run(it):
         cache = tokenizer(vocabulary)
-        for b in slices(it):
+        for ids, texts in _together(slices(it)):
             rows = []
-            for d, raw in zip(b.column(0).to_pylist(), cache.ids(b.column(1).to_pylist())):
+            for d, raw in zip(ids.to_pylist(), cache.ids(texts)):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * length)):
                     part = raw[at : at + 4 * length]

@@ -19,7 +19,7 @@ SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 2048
 #: Bytes of texts whose chunks are looked up together, about.
-TOGETHER_BYTES = 4 << 20
+TOGETHER_BYTES = 2 << 20
 #: Tokens that one packing task deals with, about.
 TASK_TOKENS = 1 << 27
 
@@ -111,8 +111,10 @@ class WordCache:
         start, place = np.cumsum(size) - size, chunks.indices.to_numpy()
         many = size[place]
         ends = np.cumsum(many)
-        at = np.repeat(start[place] - (ends - many), many) + np.arange(many.sum())
+        at = np.arange(many.sum())
+        at += np.repeat(start[place] - (ends - many), many)
         raw = np.frombuffer(b"".join(got), "<u4")[at].tobytes()
+        del at
         cuts = np.append(0, 4 * ends)[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))].tolist()
         ids = [raw[a:z] for a, z in zip(cuts, cuts[1:])]
         special = np.flatnonzero(whole).tolist()

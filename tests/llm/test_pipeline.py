@@ -83,3 +83,45 @@ def test_run_on_empty_and_odd_tables(spark, tmp_path):
     odd_tables(spark, tmp_path / "none", [])
     assert p.run(spark, str(tmp_path / "odd")).count() > 0
     assert p.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_workers_keep_no_chunks_after_packing(spark):
+    import pyarrow as pa
+
+    from tidewatch.llm import packing
+    from tidewatch.llm.queries import vocabulary
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', md5(string(id)), ' and x', id, '!') AS text").coalesce(1)
+
+    def held(it):
+        for _ in it:
+            pass
+        n = sum(len(c.known) for c in packing._CACHES.values())
+        yield pa.RecordBatch.from_arrays([pa.array([len(packing._CACHES)]), pa.array([n])], ["caches", "chunks"])
+
+    rows = packing.pieces(docs, vocabulary()).coalesce(1).collect()
+    assert len(rows) == 3000 and all(r.length > 2 for r in rows)
+    # every task's worker, those that tokenized among them
+    seen = spark.range(0, 8, 1, 8).mapInArrow(held, "caches long, chunks long").collect()
+    assert sum(r.caches for r in seen) > 0 and sum(r.chunks for r in seen) == 0
+
+
+def test_chunks_are_learned_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from tidewatch.llm import packing
+    from tidewatch.llm.queries import vocabulary
+
+    texts = [" ".join(f"wort{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}{'.' * (k % 2)} {i}-{k}" for k in range(300)) for i in range(20)]
+    cache = packing.WordCache(vocabulary(), most=2_000)
+    want = [cache._encode([t])[0] for t in texts]
+    sizes, encode = [], cache._encode
+
+    def counted(chunks):
+        sizes.append(len(chunks))
+        return encode(chunks)
+
+    monkeypatch.setattr(cache, "_encode", counted)
+    monkeypatch.setattr(packing, "LEARN_CHUNKS", 64, raising=False)
+    assert cache.ids(pa.array(texts)) == want and cache.ids(pa.array(texts[::-1])) == want[::-1]
+    assert max(sizes) <= 64

@@ -7,8 +7,6 @@ what lies within its radius and takes from here the exact way for the rest: pref
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import hash_sample, small_batches, written
+from tidewatch.llm.common import given_back, hash_sample, small_batches, written
 from tidewatch.llm.common import slices as _slices
 
 WORDS = 5
@@ -39,19 +37,6 @@ FILTER_WORDS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def given_back(it: Iterator) -> Iterator:
-    """The same items; what the worker's allocators hold unused goes back to the machine at the end.
-
-    Workers are used again by later stages and sit beside those that run then.
-    """
-    try:
-        yield from it
-    finally:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
-            ctypes.CDLL(None).malloc_trim(0)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     return given_back(_slices(batches, rows, size))
 

@@ -13,13 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, small_batches, written
+from tidewatch.llm.common import given_back, slices, small_batches, written
 
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 2048
 #: Bytes of texts whose chunks are looked up together, about.
 TOGETHER_BYTES = 2 << 20
+#: Chunks that the model encodes at once.
+LEARN_CHUNKS = 4096
 #: Tokens that one packing task deals with, about.
 TASK_TOKENS = 1 << 27
 
@@ -56,9 +58,13 @@ class WordCache:
         return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[bytes]) -> None:
+        if len(self.known) + len(chunks) > self.most:
+            self.known.clear()
+        for at in range(0, len(chunks), LEARN_CHUNKS):
+            self._learn(chunks[at : at + LEARN_CHUNKS])
+
+    def _learn(self, chunks: list[bytes]) -> None:
         known, plain, marked, other = self.known, {}, [], []
-        if len(known) + len(chunks) > self.most:
-            known.clear()
         for c in chunks:
             body = c[:-1] if c[-1] in b".," else c
             word = body.decode()
@@ -128,7 +134,7 @@ _CACHES: dict[str, WordCache] = {}
 
 
 def tokenizer(path: str) -> WordCache:
-    """The worker's cache for a vocabulary file."""
+    """The worker's tokenizer for a vocabulary file; a task empties its cache when it ends."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if path not in _CACHES:
         _CACHES[path] = WordCache(path)
@@ -155,20 +161,26 @@ def pieces(
     """Each document's ids and an end id, cut after every ``length``: (doc_id, piece, start, length, ids_crc32)."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(it):
+    def tokenized(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = tokenizer(vocabulary)
-        for ids, texts in _together(slices(it)):
-            rows = []
-            for d, raw in zip(ids.to_pylist(), cache.ids(texts)):
-                raw += end
-                for k, at in enumerate(range(0, len(raw), 4 * length)):
-                    part = raw[at : at + 4 * length]
-                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = zip(*rows) if rows else [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
-            )
+        try:
+            for ids, texts in _together(slices(it)):
+                rows = []
+                for d, raw in zip(ids.to_pylist(), cache.ids(texts)):
+                    raw += end
+                    for k, at in enumerate(range(0, len(raw), 4 * length)):
+                        part = raw[at : at + 4 * length]
+                        rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                cols = zip(*rows) if rows else [()] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
+        finally:  # the worker may run other stages for long
+            cache.known.clear()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return given_back(tokenized(it))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return small_batches(texts).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import slices, small_batches, unused, written
+from tidewatch.llm.common import give_back, slices, small_batches, unused, written
 
 #: A window of this many bytes counts as repeated; each is filed under its smallest 16-gram hash.
 WINDOW = 50
@@ -406,6 +406,12 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
             removed.append(np.ones(len(raw), bool) if copies_here.has(d, raw) else next(masks))
         return finish(rows.drop_columns([group]), removed)
 
+    def marked_rows(rows: pa.Table, notes: pa.Table) -> pa.Table:
+        try:
+            return mark(rows, notes)
+        finally:  # the last look; later stages run in the same workers
+            give_back()
+
     def untouched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it):
             yield from finish(pa.Table.from_batches([b]), [None] * b.num_rows).to_batches()
@@ -417,7 +423,7 @@ def find_repeats(docs: DataFrame, finish, schema: T.StructType, *, id_col: str,
         send_runs, "b int, g int, text binary, lens binary, keys binary, least binary, most binary"
     )
     answers = sent.groupBy("b").applyInArrow(match_runs, f"`{group}` int, {note}")
-    marked = grouped.cogroup(answers.unionByName(copies).groupBy(group)).applyInArrow(mark, schema)
+    marked = grouped.cogroup(answers.unionByName(copies).groupBy(group)).applyInArrow(marked_rows, schema)
     return marked.unionAll(docs.where(~takes_part).mapInArrow(untouched, schema))
 
 

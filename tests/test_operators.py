@@ -264,6 +264,23 @@ def test_snapshot_stream(spark, tmp_path):
     assert feed.ranges(spark) == {0: (0, 1), 1: (1, 1), 2: (2, 0)}
 
 
+def test_long_payloads_are_one_line(spark, tmp_path):
+    import base64
+    import json
+
+    from tidewatch.sources import files
+
+    long = "x" * 200
+    messages = spark.createDataFrame([("t", 0, 1, T0, long.encode(), long.encode())], "topic string, partition int, offset long, timestamp timestamp, key binary, value binary")
+    files.write_recording(messages, str(tmp_path / "r"))
+    line = json.loads(spark.read.text(str(tmp_path / "r")).first().value)
+    bad = jobs.parse_json(spark.createDataFrame([(long,)], "value string"), "a int")[1].first().payload_b64
+    told = spark.createDataFrame([(long,)], "a string")
+    dead = jobs.split_dead_letters(told, F.lit("a"))[1].first().payload_b64
+    assert [base64.b64decode(x, validate=True) for x in (line["key_b64"], line["value_b64"], bad)] == [long.encode()] * 3
+    assert json.loads(base64.b64decode(dead, validate=True)) == {"a": long}
+
+
 def test_dead_letters(spark):
     raw = spark.createDataFrame([('{"post_id": "a", "floor": 1, "more": 2}',), ("not json",), ('{"floor": 3}',)], "value string")
     good, bad = jobs.parse_json(raw, "post_id string, floor int")

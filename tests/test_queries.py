@@ -52,6 +52,15 @@ def test_against_duckdb(spark, duck, name):
     assert same(df.columns, df.collect()) == same(names, want.fetchall())
 
 
+def test_long_addresses_are_recorded_in_one_line(spark, tmp_path):
+    urls = [None, "", "https://a.example/" + "x" * 39, "https://a.example/" + "x" * 40, "https://a.example/" + "頁" * 500]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = c.execute(registry.ORACLE_SQL["recording_codec"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["recording_codec"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
     # the smallest stream is too thin for an alert; test_operators.py holds the detector's cases

@@ -32,6 +32,11 @@ def csv_safe(text: Column) -> Column:
     return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
+def base64(data: Column | str) -> Column:
+    """In one line, whatever the session breaks base64 into."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def sentiment_bucket(polarity: Column, score: Column, least: float) -> Column:
     return F.when(polarity.isNull(), "none").when(score < least, "uncertain").otherwise(polarity)
 

@@ -143,7 +143,7 @@ def post_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, base64(encode(url)) AS payload, url AS back FROM pages")
 def recording_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as a recording keeps them, and decoded again."""
-    payload = F.base64(F.encode("url", "UTF-8"))
+    payload = X.base64(F.encode("url", "UTF-8"))
     return _read(spark, sf_dir, "pages").select("page_id", payload.alias("payload"), F.decode(F.unbase64(payload), "UTF-8").alias("back"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.expressions import csv_safe
+from tidewatch.functions.expressions import base64, csv_safe
 
 EXAMPLE = "post_id string, text string, label string"
 RECORD = "topic string, partition int, offset long, timestamp_ms long, key_b64 string, value_b64 string"
@@ -26,7 +26,7 @@ def write_recording(messages: DataFrame, path: str) -> None:
     """Messages (topic, partition, offset, timestamp, key, value) as JSON lines with base64 payloads."""
     messages.select(
         "topic", "partition", "offset", F.unix_millis("timestamp").alias("timestamp_ms"),
-        F.base64("key").alias("key_b64"), F.base64("value").alias("value_b64"),
+        base64("key").alias("key_b64"), base64("value").alias("value_b64"),
     ).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

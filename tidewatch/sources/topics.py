@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.expressions import base64
 from tidewatch.sources.files import RECORD
 
 COORDINATES = ("topic", "partition", "offset")
@@ -71,14 +72,9 @@ def good(decoded: DataFrame) -> DataFrame:
     return decoded.where("error IS NULL").select("row.*")
 
 
-def _base64(column: str) -> Column:
-    """In one line, whatever the session breaks base64 into."""
-    return F.translate(F.base64(column), "\r\n", "")
-
-
 def dead_letters(decoded: DataFrame) -> DataFrame:
     """What couldn't be read: where it lay, why, and its key and value in base64."""
-    return decoded.where("error IS NOT NULL").select(*COORDINATES, "error", _base64("key").alias("key_b64"), _base64("value").alias("payload_b64"))
+    return decoded.where("error IS NOT NULL").select(*COORDINATES, "error", base64("key").alias("key_b64"), base64("value").alias("payload_b64"))
 
 
 def to_messages(df: DataFrame, topic: str, key: Column, partition: Column | None = None, fields: Sequence[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.expressions import base64
 from tidewatch.operators import heat, inference, latest, merge
 from tidewatch.streaming.feed import ChangeFeed, images
 
@@ -32,7 +33,7 @@ def broken_rule() -> Column:
 def split_dead_letters(rows: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
     """Good rows, and bad ones with the rule and the row as base64 JSON."""
     marked = rows.withColumn("rule", rule)
-    payload = F.base64(F.to_json(F.struct(*rows.columns)).cast("binary"))
+    payload = base64(F.to_json(F.struct(*rows.columns)).cast("binary"))
     return marked.where("rule IS NULL").drop("rule"), marked.where("rule IS NOT NULL").select("rule", payload.alias("payload_b64"))
 
 
@@ -41,7 +42,7 @@ def parse_json(raw: DataFrame, schema: str, column: str = "value") -> tuple[Data
     parsed = raw.withColumn("__m", F.from_json(F.col(column).cast("string"), schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("__m").isNull() | F.col("__m._corrupt").isNotNull()
     good = parsed.where(~bad).select("__m.*").drop("_corrupt")
-    return good, parsed.where(bad).select(F.lit("json").alias("rule"), F.base64(F.col(column).cast("binary")).alias("payload_b64"))
+    return good, parsed.where(bad).select(F.lit("json").alias("rule"), base64(F.col(column).cast("binary")).alias("payload_b64"))
 
 
 class BucketTable:

@@ -340,6 +340,46 @@ def test_text_model(spark):
     assert {(r.predicted, r.scores["positive"]) for r in textmodel.fit_predict(only, df).collect()} == {("positive", 1.0)}
 
 
+def test_grams_of_odd_texts(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    from tidewatch.functions import grams
+    from tidewatch.operators import textmodel
+
+    draw = random.Random(5)
+    texts = ["", " \n ", "a", "a\0 \0", " a\tb\x0bc ", "\U0010ffff\U0001f600x y\u3000z", "ab cd " * 300]
+    texts += ["".join(draw.choice("ab \n\t\0\u00e9\u6f22\U0001f600") for _ in range(draw.randrange(60))) for _ in range(200)]
+    told = [Counter(g for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w for n in (1, 2, 3) for g in ((" " + w + " ")[i : i + n] for i in range(len(w) + 3 - n))) for t in texts]
+    for piece in (grams.PIECE, 1, 2, 5, 64):
+        monkeypatch.setattr(grams, "PIECE", piece)
+        for t, want in zip(texts, told):
+            numbers, n = grams.counted(t)
+            terms = grams.terms(numbers).to_pylist()
+            assert dict(zip(terms, n.tolist())) == want and terms == sorted(terms) and [grams.number(x) for x in terms] == numbers.tolist()
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "row long, t string")
+    counts = textmodel.term_counts(rows, "t").cache()
+    assert {(r.row, r.term): r.n for r in counts.collect()} == {(i, g): n for i, c in enumerate(told) for g, n in c.items()}
+    known = textmodel.vocabulary(counts, len(texts) + 1, 100).cache()
+    want = {r.row: r.features for r in textmodel.vectors(rows, textmodel.weights(counts, known), 100).collect()}
+    got = {r.row: r.features for r in rows.select("row", textmodel.encoder(known)(F.col("t")).alias("features")).collect()}
+    assert len(got) == len(want) == len(texts) + 1 and known.count() == 100
+    for i, v in want.items():
+        assert got[i].size == 100 and got[i].indices.tolist() == v.indices.tolist() and got[i].values == pytest.approx(v.values, abs=1e-14)
+
+
+def test_text_model_scores_texts_where_they_lie(spark):
+    from tidewatch.operators import textmodel
+
+    df = spark.createDataFrame([(i, "good fine" if i % 3 else "bad sad", "p" if i % 3 else "n") for i in range(40)], "id long, `a.text` string, label string")
+    out = textmodel.held_out(df, "id", "a.text", "label")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # no shuffle, join or written vector between a text and its scores, and each text is encoded once
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 2
+    assert all(r.predicted == r.label for r in out.collect())
+
+
 def test_text_model_against_a_dense_solve(spark):
     """Weights and coefficients, by counting in plain Python and by descending the whole gradient."""
     import math

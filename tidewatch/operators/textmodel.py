@@ -1,18 +1,22 @@
 """A baseline text classifier: character n-grams, smoothed TF-IDF with sublinear TF, balanced logistic regression.
 
-Term weights are rows (text, term, weight) that Spark counts; a text's rows are gathered into a
-sparse vector as Parquet stores one, so that no Python runs between the texts and the model.
+A text's n-grams are counted where it lies. The counts are rows (text, term, n), from which Spark takes the
+vocabulary; with it a text is a sparse vector, again where it lies, so that vectors are neither sent nor written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions import grams
 from tidewatch.sources.scratch import scratch_path
 
 VOCABULARY = 200_000
@@ -21,26 +25,26 @@ LEAST_TEXTS = 2
 #: How a sparse vector lies in a file.
 _SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 SCORED = "predicted string, scores map<string, double>"
+#: Rows of an Arrow batch, as rows hold whole texts and their vectors.
+BATCH_ROWS = 500
 
 
-def char_grams(text: Column) -> Column:
-    """1- to 3-grams of characters inside words that are padded with a space on either side."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-
-    def some(padded: Column, n: int) -> Column:
-        # a function of one argument, as a second one would be the place in the array
-        return F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the rows of the session's Arrow batches; the setting is read when a query runs, a smaller one is left as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        return F.concat(*[some(padded, n) for n in (1, 2, 3)])
 
-    return F.flatten(F.transform(words, grams))
+def _plain(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def term_counts(rows: DataFrame, text: str) -> DataFrame:
-    """(row, term, n) of the rows' texts; counts of a text are made where it lies, before anything is sent."""
-    return rows.select("row", F.explode(char_grams(F.col(text))).alias("term")).groupBy("row", "term").agg(F.count("*").alias("n"))
+    """(row, term, n) of the 1- to 3-grams of characters inside words that are padded with a space on either side."""
+    _small_batches(rows.sparkSession)
+    kind = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+    return rows.select("row", _plain(F.col(text))).mapInArrow(grams.counts, kind)
 
 
 def vocabulary(counts: DataFrame, texts: int, most: int = VOCABULARY) -> DataFrame:
@@ -75,6 +79,24 @@ def vectors(rows: DataFrame, weighted: DataFrame, size: int) -> DataFrame:
     return weighted.sparkSession.read.schema(kind).parquet(path)
 
 
+def encoder(terms: DataFrame) -> Callable[[Column], Column]:
+    """A function of a text column to sparse vectors, ``weights`` and ``vectors`` without rows for terms.
+
+    ``terms`` is a vocabulary, whose bounded table is sent to all tasks.
+    """
+    spark = terms.sparkSession
+    _small_batches(spark)
+    told = terms.select("term", "at", "idf").toArrow()
+    sent = spark.sparkContext.broadcast(grams.Weights(told["term"].to_pylist(), told["at"].to_numpy(), told["idf"].to_numpy()))
+
+    @F.arrow_udf(VectorUDT())
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            yield sent.value.vectors(some)
+
+    return lambda text: encode(_plain(text))
+
+
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight`` = rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
@@ -97,46 +119,38 @@ def fit_predict(train: DataFrame, rows: DataFrame, text: str = "text", label: st
     Rows whose label is null aren't learnt from. Null and empty texts, and those of unknown terms
     alone, have no weights and are scored by the model's intercepts. With one class every row is
     that class; without any, ``predicted`` and ``scores`` are null. Columns of those names are replaced.
+    ``train`` is read several times, so it should lie in files, and in as many parts as there are tasks.
     """
-    spark = rows.sparkSession
     keep = [c for c in rows.columns if c not in ("predicted", "scores")]
-    known = train.where(F.col(label).isNotNull())
-    tally = known.groupBy(label).count().collect()  # a row for each class
+    known = train.select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").alias("y")).where("y IS NOT NULL")
+    tally = known.groupBy("y").count().collect()  # a row for each class
     classes = sorted(r[0] for r in tally)
     if len(classes) < 2:
         only = F.lit(classes[0] if classes else None).cast("string")
         sure = F.create_map(only, F.lit(1.0)) if classes else F.lit(None).cast("map<string, double>")
         return rows.select(*[F.col(f"`{c}`") for c in keep], only.alias("predicted"), sure.alias("scores"))
 
-    def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-        # written, as the numbers of rows hang on their partitions
-        path = scratch_path(spark, name)
-        df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r")).write.parquet(path)
-        return spark.read.parquet(path)
-
-    learnt = numbered(known, [text, label], "learnt")
-    counts_path = scratch_path(spark, "counts")
-    term_counts(learnt.select("row", F.col("r").getField(text).alias("t")), "t").write.parquet(counts_path)
-    counts = spark.read.parquet(counts_path)
-    terms_path = scratch_path(spark, "terms")
-    vocabulary(counts, sum(r[1] for r in tally)).write.parquet(terms_path)
-    terms = spark.read.parquet(terms_path)
-    size = max(terms.count(), 1)
-    made = vectors(learnt, weights(counts, terms), size).join(learnt.select("row", F.col("r").getField(label).alias(label)), "row")
-    model = fit(made.select("features", label), classes, label, regularisation=regularisation)
-
-    asked = numbered(rows, keep, "asked")
-    own = term_counts(asked.select("row", F.col("r").getField(text).alias("t")), "t")
-    scored = model.transform(vectors(asked, weights(own, terms), size).join(asked, "row"))
+    counts = term_counts(known.select(F.monotonically_increasing_id().alias("row"), "t"), "t")
+    encode = encoder(vocabulary(counts, sum(r[1] for r in tally)))
+    model = fit(known.select(encode(F.col("t")).alias("features"), "y"), classes, "y", regularisation=regularisation)
+
+    asked = rows.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r"), encode(F.col(f"`{text}`")).alias("features"))
+    scored = model.transform(asked)
     names = F.array(*map(F.lit, classes))
     best = F.element_at(names, (F.col("prediction") + 1).cast("int"))
     return scored.select("r.*", best.alias("predicted"), F.map_from_arrays(names, vector_to_array("probability")).alias("scores"))
 
 
 def held_out(rows: DataFrame, id_col: str, text: str = "text", label: str = "polarity", folds: int = 2) -> DataFrame:
-    """Every row scored by a model that hasn't seen it: rows are dealt to folds by their id's CRC, a null id to the first."""
+    """Every row scored by a model that hasn't seen it: rows are dealt to folds by their id's CRC, a null id to the first.
+
+    Rows are written once, in the parts that they come in.
+    """
     fold = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
-    dealt, out = rows.withColumn("__fold", fold), None
+    made, out = rows.withColumn("__fold", fold), None
+    path = scratch_path(rows.sparkSession, "dealt")
+    made.write.parquet(path)
+    dealt = rows.sparkSession.read.schema(made.schema).parquet(path)
     for k in range(folds):
         mine = fit_predict(dealt.where(F.col("__fold") != k), dealt.where(F.col("__fold") == k), text, label).drop("__fold")
         out = mine if out is None else out.unionByName(mine)
